@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.runtime import table
-from . import normalize
+from ..plans.runtime import cut, table
+from . import normalize, packing, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,17 @@ def p2_normalized(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalized(table(spark, d, "ocr_text").distinct()).select("file_id", "normal")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.token_ids(table(spark, d, "documents"))
+
+
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = cut(tokenizer.token_counts(table(spark, d, "documents")))
+    return packing.packed(sizes, table(spark, d, "pack_capacities"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_normalized": p2_normalized}
+    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p8_ids": p8_ids, "p9_packed": p9_packed}
 
 
 def oracle_sql() -> dict[str, str]:
