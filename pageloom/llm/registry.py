@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import cut, table
-from . import normalize, packing, tokenizer
+from . import neardup, normalize, packing, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,14 @@ def p2_normalized(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalized(table(spark, d, "ocr_text").distinct()).select("file_id", "normal")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, d, "ocr_text"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "ocr_text"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
@@ -30,7 +38,7 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p8_ids": p8_ids, "p9_packed": p9_packed}
+    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p4_found": p4_found, "p4_groups": p4_groups, "p8_ids": p8_ids, "p9_packed": p9_packed}
 
 
 def oracle_sql() -> dict[str, str]:
