@@ -72,11 +72,35 @@ def _tables() -> tuple[dict, dict, dict, "re.Pattern", "re.Pattern"]:
     return base, alike, held, foreign, latin
 
 
+@lru_cache(None)
+def _finders() -> tuple["re.Pattern", "re.Pattern", "re.Pattern"]:
+    """Searches that are far cheaper than a translation: characters to map or drop; characters NFKC must not touch or
+    look-alikes; words in two scripts, Greek letters, or running Latin text next to which a look-alike may stand."""
+    base, alike, held, _, _ = _tables()
+
+    def one(keys) -> str:
+        spans: list[list[int]] = []
+        for c in sorted(keys):
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+        return "[" + "".join(re.escape(chr(a)) + (f"-{re.escape(chr(b))}" if b > a else "") for a, b in spans) + "]"
+
+    mixed = re.compile("[A-Za-z\u00c0-\u024f][\u0400-\u052f]|[\u0400-\u052f][A-Za-z\u00c0-\u024f]|[\u0370-\u03ffɡſ]|[a-z]{2}")
+    return re.compile(one(base)), re.compile(one(held)), mixed
+
+
 @lru_cache(None)
 def _punctuation() -> dict:
     return {ord(k): v for k, v in LOOKALIKES.items() if not k.isalpha()}
 
 
+@lru_cache(None)
+def _punctuation_finder() -> "re.Pattern":
+    return re.compile("[" + "".join(re.escape(chr(k)) for k in _punctuation()) + "]")
+
+
 def display_key(text: str | None) -> str | None:
     """Equal for texts that look the same. Null stays null, empty stays empty."""
     if text is None:
@@ -84,9 +108,12 @@ def display_key(text: str | None) -> str | None:
     base, alike, held, _, _ = _tables()
     if text.isascii():
         return text.replace("\t", " ")
-    out = text.translate(base)
+    drop, visible, _ = _finders()
+    out = text.translate(base) if drop.search(text) else text
     if not out.isascii():
-        out = unicodedata.normalize("NFKC", out.translate(held)).translate(base)
+        if not unicodedata.is_normalized("NFKC", out):
+            out = unicodedata.normalize("NFKC", out.translate(held) if visible.search(out) else out)
+            out = out.translate(base) if drop.search(out) else out
         out = unicodedata.normalize("NFC", out.translate(alike))
     return out
 
@@ -100,8 +127,8 @@ def one_script(text: str) -> str:
     """Look-alike letters resolved word by word: a word with letters that exist in one script only takes that script;
     a word of look-alikes alone takes the script of the word before it, or after it at the start."""
     base, alike, _, foreign, latin = _tables()
-    if not foreign.search(text):
-        return text if text.isascii() else text.translate(_punctuation())
+    if not foreign.search(text) or not _finders()[2].search(text):
+        return text if not _punctuation_finder().search(text) else text.translate(_punctuation())
     # letters of Cyrillic without a Latin twin decide for Cyrillic
     pieces, pending, last, at = [], [], None, 0
     to_cyr = str.maketrans(_TO_CYRILLIC)
@@ -142,7 +169,11 @@ def readable_form(text: str | None) -> str | None:
     base, _, _, _, _ = _tables()
     if text.isascii():
         return text.replace("\t", " ")
-    out = unicodedata.normalize("NFKC", text.translate(base)).translate(base)
+    drop = _finders()[0]
+    out = text.translate(base) if drop.search(text) else text
+    if not unicodedata.is_normalized("NFKC", out):
+        out = unicodedata.normalize("NFKC", out)
+        out = out.translate(base) if drop.search(out) else out
     return out if out.isascii() else unicodedata.normalize("NFC", one_script(out))
 
 

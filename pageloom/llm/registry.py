@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import cut, table
-from . import neardup, normalize, packing, tokenizer
+from . import neardup, normalize, packing, quality, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "ocr_text"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "ocr_text"), table(spark, d, "common_words"))
+
+
+def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics_table(table(spark, d, "ocr_text"), table(spark, d, "common_words"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
@@ -38,7 +46,7 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p4_found": p4_found, "p4_groups": p4_groups, "p8_ids": p8_ids, "p9_packed": p9_packed}
+    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_statistics": p7_statistics, "p8_ids": p8_ids, "p9_packed": p9_packed}
 
 
 def oracle_sql() -> dict[str, str]:
