@@ -7,7 +7,7 @@ similarity of one half every branch keeps a pair with probability one half). ``R
 recall at the threshold above 0.98; more similar pairs are found almost surely. What the sketch lets through is checked
 exactly on the word runs themselves, so that every row returned is right.
 
-For Spark: texts with equal words are one class and enter once; only 48 bytes a row and root are shuffled; the rows of a
+For Spark: texts with equal words are one class and enter once; only some 40 bytes a row and root are shuffled; the rows of a
 partition arrive sorted by node, so that whole batches of nodes branch and compare as array operations. A node of more than
 ``WIDE`` members never has to fit in a task: its rows are passed on as rows of its children and shuffled again in a next round.
 """
@@ -29,11 +29,13 @@ from .normalize import readable_form
 #: Words in a run, and the fewest words of a text that counts.
 RUN, LEAST_WORDS = 3, 30
 #: Minwise tokens of a record; root branches; members of a node compared exhaustively; levels of branching.
-COORDS, ROOTS, LEAF, DEPTH = 32, 10, 24, 10
+COORDS, ROOTS, LEAF, DEPTH = 48, 8, 24, 10
 #: Members beyond which a node is passed on to another round instead of being branched in memory.
 WIDE = 200_000
-#: Of COORDS tokens, how many must agree before a pair is checked exactly: 2.8 standard deviations under the mean at 0.5.
-AGREE = 8
+#: Tokens are kept to four bits for comparing. Of COORDS, how many must agree before a pair is checked exactly: 2.7 standard
+#: deviations under the mean at a similarity of one half, 3.4 over the mean at one tenth.
+AGREE = 16
+PACKED = COORDS // 2
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -42,7 +44,11 @@ _U = np.uint64
 @lru_cache(1)
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    return rng.integers(1, 1 << 63, COORDS, dtype=np.int64).astype(_U) * _U(2) + _U(1), rng.integers(0, 1 << 63, COORDS, dtype=np.int64).astype(_U)
+    return rng.integers(0, 1 << 31, COORDS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, COORDS, dtype=np.int64).astype(np.uint32)
+
+
+#: Equal halves of a byte, from the exclusive or of two bytes.
+_ALIKE = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], dtype=np.uint8)
 
 
 class _WordHashes(dict):
@@ -73,30 +79,30 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 def run_hashes(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashes of the runs of RUN words."""
+    """Sorted distinct 32-bit hashes of the runs of RUN words. Two different runs of a pair of texts fall together with a
+    probability of some 1e-6 a pair, and then move its similarity by one run."""
     if len(words) < RUN:
-        return np.empty(0, _U)
+        return np.empty(0, np.uint32)
     h = words[:-2] * _U(0x9E3779B97F4A7C15) + words[1:-1] * _U(0xC2B2AE3D27D4EB4F) + words[2:] * _U(0x165667B19E3779F9)
-    return np.unique(_mix(h))
+    return np.unique((_mix(h) >> _U(32)).astype(np.uint32))
 
 
 def _signatures(batches):
+    """(id, digest of the words, root tokens and four bits of every token)."""
+    import xxhash
+
     a, b = _functions()
     for batch in batches:
         ids, digests, sigs = [], [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text is None:
-                continue
             w = word_hashes(text)
             if len(w) < LEAST_WORDS:
                 continue
-            import xxhash
-
-            runs = run_hashes(w)
-            m = ((runs[:, None] * a + b) >> _U(32)).min(axis=0)
+            m = (run_hashes(w)[:, None] * a + b).min(axis=0)
+            four = (m * np.uint32(0x9E3779B1)) >> np.uint32(28)
             ids.append(i)
             digests.append(xxhash.xxh3_128_digest(w.tobytes()))
-            sigs.append(m.astype(np.uint32).tobytes())
+            sigs.append(m[:ROOTS].tobytes() + (four[::2] << np.uint32(4) | four[1::2]).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["_id", "_digest", "_sig"])
 
 
@@ -110,12 +116,12 @@ def _roots(batches):
         n = batch.num_rows
         if not n:
             continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(n, COORDS)
-        short = _mix(sig.astype(_U)).astype(np.uint8)
-        blobs = [x.tobytes() for x in short]
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(n, 4 * ROOTS + PACKED)
+        tokens = np.ascontiguousarray(sig[:, : 4 * ROOTS]).view(np.uint32)
+        short = pa.array([x.tobytes() for x in sig[:, 4 * ROOTS :]], pa.binary())
         for r in range(ROOTS):
-            node = _mix_node(sig[:, r].astype(_U), r + 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(n, 1, np.int32)), batch.column(0), pa.array(blobs, pa.binary())], names=["_node", "_level", "_id", "_short"])
+            node = _mix_node(tokens[:, r].astype(_U), r + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(n, 1, np.int32)), batch.column(0), short], names=["_node", "_level", "_id", "_short"])
 
 
 def _children(node: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +130,8 @@ def _children(node: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out = []
     for branch in (1, 2):
         at = _mix_node(node, 100 + branch)
-        token = short[rows, (at % _U(COORDS)).astype(np.int64)]
+        c = (at % _U(COORDS)).astype(np.int64)
+        token = (short[rows, c >> 1] >> (4 * (1 - (c & 1))).astype(np.uint8)) & np.uint8(15)
         out.append(_mix(at + token.astype(_U) * _U(0x9E3779B97F4A7C15)))
     return out[0], out[1]
 
@@ -138,7 +145,7 @@ def _compare(order: np.ndarray, start: np.ndarray, short: np.ndarray, found: lis
         if not len(same):
             return
         i, j = order[same], order[same + d]
-        keep = (short[i] == short[j]).sum(axis=1) >= AGREE
+        keep = _ALIKE[short[i] ^ short[j]].sum(axis=1) >= AGREE
         if keep.any():
             found.append(np.stack([i[keep], j[keep]], 1))
         d += 1
@@ -201,7 +208,7 @@ def _nodes(batches):
             batch.column(0).to_numpy(zero_copy_only=False),
             batch.column(1).to_numpy(zero_copy_only=False),
             batch.column(2).to_numpy(zero_copy_only=False),
-            np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, COORDS),
+            np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, PACKED),
         )
         cols = new if held is None else tuple(np.concatenate([a, b]) for a, b in zip(held, new))
         node = cols[0]
@@ -229,23 +236,31 @@ def _nodes(batches):
 
 def _word_runs(batches):
     for batch in batches:
-        runs = [run_hashes(word_hashes(t)).view(np.int64) for t in batch.column(1).to_pylist()]
+        runs = [run_hashes(word_hashes(t)).view(np.int32) for t in batch.column(1).to_pylist()]
         offsets = np.zeros(len(runs) + 1, dtype=np.int32)
         offsets[1:] = np.cumsum([len(x) for x in runs])
-        flat = pa.array(np.concatenate(runs) if runs else np.empty(0, np.int64))
+        flat = pa.array(np.concatenate(runs) if runs else np.empty(0, np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["_id", "_runs"])
 
 
-def classes(docs: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
+def signed(docs: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     """(_id, _digest, _sig): the records that count, with a digest of their words. Materialised; null keys are left out."""
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).filter("_id is not null and _text is not null")
-    return cut(rows.mapInArrow(_signatures, f"_id {kind}, _digest binary, _sig binary").dropDuplicates(["_id"]))
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).filter("_id is not null and _text is not null")
+    return cut(rows.mapInArrow(_signatures, "_id long, _digest binary, _sig binary"))
+
+
+def classes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row (_id, _sig) per class of equal words, under its least key, and (_id, _rep, _copies) for every record of a
+    class of several. Copies are counted with map-side combine; single records have no second row."""
+    one = members.groupBy("_digest").agg(F.min("_id").alias("_rep"), F.max("_id").alias("_last"), F.min("_sig").alias("_sig"))
+    one = cut(one)
+    several = one.filter("_rep <> _last").select("_digest", "_rep")
+    copies = cut(members.select("_id", "_digest").join(several, "_digest").select("_id", "_rep").distinct())
+    return one.select(F.col("_rep").alias("_id"), "_sig"), copies
 
 
-def class_pairs(docs: DataFrame, members: DataFrame, key: str = "file_id", text: str = "content", threshold: float = 0.5) -> DataFrame:
+def class_pairs(docs: DataFrame, reps: DataFrame, key: str = "file_id", text: str = "content", threshold: float = 0.5) -> DataFrame:
     """(a, b, similarity): pairs of class representatives (least id) with similarity of at least ``threshold``."""
-    reps = cut(members.groupBy("_digest").agg(F.min("_id").alias("_id"), F.min("_sig").alias("_sig")).select("_id", "_sig"))
     rows = reps.select("_id", "_sig").mapInArrow(_roots, "_node long, _level int, _id long, _short binary")
     found = None
     while True:
@@ -259,7 +274,7 @@ def class_pairs(docs: DataFrame, members: DataFrame, key: str = "file_id", text:
     # exact check on the texts of the records that occur in a candidate
     wanted = found.select(F.col("a").alias("_id")).union(found.select("b")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).filter("_text is not null")
-    sets = cut(texts.join(wanted, "_id", "left_semi").dropDuplicates(["_id"]).mapInArrow(_word_runs, "_id long, _runs array<long>"))
+    sets = cut(texts.join(wanted, "_id", "left_semi").dropDuplicates(["_id"]).mapInArrow(_word_runs, "_id long, _runs array<int>"))
     left = sets.select(F.col("_id").alias("a"), F.col("_runs").alias("_ra"))
     right = sets.select(F.col("_id").alias("b"), F.col("_runs").alias("_rb"))
     common = F.size(F.array_intersect("_ra", "_rb"))
@@ -278,11 +293,8 @@ def similar_pairs(docs: DataFrame, key: str = "file_id", text: str = "content",
     Null and empty texts and texts of fewer than 30 words never count; a key in several rows counts once; keys must be
     integers. An empty table gives no rows.
     """
-    members = classes(docs, key, text)
-    reps = members.groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies"))
-    of = cut(members.select("_id", "_digest").join(reps, "_digest").select("_id", "_rep", "_copies"))
-    pairs = cut(class_pairs(docs, members, key, text, threshold).select("a", "b"))
-    several = of.filter("_copies > 1").select("_id", "_rep")
+    reps, several = classes(signed(docs, key, text))
+    pairs = cut(class_pairs(docs, reps, key, text, threshold).select("a", "b"))
     m1, m2 = (several.select(F.col("_id").alias(f"_m{k}"), F.col("_rep").alias(f"_r{k}")) for k in (1, 2))
     wide = pairs.join(m1, F.col("a") == F.col("_r1"), "left").select(F.coalesce("_m1", "a").alias("_x"), "b")
     wide = wide.join(m2, F.col("b") == F.col("_r2"), "left").select("_x", F.coalesce("_m2", "b").alias("_y"))
@@ -297,10 +309,9 @@ def groups(docs: DataFrame, key: str = "file_id", text: str = "content", thresho
     the least key of all records that links connect. Components are found by repeated minimum over neighbours with
     pointer jumping on the table of links; nothing of it comes to the driver but a count per round.
     """
-    members = classes(docs, key, text)
-    reps = members.groupBy("_digest").agg(F.min("_id").alias("_rep"))
-    of = members.select("_id", "_digest").join(reps, "_digest").select("_id", "_rep")
-    pairs = cut(class_pairs(docs, members, key, text, threshold).select("a", "b"))
+    reps, several = classes(signed(docs, key, text))
+    of = reps.select("_id", F.col("_id").alias("_rep")).union(several).distinct()
+    pairs = cut(class_pairs(docs, reps, key, text, threshold).select("a", "b"))
     links = cut(pairs.union(pairs.select(F.col("b"), F.col("a"))))
     root = cut(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")))
     while True:
