@@ -118,6 +118,8 @@ def display_key(text: str | None) -> str | None:
     return out
 
 
+#: Covers every key of LOOKALIKES in a few ranges.
+_MAY_DIFFER = re.compile("[\u01c3\u0261\u017f\u02b0-\u02ff\u0370-\u052f\u05c3\u2010-\u2012\u2212]")
 _WORDISH = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 _CYRILLIC = re.compile("[\u0400-\u052f]")
 _TO_CYRILLIC = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "y": "у", "x": "х", "A": "А", "B": "В", "E": "Е", "K": "К", "M": "М", "H": "Н", "O": "О", "P": "Р", "C": "С", "T": "Т", "X": "Х", "Y": "У", "ë": "ё", "Ë": "Ё"}
@@ -126,6 +128,8 @@ _TO_CYRILLIC = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "y": "у"
 def one_script(text: str) -> str:
     """Look-alike letters resolved word by word: a word with letters that exist in one script only takes that script;
     a word of look-alikes alone takes the script of the word before it, or after it at the start."""
+    if not _MAY_DIFFER.search(text):
+        return text
     base, alike, _, foreign, latin = _tables()
     if not foreign.search(text) or not _finders()[2].search(text):
         return text if not _punctuation_finder().search(text) else text.translate(_punctuation())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import cut, table
-from . import neardup, normalize, packing, quality, tokenizer
+from . import neardup, normalize, packing, pii, quality, scans, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,22 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "ocr_text"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "ocr_text"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "ocr_text").distinct())
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(table(spark, d, "ocr_text"), table(spark, d, "common_words"))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "ocr_text").distinct(), table(spark, d, "common_words"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(table(spark, d, "ocr_text"), table(spark, d, "common_words"))
 
@@ -46,7 +62,7 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_statistics": p7_statistics, "p8_ids": p8_ids, "p9_packed": p9_packed}
+    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_statistics": p7_statistics, "p8_ids": p8_ids, "p9_packed": p9_packed}
 
 
 def oracle_sql() -> dict[str, str]:
