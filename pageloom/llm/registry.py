@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import cut, table
-from . import neardup, normalize, packing, pii, quality, scans, tokenizer
+from . import language, neardup, normalize, packing, pii, quality, reading, scans, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,15 @@ def p2_normalized(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalized(table(spark, d, "ocr_text").distinct()).select("file_id", "normal")
 
 
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    t = {n: table(spark, d, n) for n in ("ocr_text", "files", "lang_packs", "common_words", "documents")}
+    return language.segments(t["ocr_text"], t["files"], t["lang_packs"], t["common_words"], t["documents"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_segments(spark, d).select("file_id", "seg_no", "lang")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, d, "ocr_text"))
 
@@ -61,8 +70,16 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(sizes, table(spark, d, "pack_capacities"))
 
 
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"), table(spark, d, "common_words"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_levels(spark, d).filter("level <> 'middle'").select("doc_id", "level")
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_statistics": p7_statistics, "p8_ids": p8_ids, "p9_packed": p9_packed}
+    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_statistics": p7_statistics, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_levels": p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:
