@@ -38,6 +38,7 @@ AGREE = 16
 PACKED = COORDS // 2
 
 _WORD = re.compile(r"[^\W_]+")
+_WORD_ASCII = re.compile(r"[a-z0-9]+")
 _U = np.uint64
 
 
@@ -73,7 +74,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    words = _WORD.findall(readable_form(text).lower())
+    form = readable_form(text).lower()
+    words = (_WORD_ASCII if form.isascii() else _WORD).findall(form)
     get = _hash_of
     return np.array([get[w] for w in words], dtype=_U)
 

@@ -30,6 +30,7 @@ NAMES = list(STATS)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœаеёиоуыэюяАЕЁИОУЫЭЮЯ"
 _CONSONANTS = re.compile(rf"[^{_VOWELS}\W\d_]{{4}}")
+_WORD_ASCII = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
 _MARK = re.compile(r"^\s*(?:[•·▪◦*–—-]\s|\d+\s*[x×]\s|\(?\d{1,3}[.)]\s|[a-z][.)]\s|\[[ xX]?\]\s|☐|□)")
 #: Cell borders of a table row; a comma counts where no space follows it.
 _BORDERS = (re.compile(r"\t"), re.compile(r"\|"), re.compile(r";"), re.compile(r"(?<=\S) {2,}(?=\S)"), re.compile(r",(?! )"))
@@ -83,7 +84,7 @@ def statistics(text: str, known: _Words) -> tuple[str, list[float]]:
     t = readable_form(text)
     # readable_form maps tabs to spaces; columns are told from the text as it is
     lines = [x for x in [y.strip(" \f\r") for y in text.split("\n")] if x and not x.isspace()]
-    words = _WORD.findall(t)
+    words = (_WORD_ASCII if t.isascii() else _WORD).findall(t)
     n = len(words)
     info = [known[w] for w in words]
     votes: dict[int, int] = {}

@@ -24,7 +24,9 @@ from .quality import _Words, kind_of, language_words, statistics
 from .sketch import count_words, estimate
 
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
+_WORD_ASCII = re.compile(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
 _RUN = re.compile(r"[^\W_]+")
+_RUN_ASCII = re.compile(r"[A-Za-z0-9]+")
 _HYPHENS = "-‐¬­"
 #: Letters and digits that stand for others of similar shape, as printed to what was meant (fixed values).
 DIGIT_SHAPES = {"0": "oO", "1": "liI", "2": "zZ", "3": "e", "4": "aA", "5": "sS", "6": "bG", "7": "tT", "8": "bB", "9": "gq"}
@@ -43,7 +45,8 @@ _FOLD = str.maketrans({"1": "l", "i": "l", "|": "l", "0": "o", "5": "s", "7": "t
 
 def _vocabulary_of(text: str) -> set[str]:
     """Lower-case words of a text, with compounds whole and in parts."""
-    found = set(_WORD.findall(readable_form(text).lower()))
+    form = readable_form(text).lower()
+    found = set((_WORD_ASCII if form.isascii() else _WORD).findall(form))
     for w in [w for w in found if "-" in w]:
         found.update(w.split("-"))
     return found
@@ -56,20 +59,27 @@ def vocabulary_sketch(docs: DataFrame, text: str = "content") -> np.ndarray:
 
 def _folded(line: str) -> str:
     """A line without page numbers at its ends, in letters of one shape each."""
-    s = _EDGE_NUMBER.sub("", line.strip()).strip().lower()
+    s = (_EDGE_NUMBER.sub("", line).strip() if "  " in line else line).lower()
     s = s.replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ii", "u").replace("li", "h")
     return " ".join(s.translate(_FOLD).split())
 
 
 def _near(a: str, b: str) -> bool:
-    """At most an eighth of the letters differ."""
+    """Few letters differ: an eighth of them in place, or one short stretch."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 3 or not a or not b:
+    n, m = len(a), len(b)
+    if abs(n - m) > 3 or not n or not m:
         return False
-    from difflib import SequenceMatcher
-
-    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.88
+    if n == m:
+        return sum(map(str.__ne__, a, b)) * 8 <= n
+    k = 0
+    while k < min(n, m) and a[k] == b[k]:
+        k += 1
+    e = 0
+    while e < min(n, m) - k and a[-1 - e] == b[-1 - e]:
+        e += 1
+    return (max(n, m) - k - e) * 5 <= max(n, m)
 
 
 class Reader:
@@ -191,8 +201,11 @@ class Reader:
         lines = text.split("\n")
         headers, numbers = self.edges(lines)
         out = [(i + 1, "running_header") for i in sorted(headers)] + [(i + 1, "page_number") for i in sorted(numbers)]
+        seen = self.verdicts
         running = [i for i, x in enumerate(lines) if i not in headers and i not in numbers and x.strip(" \f\r\t")]
-        clean = readable_form(text).split("\n")  # nothing in it adds or removes a newline
+        form = readable_form(text)
+        run_of = (_RUN_ASCII if form.isascii() else _RUN).findall
+        clean = form.split("\n")  # nothing in it adds or removes a newline
         for k, i in enumerate(running):
             raw = lines[i].rstrip(" \r\t")
             head = tail = ""
@@ -209,13 +222,13 @@ class Reader:
                         joint = not (a >= 5 and b >= 5 and raw[-1] == "-")
                     if joint:
                         out.append((i + 1, "hyphen_break"))
-            words = _RUN.findall(clean[i])
+            words = run_of(clean[i])
             if head and words:
                 words.pop()  # half a word
             before = lines[running[k - 1]].rstrip(" \r\t") if k else ""
             if words and before[-1:] in _HYPHENS and before[-2:-1].isalpha():
                 words.pop(0)
-            if any(map(self.misread, words)) or (tail and self.misread(head.split("-")[-1] + tail)):
+            if any([seen[w] if w in seen else self.misread(w) for w in words]) or (tail and self.misread(head.split("-")[-1] + tail)):
                 out.append((i + 1, "misread"))
         return out
 

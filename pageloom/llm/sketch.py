@@ -49,7 +49,15 @@ def count_words(docs: DataFrame, text: str, words_of) -> np.ndarray:
         if counts:
             yield drain()
 
-    rows = docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(ROWS * BUCKETS, dtype=np.int64)
-    out[rows["cell"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
+    def packed(batches):
+        for b in batches:
+            if b.num_rows:
+                at, n = b.column(0).to_numpy(zero_copy_only=False).astype(np.int32), b.column(1).to_numpy(zero_copy_only=False)
+                n = np.minimum(n, (1 << 31) - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["cells", "n"])
+
+    sums = docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(ROWS * BUCKETS, dtype=np.int32)
+    for r in sums.mapInArrow(packed, "cells binary, n binary").toLocalIterator():
+        out[np.frombuffer(r["cells"], dtype=np.int32)] = np.frombuffer(r["n"], dtype=np.int32)
+    return out
