@@ -35,17 +35,17 @@ def fold_table() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Lower case without single diacritics."""
     src, dst = fold_table()
-    return F.regexp_replace(F.translate(F.lower(text), src, dst), r"\p{M}", "")
+    return F.regexp_replace(F.translate(F.lower(text), src, dst), r"[\x{0300}-\x{036F}]", "")
 
 
 def fold_sql(x: str) -> str:
     src, dst = fold_table()
-    return rf"regexp_replace(translate(lower({x}), '{src}', '{dst}'), '\p{{M}}', '', 'g')"
+    return rf"regexp_replace(translate(lower({x}), '{src}', '{dst}'), '[\x{{0300}}-\x{{036F}}]', '', 'g')"
 
 
 def fold_py(text: str) -> str:
     src, dst = fold_table()
-    return "".join(c for c in text.lower().translate(str.maketrans(src, dst)) if unicodedata.category(c)[0] != "M")
+    return "".join(c for c in text.lower().translate(str.maketrans(src, dst)) if not "\u0300" <= c <= "\u036f")
 
 
 def tokens(text: Column) -> Column:

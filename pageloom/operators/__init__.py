@@ -1 +1 @@
-
+"""Operators on files, indexes and queries."""

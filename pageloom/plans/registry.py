@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import incremental
+from . import core_queries
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,12 +32,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p1_found(spark, d)
+    return core_queries.QUERIES["search_term"](spark, d)
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found} | core_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL} | core_queries.SQL
