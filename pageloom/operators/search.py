@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import porter
 from ..functions.text import budget_py, collapse_whitespace, distance_within, fold_py, is_bareword, phrase_starts, sanitize, stem_distance_within, tokens
+from ..plans.runtime import cut
 from .query import Near, Op, Phrase, leaves, plan
 
 K1, B = 1.2, 0.75
@@ -155,34 +156,56 @@ def idf(n: int, df: int) -> float:
     return max(1e-6, math.log((n - df + 0.5) / (df + 0.5)))
 
 
+def _wanted(found: list[Phrase]) -> list[tuple[str, bool]]:
+    return sorted({(t, p.prefix and k == len(p.terms) - 1) for p in found for k, t in enumerate(p.terms)})
+
+
+def _any(cols: list[Column]) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = out | c
+    return out
+
+
+def _from_texts(rows: DataFrame, wanted: list[tuple[str, bool]], stemmed: bool) -> DataFrame:
+    """(file_id, p0, p1, ...): sorted positions of each wanted term, from the texts themselves."""
+    toks = token_rows(rows)
+    # a stem shares all but its last letter with its words: others never reach the stemmer
+    toks = toks.filter(_any([F.col("token").startswith(t[: max(1, len(t) - 1)] if stemmed else t) for t, _ in wanted]))
+    toks = porter.with_stem(toks, "token", "term") if stemmed else toks.withColumnRenamed("token", "term")
+    cols = [F.array_sort(F.collect_list(F.when(_is(t, pre), F.col("pos")))).alias(f"p{k}") for k, (t, pre) in enumerate(wanted)]
+    return toks.filter(_any([_is(t, pre) for t, pre in wanted])).groupBy("file_id").agg(*cols)
+
+
+def _from_postings(posts: DataFrame, wanted: list[tuple[str, bool]]) -> DataFrame:
+    """The same from an inverted index; the conditions on the term reach the scan, which is sorted by term."""
+    cols = [F.array_sort(F.flatten(F.collect_list(F.when(_is(t, pre), F.col("positions"))))).alias(f"p{k}") for k, (t, pre) in enumerate(wanted)]
+    return posts.filter(_any([_is(t, pre) for t, pre in wanted])).groupBy("file_id").agg(*cols)
+
+
 def search_tree(rows: DataFrame, tree, stemmed: bool = True) -> DataFrame:
     """(file_id, score) of every match of a query tree; the lower the score, the better."""
+    return _ranked(tree, lambda wanted: _from_texts(rows, wanted, stemmed), docstats(rows))
+
+
+def search_index(posts: DataFrame, stats: DataFrame, tree) -> DataFrame:
+    """``search_tree`` over a stored index: (term, file_id, positions) and (file_id, dl)."""
+    return _ranked(tree, lambda wanted: _from_postings(posts, wanted), stats)
+
+
+def _ranked(tree, hits_of, stats: DataFrame) -> DataFrame:
     tree = _same_leaves(tree)
     found = leaves(tree)
     if not found:
-        return rows.select("file_id", F.lit(0.0).alias("score")).limit(0)
-    wanted = sorted({(t, p.prefix and k == len(p.terms) - 1) for p in found for k, t in enumerate(p.terms)})
-    toks = token_rows(rows)
-    # a stem shares all but its last letter with its words: others never reach the stemmer
-    lead = None
-    for t, _ in wanted:
-        c = F.col("token").startswith(t[: max(1, len(t) - 1)] if stemmed else t)
-        lead = c if lead is None else lead | c
-    toks = toks.filter(lead)
-    toks = porter.with_stem(toks, "token", "term") if stemmed else toks.withColumnRenamed("token", "term")
-    keep = None
-    for t, pre in wanted:
-        keep = _is(t, pre) if keep is None else keep | _is(t, pre)
-    cols = [F.array_sort(F.collect_list(F.when(_is(t, pre), F.col("pos")))).alias(f"p{k}") for k, (t, pre) in enumerate(wanted)]
-    at = {w: F.col(f"p{k}") for k, w in enumerate(wanted)}
-    hits = toks.filter(keep).groupBy("file_id").agg(*cols)
-    # phrase starts become columns, so that counts, matches and scores read them once
+        return stats.select("file_id", F.lit(0.0).alias("score")).limit(0)
+    wanted = _wanted(found)
+    hits, at = hits_of(wanted), {w: F.col(f"p{k}") for k, w in enumerate(wanted)}
     starts = {}
+    # phrase starts become columns, so that counts, matches and scores read them once
     for k, p in enumerate(found):
         hits = hits.withColumn(f"s{k}", _runs([at[(t, p.prefix and i == len(p.terms) - 1)] for i, t in enumerate(p.terms)], p))
         starts[id(p)] = F.col(f"s{k}")
     hits = hits.select("file_id", *[f"s{k}" for k in range(len(found))])
-    stats = docstats(rows)
     total = stats.agg(F.count("*").alias("n"), F.sum("dl").alias("t")).first()
     n, avg = total["n"], (total["t"] or 0) / max(1, total["n"]) or 1.0
     seen = hits.agg(*[F.count_if(F.size(f"s{k}") > 0).alias(f"d{k}") for k in range(len(found))]).first()
@@ -346,7 +369,7 @@ def search_fuzzy(rows: DataFrame, raw: str, limit: int = 20, most: int | None =
     wide = None
     if '"' not in text and exact.limit(limit).count() < limit:
         typed = {porter.stem(fold_py(w)): fold_py(w) for w in text.split() if is_bareword(w) and not w.endswith("*")}
-        wide = widen(vocabulary(rows, stemmed=True), tree, most, typed)
+        wide = widen(cut(vocabulary(rows, stemmed=True)), tree, most, typed)
     if wide is not None:
         more = search_tree(rows, wide).join(exact.select("file_id"), "file_id", "left_anti")
         first = first.unionByName(more.withColumn("tier", F.lit(1)))

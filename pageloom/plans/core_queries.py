@@ -29,7 +29,10 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return S.corpus(table(spark, d, "documents"))
+    """The documents as a corpus; one small file would be one task, so it is spread over the cores."""
+    docs = S.corpus(table(spark, d, "documents"))
+    n = spark.sparkContext.defaultParallelism
+    return docs.repartition(n, "file_id") if docs.rdd.getNumPartitions() < n else docs
 
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -123,9 +126,9 @@ def substring_search(spark, d):
 
 @query(
     f"""WITH c AS (SELECT doc_id AS file_id, lower(coalesce(text, '')) AS t, lang FROM documents),
-x AS (SELECT *, greatest(0, length(t) - 2) AS dl, len(list_filter(range(1, length(t) - 4), lambda i: substr(t, i, 5) = 'oster')) AS f FROM c),
+x AS (SELECT *, greatest(0, length(t) - 2) AS dl, (length(t) - length(replace(t, 'oster', ''))) // 5 AS f FROM c),
 total AS (SELECT count(*) AS n, sum(dl) / count(*) AS a FROM x), xd AS (SELECT count(*) AS df FROM x WHERE f > 0)
-SELECT '/doc/' || file_id AS path, round(-({R.bm25("f", "df", "dl")}), 6) AS score, 0.0 AS mtime, lang, file_id FROM x, total, xd WHERE f > 0
+SELECT '/doc/' || file_id AS path, round(-({R.bm25("f", "df", "dl")}), 6) AS score, CAST(0.0 AS DOUBLE) AS mtime, lang, file_id FROM x, total, xd WHERE f > 0
 ORDER BY -({R.bm25("f", "df", "dl")}), file_id LIMIT 20"""
 )
 def substring_bm25(spark, d):

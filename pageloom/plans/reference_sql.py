@@ -31,7 +31,7 @@ def ranked(ctes: str, leaves: dict[str, str], where: str, gates: dict[str, str]
     body = ",\n".join(leaf(k, v) for k, v in leaves.items())
     return f"""WITH {ctes},
 {body}
-SELECT '/doc/' || c.file_id AS path, round(-({' + '.join(parts)}), 6) AS score, 0.0 AS mtime, d.lang, c.file_id
+SELECT '/doc/' || c.file_id AS path, round(-({' + '.join(parts)}), 6) AS score, CAST(0.0 AS DOUBLE) AS mtime, d.lang, c.file_id
 FROM c {joins} CROSS JOIN total JOIN documents d ON d.doc_id = c.file_id
 WHERE {where} ORDER BY -({' + '.join(parts)}), c.file_id LIMIT {limit}"""
 
