@@ -96,22 +96,26 @@ def _runs(positions: list[Column], phrase: Phrase) -> Column:
     return F.filter(first, lambda x: x == 0) if phrase.first else first
 
 
-def _near(counts: dict, node: Near) -> Column:
-    """True where an occurrence of every phrase lies within the distance of the first one chosen."""
-    names = [counts[id(p)] for p in node.phrases]
-    if len(names) == 1:
-        return F.size(names[0]) > 0
+def _near_starts(node: Near, starts: dict, which: int) -> Column:
+    """The places of one phrase of a NEAR that have every other phrase of it within the distance."""
+    phrases = [(starts[id(p)], len(p.terms)) for p in node.phrases]
+    mine, size = phrases[which]
+    others = phrases[:which] + phrases[which + 1 :]
 
     def fits(chosen: list, rest: list) -> Column:
         if not rest:
-            lo = F.least(*[c for c, _ in chosen]) if len(chosen) > 1 else chosen[0][0]
-            sizes = sum(n for _, n in chosen)
+            if len(chosen) == 1:
+                return F.lit(True)
             ends = F.greatest(*[c + n for c, n in chosen])
-            return (ends - lo - sizes) <= node.distance
+            return (ends - F.least(*[c for c, _ in chosen]) - sum(n for _, n in chosen)) <= node.distance
         (pos, n), *more = rest
         return F.exists(pos, lambda x: fits([*chosen, (x, n)], more))
 
-    return fits([], [(pos, len(p.terms)) for pos, p in zip(names, node.phrases)])
+    return F.filter(mine, lambda x: fits([(x, size)], others))
+
+
+def _near(starts: dict, node: Near) -> Column:
+    return F.size(_near_starts(node, starts, 0)) > 0
 
 
 def _matches(node, starts: dict) -> Column:
@@ -133,8 +137,11 @@ def _scored(node, starts: dict, gate: Column | None, idf: dict, part) -> list[Co
     """One addend per phrase, counted only where every expression around it matches; what NOT excludes never scores."""
     if isinstance(node, (Phrase, Near)):
         ok = _matches(node, starts) if gate is None else gate & _matches(node, starts)
-        ps = [node] if isinstance(node, Phrase) else node.phrases
-        return [F.when(ok, part(F.size(starts[id(p)]).cast("double"), idf[id(p)])).otherwise(0.0) for p in ps]
+        if isinstance(node, Phrase):
+            found = [(node, starts[id(node)])]
+        else:  # only places that take part in the nearness count
+            found = [(p, _near_starts(node, starts, k)) for k, p in enumerate(node.phrases)]
+        return [F.when(ok, part(F.size(s).cast("double"), idf[id(p)])).otherwise(0.0) for p, s in found]
     if node.kind == "none":
         return []
     ok = _matches(node, starts) if gate is None else gate & _matches(node, starts)

@@ -89,9 +89,9 @@ _search(
 _search(
     "search_near", '"price" NEAR(bread storm, 12)',
     R.ranked(
-        R.STEMS + ", nr AS (SELECT DISTINCT a.file_id FROM st a JOIN st b ON a.file_id = b.file_id AND b.term = 'storm' WHERE a.term = 'bread' AND abs(a.pos - b.pos) - 1 <= 12)",
-        {"x": R.term("price"), "y": R.term("bread"), "z": R.term("storm")}, "x.f > 0 AND c.file_id IN (SELECT file_id FROM nr)",
-    ),
+        R.STEMS + ", nr AS (SELECT a.file_id, a.pos AS x, b.pos AS y FROM st a JOIN st b ON a.file_id = b.file_id AND b.term = 'storm' WHERE a.term = 'bread' AND abs(a.pos - b.pos) - 1 <= 12)",
+        {"x": R.term("price"), "y": "SELECT DISTINCT file_id, x FROM nr", "z": "SELECT DISTINCT file_id, y FROM nr"}, "x.f > 0 AND y.f > 0",
+    ).replace("yd AS (SELECT count(*) AS df FROM y)", "yd AS (SELECT count(DISTINCT file_id) AS df FROM st WHERE term = 'bread')").replace("zd AS (SELECT count(*) AS df FROM z)", "zd AS (SELECT count(DISTINCT file_id) AS df FROM st WHERE term = 'storm')"),
 )
 
 
