@@ -108,18 +108,29 @@ def plan(counts: dict[int, int], capacity: int, bins: int = BINS) -> list[tuple[
             n -= m
             for s, q in want.items():
                 left[s] -= q * m
-    # what is left: largest first, each space filled by the largest item that still fits
+    # what is left: largest first, each space filled by the largest item that still fits; the length that holds most of
+    # what is left is tried first, in any number, where that wastes less
     sizes = sorted(s for s, n in left.items() if n > 0)
-    while sizes:
-        space, want = capacity, {}
-        at = len(sizes)
+
+    def fill(space: int, want: dict[int, int]) -> tuple[int, dict[int, int]]:
+        at = bisect_right(sizes, space)
         while at:
             s = sizes[at - 1]
-            if s <= space:
-                q = min(left[s], space // s)
-                want[s] = q
+            q = min(left[s] - want.get(s, 0), space // s)
+            if q > 0:
+                want[s] = want.get(s, 0) + q
                 space -= q * s
             at = min(at - 1, bisect_right(sizes, space))
+        return space, want
+
+    while sizes:
+        top, common = sizes[-1], max(sizes, key=lambda s: (s * left[s], s))
+        options = [fill(capacity, {})]
+        for q in range(1, min(8, (capacity - top) // common, left[common] - (top == common)) + 1):
+            start = {top: 1}
+            start[common] = start.get(common, 0) + q
+            options.append(fill(capacity - top - q * common, start))
+        _, want = min(options, key=lambda o: (o[0], -o[1].get(common, 0)))
         m = min(left[s] // q for s, q in want.items())
         out.append((want, m))
         for s, q in want.items():
