@@ -73,8 +73,17 @@ def fit_patterns(hist: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.nd
 def plan(counts: dict[int, int], capacity: int, bins: int = BINS) -> list[tuple[dict[int, int], int]]:
     """(items by length, repeats): how many containers hold which lengths. Every item is placed, none is split.
 
-    ``counts``: number of items by length, 1 .. capacity.
+    ``counts``: number of items by length, 1 .. capacity. The fitted patterns are followed by the packing of what they
+    leave; where a histogram is so sparse or lopsided that packing without patterns needs fewer containers, that is taken.
     """
+    fitted, left = _by_patterns(counts, capacity, bins)
+    all_ = {s: n for s, n in counts.items() if n > 0}
+    options = [fitted + _residual(dict(left), capacity, hot) for hot in (True, False)] + [_residual(dict(all_), capacity, hot) for hot in (True, False)]
+    return min(options, key=lambda o: sum(m for _, m in o))
+
+
+def _by_patterns(counts: dict[int, int], capacity: int, bins: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Containers by fitted patterns, and the items they leave."""
     left = {s: n for s, n in counts.items() if n > 0}
     out: list[tuple[dict[int, int], int]] = []
     width = -(-capacity // bins)
@@ -108,8 +117,13 @@ def plan(counts: dict[int, int], capacity: int, bins: int = BINS) -> list[tuple[
             n -= m
             for s, q in want.items():
                 left[s] -= q * m
-    # what is left: largest first, each space filled by the largest item that still fits; the length that holds most of
-    # what is left is tried first, in any number, where that wastes less
+    return out, left
+
+
+def _residual(left: dict[int, int], capacity: int, hot: bool) -> list[tuple[dict[int, int], int]]:
+    """Largest first, each space filled by the largest item that still fits. With ``hot``, the length that holds most of what
+    is left is tried first, in any number, where that wastes less."""
+    out: list[tuple[dict[int, int], int]] = []
     sizes = sorted(s for s, n in left.items() if n > 0)
 
     def fill(space: int, want: dict[int, int]) -> tuple[int, dict[int, int]]:
@@ -126,7 +140,7 @@ def plan(counts: dict[int, int], capacity: int, bins: int = BINS) -> list[tuple[
     while sizes:
         top, common = sizes[-1], max(sizes, key=lambda s: (s * left[s], s))
         options = [fill(capacity, {})]
-        for q in range(1, min(8, (capacity - top) // common, left[common] - (top == common)) + 1):
+        for q in range(1, min(8, (capacity - top) // common, left[common] - (top == common)) + 1 if hot else 1):
             start = {top: 1}
             start[common] = start.get(common, 0) + q
             options.append(fill(capacity - top - q * common, start))
