@@ -12,7 +12,7 @@ from ..operators import search as S
 from ..operators.incremental import instant, is_image
 from ..streaming import batcher
 from . import reference_sql as R
-from .runtime import table
+from .runtime import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,10 +29,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    """The documents as a corpus; one small file would be one task, so it is spread over the cores."""
-    docs = S.corpus(table(spark, d, "documents"))
-    n = spark.sparkContext.defaultParallelism
-    return docs.repartition(n, "file_id") if docs.rdd.getNumPartitions() < n else docs
+    return S.corpus(spread(table(spark, d, "documents")))
 
 
 def _hits(df: DataFrame) -> DataFrame:
