@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.runtime import cut, table
+from ..plans.runtime import cut, spread
+from ..plans.runtime import table as plain_table
 from . import language, neardup, normalize, packing, pii, quality, reading, scans, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """An input table; those with texts over all cores."""
+    out = plain_table(spark, d, name)
+    return spread(out) if name in ("ocr_text", "documents") else out
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return normalize.look_alike_pairs(table(spark, d, "ocr_text"))
 
