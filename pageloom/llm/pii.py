@@ -3,7 +3,7 @@
 Detection runs on a deobfuscated text. A first transducer brings characters to one form (look-alikes, width, ligatures,
 invisible characters) and keeps, for every character it emits, the place it came from; the patterns then read the disguises of
 signs (at, dot, spaces around them, digits set apart or spelled) as the signs themselves. Every span found is mapped back to
-the source characters. Names are told by two count sketches over all texts: how often a word follows a phrase that takes a
+the source characters. Names are told by two exact counts over all texts: how often a word follows a phrase that takes a
 person (a form of address, a salutation, a signature and the like) as given name or surname, and how often it occurs at all.
 """
 
@@ -13,13 +13,12 @@ import re
 import unicodedata
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .normalize import _finders, one_script, readable_form
-from .sketch import count_words, estimate
+from .sketch import Counts, collected, word_counts
 
 KINDS = ("person_name", "email", "phone", "id_number", "street_address")
 
@@ -267,11 +266,18 @@ def name_evidence(text: str) -> set[str]:
     return out
 
 
+def name_roles(docs: DataFrame, text: str = "content") -> Counts:
+    """1 for given names and 2 for surnames: words in name phrases of two texts or more, and of 12 % of the texts they occur in."""
+    w, g, s = (F.col(f"n{i}") for i in range(3))
+    counts = word_counts(docs, text, name_evidence, ("w:", "g:", "s:"))
+    return collected(counts.filter((g + s >= 2) & (g + s >= 0.12 * w)).select("key", F.when(g > s, 1).otherwise(2).alias("role")), "role")
+
+
 class Finder:
-    """Finds personal information in one text at a time, by a sketch of ``name_evidence``."""
+    """Finds personal information in one text at a time, by ``name_roles``."""
 
-    def __init__(self, sketch: np.ndarray):
-        self.sketch = sketch
+    def __init__(self, known: Counts):
+        self.known = known
         self.roles: dict[str, str] = {}
         self.title = re.compile(rf"\b{_TITLE}[ \n]{{1,2}}$")
 
@@ -282,10 +288,7 @@ class Finder:
             if len(self.roles) > 500_000:
                 self.roles.clear()
             w = _plain(word)
-            total = estimate(self.sketch, "w:" + w)
-            g, s = estimate(self.sketch, "g:" + w), estimate(self.sketch, "s:" + w)
-            r = "" if len(w) < 3 or g + s < 2 or (g + s) < 0.12 * total else "g" if g > s else "s"
-            self.roles[word] = r
+            r = self.roles[word] = "" if len(w) < 3 else ("", "g", "s")[self.known.get(w)]
         return r
 
     def names(self, t: str) -> list[tuple[int, int]]:
@@ -383,11 +386,11 @@ class Finder:
 
 
 def _apply(docs: DataFrame, key: str, text: str, schema: list[tuple[str, pa.DataType, str]], rows_of) -> DataFrame:
-    sketch = docs.sparkSession.sparkContext.broadcast(count_words(docs, text, name_evidence))  # of fixed size
+    known = docs.sparkSession.sparkContext.broadcast(name_roles(docs, text))  # of the names only
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
-        finder = Finder(sketch.value)
+        finder = Finder(known.value)
         for b in batches:
             out: list[list] = [[] for _ in range(len(schema) + 1)]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

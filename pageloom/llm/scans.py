@@ -5,8 +5,8 @@ Page numbers are lines with nothing else. A line that ends in a hyphen is joined
 corpus vocabulary: the two parts make a word that the corpus writes together, unless it writes them with a hyphen. A word is
 misread if putting back letters of similar shape turns a string that the corpus hardly knows into a frequent word.
 
-The vocabulary is a count-min sketch of over all texts, so that its size is the same for any
-corpus; collisions can only raise a count. Texts are then handled one by one where they lie; nothing but the sketch is shuffled.
+The vocabulary is exact: the number of texts of each word by its 64-bit key, 12 bytes a distinct word. Texts are then handled
+one by one where they lie; nothing but the vocabulary is shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .normalize import readable_form
 from .quality import _Words, kind_of, language_words, statistics
-from .sketch import count_words, estimate
+from .sketch import Counts, collected, word_counts
 
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _WORD_ASCII = re.compile(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
@@ -52,9 +52,9 @@ def _vocabulary_of(text: str) -> set[str]:
     return found
 
 
-def vocabulary_sketch(docs: DataFrame, text: str = "content") -> np.ndarray:
-    """Number of texts by cell of the words in them, over all texts; repeated rows count as they stand."""
-    return count_words(docs, text, _vocabulary_of)
+def vocabulary(docs: DataFrame, text: str = "content") -> Counts:
+    """Number of texts by word in them, over all texts; repeated rows count as they stand."""
+    return collected(word_counts(docs, text, _vocabulary_of), "n0")
 
 
 def _folded(line: str) -> str:
@@ -83,10 +83,10 @@ def _near(a: str, b: str) -> bool:
 
 
 class Reader:
-    """Finds the noise of one text at a time by a vocabulary sketch."""
+    """Finds the noise of one text at a time by a vocabulary."""
 
-    def __init__(self, sketch: np.ndarray):
-        self.sketch = sketch
+    def __init__(self, counts: Counts | None):
+        self.counts = counts
         self.kept: dict[str, int] = {}
         self.verdicts: dict[str, bool] = {}
 
@@ -95,7 +95,7 @@ class Reader:
         if n is None:
             if len(self.kept) > 500_000:
                 self.kept.clear()
-            n = self.kept[word] = estimate(self.sketch, word)
+            n = self.kept[word] = self.counts.get(word)
         return n
 
     def misread(self, word: str) -> bool:
@@ -263,11 +263,11 @@ class Reader:
 
 
 def _per_text(docs: DataFrame, common_words: DataFrame, key: str, text: str, schema: str, rows_of):
-    sketch = docs.sparkSession.sparkContext.broadcast(vocabulary_sketch(docs, text))  # of fixed size
+    counts = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, text))
     common = language_words(common_words)
 
     def run(batches):
-        reader, known = Reader(sketch.value), _Words(common)
+        reader, known = Reader(counts.value), _Words(common)
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

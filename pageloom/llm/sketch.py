@@ -1,4 +1,4 @@
-"""Count-min sketches over the words of a corpus: of fixed size, mergeable by adding."""
+"""Counts of the words of a corpus: count-min sketches of fixed size, mergeable by adding, and exact counts by 64-bit key."""
 
 from __future__ import annotations
 
@@ -61,3 +61,73 @@ def count_words(docs: DataFrame, text: str, words_of) -> np.ndarray:
     for r in sums.mapInArrow(packed, "cells binary, n binary").toLocalIterator():
         out[np.frombuffer(r["cells"], dtype=np.int32)] = np.frombuffer(r["n"], dtype=np.int32)
     return out
+
+
+def key_of(word: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+
+
+class Counts:
+    """Numbers by word, exact but for equal 64-bit keys: 12 bytes a word."""
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.numbers = keys[order], numbers[order]
+
+    def get(self, word: str) -> int:
+        """The number of ``word``; 0 if it isn't held."""
+        key = np.uint64(key_of(word))
+        i = self.keys.searchsorted(key)
+        return int(self.numbers[i]) if i < len(self.keys) and self.keys[i] == key else 0
+
+
+def word_counts(docs: DataFrame, text: str, words_of, marks: tuple[str, ...] = ("",)) -> DataFrame:
+    """(key, n0, n1 ..): for each word how often ``words_of(text)`` has it behind each of ``marks`` (of equal length), over all
+    rows of ``docs`` whose text isn't null.
+
+    Words are counted in the task first; what is shuffled are numbers, at most one row a task, mark and distinct word.
+    """
+    width, place = len(marks[0]), {m: i for i, m in enumerate(marks)}
+
+    def run(batches):
+        counts: dict[str, int] = {}
+
+        def drain():
+            size = len(counts)
+            keys = np.fromiter((key_of(w[width:]) for w in counts), dtype=np.uint64, count=size).view(np.int64)
+            at = np.fromiter((place[w[:width]] for w in counts), dtype=np.int8, count=size)
+            n = np.fromiter(counts.values(), dtype=np.int64, count=size)
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at), pa.array(n)], names=["key", "mark", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    for w in words_of(t):
+                        counts[w] = counts.get(w, 0) + 1
+            if len(counts) > 500_000:
+                yield drain()
+        if counts:
+            yield drain()
+
+    rows = docs.select(text).mapInArrow(run, "key long, mark byte, n long")
+    return rows.groupBy("key").agg(*[F.sum(F.when(F.col("mark") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(marks))])
+
+
+def collected(rows: DataFrame, number: str) -> Counts:
+    """The column ``number`` of ``rows`` by their ``key``, brought to the driver."""
+
+    def packed(batches):
+        for b in batches:
+            if b.num_rows:
+                keys, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+                n = np.minimum(n, (1 << 31) - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["keys", "n"])
+
+    keys, n = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+    for r in rows.select("key", F.col(number).cast("long").alias("n")).mapInArrow(packed, "keys binary, n binary").toLocalIterator():
+        keys.append(np.frombuffer(r["keys"], dtype=np.uint64))
+        n.append(np.frombuffer(r["n"], dtype=np.int32))
+    return Counts(np.concatenate(keys), np.concatenate(n))

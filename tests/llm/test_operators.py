@@ -177,9 +177,33 @@ def test_personal_information(spark, awkward):
     assert {r.redacted for r in pii.redacted(awkward).filter("file_id in (1, 2)").collect()} == {None, ""}
 
 
+@pytest.fixture(scope="module")
+def many_words(spark):
+    """Two million words that stand once, more than a sketch of 3 x 2^20 cells keeps apart."""
+    letters = [a + b for a in "bcdfghjklmnprstvwz" for b in "aeiou"]
+    words = itertools.islice(map("".join, itertools.product(letters, repeat=4)), 2_000_000)
+    texts = [(k, " ".join(itertools.islice(words, 5000))) for k in range(1000, 1400)]
+    return spark.createDataFrame(texts, "file_id long, content string").repartition(4).cache()
+
+
+def test_names_among_many_words(spark, many_words):
+    names = spark.createDataFrame([(k, "Signed by Ivy Vantrupp in ink.") for k in range(5)], "file_id long, content string")
+    df = many_words.unionByName(names)
+    got = sorted((r.file_id, r.kind, r.start_pos) for r in pii.found(df).collect())
+    assert got == [(k, "person_name", 10) for k in range(5)]
+    assert pii.redacted(df).join(many_words.withColumnRenamed("content", "c"), "file_id").filter("redacted != c").isEmpty()
+
+
 # ------------------------------------------------------------------------ scans
 
 
+def test_vocabulary_of_many_words(spark, many_words):
+    counts = scans.vocabulary(many_words.unionByName(spark.createDataFrame([(k, "Box lamp lamp, old-fashioned") for k in range(3)], "file_id long, content string")))
+    assert [counts.get(w) for w in ("lamp", "box", "old-fashioned", "old", "oldfashioned")] == [3, 3, 3, 3, 0]
+    once = many_words.filter("file_id = 1000").first().content.split()
+    assert {counts.get(w) for w in once} == {1} and not any(counts.get(w + "x") for w in once)
+
+
 def test_scan_noise(spark, common, awkward):
     body = [(k, prose(k, 8) + " an old-fashioned drawing") for k in range(60)]
     page = "Storage Handbook      12\nThe librarian put the photo-\ngraph in the museum and it was not for the old-\nfashioned surveyor in the libr4ry of the\n— 12 —\n\x0cSt0rage Handbook      13\nschool and the apprentice put the postcard in the archive and\nit was not for the caretaker.\n13"
