@@ -45,16 +45,26 @@ _FOLD = str.maketrans({"1": "l", "i": "l", "|": "l", "0": "o", "5": "s", "7": "t
 
 def _vocabulary_of(text: str) -> set[str]:
     """Lower-case words of a text, with compounds whole and in parts."""
-    form = readable_form(text).lower()
+    return _words_in(readable_form(text).lower())
+
+
+def _words_in(form: str) -> set[str]:
     found = set((_WORD_ASCII if form.isascii() else _WORD).findall(form))
     for w in [w for w in found if "-" in w]:
         found.update(w.split("-"))
     return found
 
 
-def vocabulary(docs: DataFrame, text: str = "content") -> Counts:
+def _cased_vocabulary_of(text: str) -> set[str]:
+    """The vocabulary, and behind ``^`` the words that the text writes with a capital only."""
+    form = readable_form(text)
+    runs = set((_RUN_ASCII if form.isascii() else _RUN).findall(form))
+    return _words_in(form.lower()) | {"^" + low for w in runs if w[0].isupper() and (low := w.lower()) not in runs}
+
+
+def vocabulary(docs: DataFrame, text: str = "content", cased: bool = False) -> Counts:
     """Number of texts by word in them, over all texts; repeated rows count as they stand."""
-    return collected(word_counts(docs, text, _vocabulary_of), "n0")
+    return collected(word_counts(docs, text, _cased_vocabulary_of if cased else _vocabulary_of), "n0")
 
 
 def _folded(line: str) -> str:
@@ -88,7 +98,7 @@ class Reader:
     def __init__(self, counts: Counts | None):
         self.counts = counts
         self.kept: dict[str, int] = {}
-        self.verdicts: dict[str, bool] = {}
+        self.verdicts: dict[str, str] = {}
 
     def df(self, word: str) -> int:
         n = self.kept.get(word)
@@ -98,7 +108,8 @@ class Reader:
             n = self.kept[word] = self.counts.get(word)
         return n
 
-    def misread(self, word: str) -> bool:
+    def misread(self, word: str) -> str:
+        """The word that was meant, or nothing if ``word`` isn't misread. What stands for a digit is in lower case."""
         known = self.verdicts.get(word)
         if known is None:
             if len(self.verdicts) > 500_000:
@@ -106,45 +117,82 @@ class Reader:
             known = self.verdicts[word] = self._misread(word)
         return known
 
-    def _misread(self, word: str) -> bool:
+    def _misread(self, word: str) -> str:
         """``word`` is one run of letters and digits."""
         digits = sum(c.isdigit() for c in word)
         if len(word) < 2 or digits == len(word) or len(word) > 40:
-            return False
+            return ""
         own = self.df(word.lower())
         if digits:
             # codes, house numbers and ordinals aren't words: there have to be lower-case letters beside
             small = sum(c.islower() for c in word)
             if small == 0 or (small < digits and len(word) > 3) or re.fullmatch(r"\d+[a-z]{1,2}", word) and small < 2:
-                return False
+                return ""
             options = [DIGIT_SHAPES[c] + c if c in DIGIT_SHAPES else c for c in word]
             n = 1
             for o in options:
                 n *= len(o)
             tries = ("".join(x) for x in product(*options)) if n <= 4096 else ()
-            best = max((self.df(x.lower()) for x in tries if not any(c.isdigit() for c in x)), default=0)
+            meant = max((x for x in tries if not any(c.isdigit() for c in x)), key=lambda x: self.df(x.lower()), default="")
+            best = self.df(meant.lower()) if meant else 0
             if best >= 3 and best >= 5 * own:
-                return True
+                return "".join(x.lower() if c.isdigit() else c for c, x in zip(word, meant))
             # a letter misread beside the digit
-            return any(self._letters(w, own, 5) for w in {"".join(DIGIT_SHAPES.get(c, c)[0] for c in word), word.replace("1", "i")})
+            both = [self._letters(w, own, 5) for w in ("".join(DIGIT_SHAPES.get(c, c)[0] for c in word), word.replace("1", "i"))]
+            return max(both, key=lambda x: (self.df(x.lower()), not any(c.isdigit() for c in x)) if x else (0, False))
         return self._letters(word, own, 20)
 
-    def _letters(self, word: str, own: int, ratio: int) -> bool:
+    def _letters(self, word: str, own: int, ratio: int) -> str:
         spots = list(_SHAPE.finditer(word))
         if not spots or len(word) < 3 or word.isupper() and len(word) < 5:
-            return False
+            return ""
         spots = spots[:8]
+        meant, least = "", max(10, ratio * own)
         for k, m in enumerate(spots):
             once = word[: m.start()] + LETTER_SHAPES[m.group()] + word[m.end() :]
             n = self.df(once.lower())
-            if n >= 10 and n >= ratio * own:
-                return True
+            if n >= least:
+                meant, least = once, n + 1
             for m2 in spots[k + 1 :]:
                 both = word[: m.start()] + LETTER_SHAPES[m.group()] + word[m.end() : m2.start()] + LETTER_SHAPES[m2.group()] + word[m2.end() :]
                 n = self.df(both.lower())
-                if n >= 10 and n >= ratio * own:
-                    return True
-        return False
+                if n >= least:
+                    meant, least = both, n + 1
+        return meant
+
+    def meant(self, word: str, first: bool) -> str:
+        """``word`` as it was meant, itself if it isn't misread; ``first`` in its sentence. The case of letters put back is that
+        of the word, at its start that of most texts."""
+        out = self.misread(word)
+        if not out:
+            return word
+        letters = [c for c in word if c.isalpha()]
+        if len(letters) > 1 and all(map(str.isupper, letters)):
+            return out.upper()
+        if out.count("I") > word.count("I"):
+            out = out[0] + out[1:].replace("I", "i")
+        if word[0].isdigit() and (first or self.df("^" + out.lower()) * 2 > self.df(out.lower())):
+            out = out[0].upper() + out[1:]
+        return out
+
+    def corrected(self, paragraph: str) -> str:
+        """``paragraph`` with misread words put right; all else stays as it is."""
+
+        plain, seen = paragraph.isascii(), self.verdicts
+        runs = _RUN_ASCII if plain else _RUN
+        form = {w: w if plain or w.isascii() else readable_form(w) for w in set(runs.findall(paragraph))}
+        wrong = {w for w, f in form.items() if (seen[f] if f in seen else self.misread(f))}
+        if not wrong:
+            return paragraph
+
+        def put(m):
+            word = m.group()
+            if word not in wrong:
+                return word
+            before = paragraph[max(0, m.start() - 9) : m.start()].rstrip(" \"'«»„“”(")
+            return self.meant(form[word], before[-1] in ".!?…" if before else m.start() < 9)
+
+        return runs.sub(put, paragraph)
 
     def joined(self, left: str, right: str) -> bool | None:
         """True where a word broken at a line end is one word, False where the hyphen is its own; None if both are unknown."""
@@ -153,6 +201,24 @@ class Reader:
             return None
         return together >= compound
 
+    def broken(self, line: str, following: str) -> tuple[str, str, bool] | None:
+        """The word parts about the line end and whether they are one word, where ``line`` ends in a hyphen inside a word;
+        ``following`` is the next line of running text in readable form."""
+        raw = line.rstrip(" \r\t")
+        if raw[-1:] not in _HYPHENS or not raw[-2:-1].isalpha():
+            return None
+        left = re.search(r"[^\W\d_]+(?:-[^\W\d_]+)*$", readable_form(raw.rstrip(_HYPHENS)))
+        right = re.match(r"\s*([^\W\d_]+)", following.lstrip("\f"))
+        if not left or not right or not right.group(1)[0].islower():
+            return None
+        head, tail = left.group(), right.group(1)
+        joint = self.joined(head, tail)
+        if joint is None:
+            # no vocabulary to tell by: a misread part, or a rare word
+            a, b = self.df(head.split("-")[-1].lower()), self.df(tail.lower())
+            joint = not (a >= 5 and b >= 5 and raw[-1] == "-")
+        return head, tail, joint
+
     def edges(self, lines: list[str]) -> tuple[set[int], set[int]]:
         """Line indexes of running headers or footers, and of page numbers."""
         bare = [x.strip(" \f\r\t") for x in lines]
@@ -207,21 +273,12 @@ class Reader:
         run_of = (_RUN_ASCII if form.isascii() else _RUN).findall
         clean = form.split("\n")  # nothing in it adds or removes a newline
         for k, i in enumerate(running):
-            raw = lines[i].rstrip(" \r\t")
             head = tail = ""
-            if raw[-1:] in _HYPHENS and k + 1 < len(running) and raw[-2:-1].isalpha():
-                body = readable_form(raw.rstrip(_HYPHENS))
-                left = re.search(r"[^\W\d_]+(?:-[^\W\d_]+)*$", body)
-                right = re.match(r"\s*([^\W\d_]+)", clean[running[k + 1]].lstrip("\f"))
-                if left and right and right.group(1)[0].islower():
-                    head, tail = left.group(), right.group(1)
-                    joint = self.joined(head, tail)
-                    if joint is None:
-                        # no vocabulary to tell by: a misread part, or a rare word
-                        a, b = self.df(head.split("-")[-1].lower()), self.df(tail.lower())
-                        joint = not (a >= 5 and b >= 5 and raw[-1] == "-")
-                    if joint:
-                        out.append((i + 1, "hyphen_break"))
+            at_end = self.broken(lines[i], clean[running[k + 1]]) if k + 1 < len(running) else None
+            if at_end:
+                head, tail, joint = at_end
+                if joint:
+                    out.append((i + 1, "hyphen_break"))
             words = run_of(clean[i])
             if head and words:
                 words.pop()  # half a word
@@ -233,11 +290,12 @@ class Reader:
         return out
 
     def repair(self, text: str) -> str:
-        """Continuous paragraphs: headers, footers and page numbers dropped, broken words joined, lines run on."""
+        """Continuous paragraphs: headers, footers and page numbers dropped, broken words joined, lines run on, misread words
+        put right."""
         lines = text.split("\n")
         headers, numbers = self.edges(lines)
         paragraphs: list[str] = []
-        gap = True
+        gap, line = True, ""
         for i, x in enumerate(lines):
             s = x.strip(" \f\r\t")
             if i in headers or i in numbers:
@@ -251,19 +309,19 @@ class Reader:
             else:
                 last = paragraphs[-1]
                 if last[-1] in _HYPHENS and last[-2:-1].isalpha() and s[0].islower():
-                    left, right = re.search(r"[^\W\d_]+$", last.rstrip(_HYPHENS)), re.match(r"[^\W\d_]+", s)
-                    if left and right and self.joined(left.group(), right.group()) is not False:
+                    at_end = self.broken(line, readable_form(s))
+                    if at_end and at_end[2]:
                         paragraphs[-1] = last.rstrip(_HYPHENS) + s
                     else:
                         paragraphs[-1] = last[:-1] + "-" + s
                 else:
                     paragraphs[-1] = f"{last} {s}"
-            gap = False
-        return "\n\n".join(paragraphs)
+            gap, line = False, x
+        return "\n\n".join(map(self.corrected, paragraphs))
 
 
-def _per_text(docs: DataFrame, common_words: DataFrame, key: str, text: str, schema: str, rows_of):
-    counts = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, text))
+def _per_text(docs: DataFrame, common_words: DataFrame, key: str, text: str, schema: str, rows_of, cased: bool = False):
+    counts = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, text, cased))
     common = language_words(common_words)
 
     def run(batches):
@@ -304,6 +362,6 @@ def repaired(docs: DataFrame, common_words: DataFrame, key: str = "file_id", tex
         return [(i, reader.repair(t) if _is_prose(t, known) else t)]
 
     kind = dict(docs.dtypes)[key]
-    rows = _per_text(docs, common_words, key, text, f"{key} {kind},repaired string", rows_of)
+    rows = _per_text(docs, common_words, key, text, f"{key} {kind},repaired string", rows_of, cased=True)
     rest = docs.filter(F.col(key).isNotNull() & (F.col(text).isNull() | F.col(text).rlike(r"(?U)^\s*$"))).select(key, F.col(text).alias("repaired"))
     return rows.unionByName(rest)

@@ -216,6 +216,17 @@ def test_scan_noise(spark, common, awkward):
     assert scans.repaired(awkward, common).filter("file_id = 1").first().repaired is None
 
 
+def test_misread_words_are_repaired(spark, common):
+    body = [(k, prose(k, 8) + " We saw a photograph and an old-fashioned drawing.") for k in range(60)]
+    page = "7he librarian put the photo-\ngr4ph in the rnuseum, and the 5urveyor put the LI8-12 and the certi-\nficatc in\nroom 12b in 1987. 5he put the clrawing in the gardcn."
+    rows = [*body, (100, page), (101, "It was in the garden and the harbour-\nmuseum was not for the librarian.")]
+    df = spark.createDataFrame(rows, "file_id long, content string")
+    fixed = {r.file_id: r.repaired for r in scans.repaired(df, common).filter("file_id >= 100").collect()}
+    assert fixed[100] == "The librarian put the photograph in the museum, and the surveyor put the LI8-12 and the certificate in room 12b in 1987. 5he put the drawing in the garden."
+    # a break that noise() takes for a compound's own hyphen stays
+    assert "harbour-museum" in fixed[101] and "hyphen_break" not in {r.kind for r in scans.noise(df, common).filter("file_id = 101").collect()}
+
+
 # ---------------------------------------------------------------------- quality
 
 
