@@ -10,16 +10,19 @@ Three pieces, all plain DataFrame plans:
 transaction that was still open when the last successful run ended. Rows between that point and the end of
 the last run may already be processed; the ledger anti-join removes exactly those, so nothing is skipped
 and nothing is done twice, whatever failed in between. ``Ledger`` persists the pairs of each run in its own
-directory and makes them visible by one atomic rename, so that a run that dies leaves no trace.
+directory and makes them visible by one atomic rename, so that a run that dies leaves no trace; ``DiskState`` keeps the
+folded log between runs, so that only what arrived after the reread position is read.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Extensions of the images that can be indexed (fixed values).
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "gif", "bmp", "tiff", "tif")
@@ -124,9 +127,12 @@ def files_to_process(files: DataFrame, runs: DataFrame, events: DataFrame) -> Da
 class Ledger:
     """Processed (key, version) pairs on shared storage, committed once per run.
 
-    ``pending(df)`` gives the records that no committed run has processed, ``commit(df, run)`` adds those of a run. The
-    data of a run lie in their own directory; the run counts only once its marker has been renamed into place, which
-    file systems do atomically. Committing a run id again has no effect, so a retry after a lost reply is safe.
+    ``begin`` notes where in the log of changes (by arrival) a run starts; ``reread_from`` gives the place from which the
+    next run has to read: the earliest start among the runs that never ended, else that of the last committed run.
+    ``pending`` drops from what was read the records whose latest committed version is the one at hand, so that rereading
+    does nothing twice. ``commit`` adds the pairs of a run and ``removed`` keys. The data of a run lie in their own folder; a
+    run counts only once its marker has been renamed into place, which file systems do atomically. Committing a run id again
+    has no effect, so a retry after a lost reply is safe. ``compact`` brings all folders into one.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str, version: str):
@@ -136,33 +142,119 @@ class Ledger:
         self._fs = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(path(f"{self.root}/markers"))
 
+    def _markers(self, kind: str) -> list[dict]:
+        """Markers of a kind (ok, open, base) in order of time, read in the driver: a few bytes a run."""
+        out = []
+        for s in self._fs.listStatus(self._path(f"{self.root}/markers")):
+            name = s.getPath().getName()
+            if name.endswith(f".{kind}"):
+                f = self._fs.open(s.getPath())
+                out.append(json.loads(bytes(f.readAllBytes()).decode()) | {"run": name[: -len(kind) - 1]})
+                f.close()
+        return sorted(out, key=lambda m: (m["seq"], m["run"]))
+
+    def _mark(self, run: str, kind: str, what: dict) -> bool:
+        final = self._path(f"{self.root}/markers/{run}.{kind}")
+        draft = self._path(f"{self.root}/markers/{run}-{uuid.uuid4().hex}.draft")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(what | {"seq": time.time_ns()}).encode()))
+        out.close()
+        return bool(self._fs.rename(draft, final))
+
     def runs(self) -> list[str]:
         """Committed runs, by name."""
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/markers"))]
-        return sorted(n[: -len(".ok")] for n in found if n.endswith(".ok"))
+        return sorted({m["run"] for m in self._markers("ok")} | {r for m in self._markers("base") for r in m["runs"]})
+
+    def begin(self, run: str, position: int) -> None:
+        """Notes that a run reads the log up to arrival ``position`` (the greatest that exists when it starts)."""
+        if not self._fs.exists(self._path(f"{self.root}/markers/{run}.open")):
+            self._mark(run, "open", {"position": int(position)})
+
+    def reread_from(self) -> int | None:
+        """Arrivals after this one have to be read again; None (read everything) before the first committed run."""
+        done, begun = set(self.runs()), self._markers("open")
+        last = [m for m in begun if m["run"] in done]
+        if not last:
+            return None
+        first = [m for m in begun if m["run"] not in done]
+        # the last committed run has processed what had arrived at its start; a run that never ended may have seen less
+        return min([last[-1]["position"], *(m["position"] for m in first)])
 
     def pairs(self, schema_of: DataFrame) -> DataFrame:
-        """All committed pairs; empty, with the types of ``schema_of``, before the first run."""
-        dirs = [self._read_marker(r)["data"] for r in self.runs()]
+        """The latest committed version of every key that isn't removed; empty, with the types of ``schema_of``, at first."""
+        kinds = schema_of.select(self.key, self.version)
+        base = self._markers("base")[-1:]
+        taken = {r for m in base for r in m["runs"]}
+        dirs = [m["data"] for m in base] + [m["data"] for m in self._markers("ok") if m["run"] not in taken]
         if not dirs:
-            return schema_of.select(self.key, self.version).limit(0)
-        return self.spark.read.schema(schema_of.select(self.key, self.version).schema).parquet(*dirs)
-
-    def _read_marker(self, run: str) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/markers/{run}.ok", wholetext=True).first()[0])
+            return kinds.limit(0)
+        schema = T.StructType([*kinds.schema.fields, T.StructField("_seq", T.LongType()), T.StructField("_gone", T.BooleanType())])
+        rows = self.spark.read.schema(schema).parquet(*dirs)
+        return latest_state(rows, self.key, ["_seq"], ["_gone", self.version]).filter(~F.col("_gone")).select(self.key, self.version)
 
     def pending(self, current: DataFrame) -> DataFrame:
         return changed(current, self.pairs(current), self.key, self.version)
 
-    def commit(self, processed: DataFrame, run: str) -> bool:
-        """Records the pairs of a finished run; False if the run was committed before."""
-        final = self._path(f"{self.root}/markers/{run}.ok")
-        if self._fs.exists(final):
+    def commit(self, processed: DataFrame, run: str, removed: DataFrame | None = None) -> bool:
+        """Records the pairs of a finished run, and keys that are gone; False if the run was committed before."""
+        if run in self.runs():
             return False
+        rows = processed.select(self.key, self.version, F.lit(False).alias("_gone"))
+        if removed is not None:
+            kind = dict(processed.dtypes)[self.version]
+            rows = rows.unionByName(removed.select(self.key, F.lit(None).cast(kind).alias(self.version), F.lit(True).alias("_gone")))
         data = f"{self.root}/data/{run}-{uuid.uuid4().hex}"
-        processed.select(self.key, self.version).distinct().write.parquet(data)
-        draft = self._path(f"{self.root}/markers/{run}-{uuid.uuid4().hex}.draft")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"data": data}).encode()))
-        out.close()
-        return bool(self._fs.rename(draft, final))
+        rows.distinct().withColumn("_seq", F.lit(time.time_ns())).write.parquet(data)
+        return self._mark(run, "ok", {"data": data})
+
+    def compact(self, schema_of: DataFrame) -> None:
+        """Writes the latest pairs into one folder that stands for all runs so far. Only folders of runs that were taken in by
+        the compaction before this one are deleted, so that a reader that has begun can end."""
+        runs, old = self._markers("ok"), self._markers("base")
+        if not runs:
+            return
+        kind = schema_of.select(self.key, self.version)
+        data = f"{self.root}/data/base-{uuid.uuid4().hex}"
+        self.pairs(kind).withColumn("_seq", F.lit(0).cast("long")).withColumn("_gone", F.lit(False)).write.parquet(data)
+        earlier = {r for m in old for r in m["runs"]}
+        self._mark(f"all-{uuid.uuid4().hex}", "base", {"data": data, "runs": sorted(earlier | {m["run"] for m in runs})})
+        for m in runs:
+            if m["run"] in earlier:
+                self._fs.delete(self._path(m["data"]), True)
+                self._fs.delete(self._path(f"{self.root}/markers/{m['run']}.ok"), False)
+        for m in old[:-1]:
+            self._fs.delete(self._path(m["data"]), True)
+            self._fs.delete(self._path(f"{self.root}/markers/{m['run']}.base"), False)
+
+
+class DiskState:
+    """The folded state of a log of file events, kept between runs so that a run reads what arrived since, not the whole log.
+
+    ``advance(events, ledger)`` reads the events after ``ledger.reread_from()`` (the scan gets the condition on ``event_id``),
+    folds them into the stored state and gives the state as of now. Folding is idempotent (the latest ``ts`` of a path
+    counts, whenever it arrives), so that events read again change nothing and late ones find their place.
+    """
+
+    SCHEMA = "path string, ts timestamp_ntz, event_id long, kind string, mtime double"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.root))
+
+    def _versions(self) -> list[str]:
+        return sorted(n for s in self._fs.listStatus(self._path(self.root)) if (n := s.getPath().getName()).startswith("state-") and self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS")))
+
+    def advance(self, events: DataFrame, position: int | None) -> DataFrame:
+        """(path, mtime) of the images that exist, after taking in the events that arrived after ``position``."""
+        have = self._versions()
+        log = events.filter(F.col("kind") != "access").select("path", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "kind", "mtime").filter(is_image(F.col("path")))
+        if have and position is not None:
+            log = log.filter(F.col("event_id") > position).unionByName(self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/{have[-1]}"))
+        to = f"{self.root}/state-{time.time_ns():020d}"
+        top = F.max(F.struct("ts", "event_id", "kind", "mtime")).alias("_top")
+        log.groupBy("path").agg(top).select("path", "_top.*").write.parquet(to)
+        for old in have[:-1]:  # the one before stays for readers that have begun
+            self._fs.delete(self._path(f"{self.root}/{old}"), True)
+        return self.spark.read.schema(self.SCHEMA).parquet(to).filter(F.col("kind") != "remove").select("path", "mtime")

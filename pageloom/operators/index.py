@@ -1,7 +1,7 @@
 """Incremental maintenance of the index: differences, pruning, upserts, deletes, renames, dry runs and statistics.
 
 Every operator is a join of tables keyed by path, so that any of them may be larger than memory. New ids are numbered per
-block with offsets from block counts, so that no window gathers all rows in one task.
+partition with offsets from partition counts, so that no window gathers all rows in one task.
 """
 
 from __future__ import annotations
@@ -9,23 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.runtime import cut
 from .incremental import is_image
 
 #: Images of a dry run that are tried out; images of a batch.
 SAMPLE, BATCH = 33, 16
-BLOCKS = 64
 
 
 def numbered(rows: DataFrame, order: list, to: str, first: int = 0) -> DataFrame:
-    """Adds consecutive numbers from ``first`` in the order of ``order``.
+    """Adds consecutive numbers from ``first`` in the order of ``order``; equal rows of the order come in any order.
 
-    Rows are range-partitioned by the order, counted per partition, and numbered within it from the sum of those before.
+    Rows are range-partitioned once and written with their place (partition and row within it), so that counting and
+    numbering read the same partitions, whatever columns each needs. Only the counts are summed up in one task: one row a
+    partition, which is also what is broadcast. An order that leaves many rows equal is spread by a hash of the whole row.
     """
-    part = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = part.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return local.join(before.select("_part", "_before"), "_part").withColumn(to, F.col("_before") + F.col("_rn") - 1 + first).drop("_part", "_before", "_rn")
+    spread = F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind])
+    place = F.monotonically_increasing_id()  # partition in the upper bits, row within it in the lower 33
+    held = cut(rows.repartitionByRange(*order, spread).sortWithinPartitions(*order, spread).withColumn("_place", place))
+    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return held.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(to, F.col("_before") + within + first).drop("_part", "_before", "_place")
 
 
 def under(path: Column, root: str) -> Column:
@@ -154,9 +159,10 @@ def stage_profile(samples: DataFrame) -> DataFrame:
 def mean_seconds(samples: DataFrame, budget: float = 12.0) -> DataFrame:
     """One row (seconds, measured): the mean over successful samples after the first, until the budget of time is used.
 
-    samples: k (order), seconds, ok. At least one sample is measured even beyond the budget.
+    samples: k (order), seconds, ok. At least one sample is measured even beyond the budget. The samples are those of a dry
+    run (``SAMPLE`` at most), so that one task may order them.
     """
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     used = samples.withColumn("_used", F.coalesce(F.sum("seconds").over(w), F.lit(0.0))).withColumn("_done", F.coalesce(F.sum(F.when(F.col("ok") & (F.col("k") > 0), 1).otherwise(0)).over(w), F.lit(0)))
     open_ = used.filter((F.col("_used") < budget) | (F.col("_done") < 1))
     return open_.filter((F.col("k") > 0) & F.col("ok")).agg(F.avg("seconds").alias("seconds"), F.count("*").alias("measured"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +23,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it isn't set, a temporary folder will do on one machine
+    (``local[..]``, as in tests); on a cluster, whose executors share no such folder, that is an error."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageloom-checkpoint-")
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="pageloom-checkpoint-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
         sc.setCheckpointDir(at)
     return at
 
@@ -45,6 +54,7 @@ def local_session(app: str = "pageloom", cores: int | str = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

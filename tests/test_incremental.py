@@ -66,3 +66,39 @@ def test_ledger_survives_failures(spark, tmp_path):
     assert sorted(r.path for r in ledger.pending(changed).collect()) == ["/a", "/b"]
     assert ledger.commit(changed, "run-2") and ledger.pending(changed).isEmpty()
     assert ledger.runs() == ["run-1", "run-2"]
+
+
+def test_ledger_keeps_the_latest_version(spark, tmp_path):
+    ledger = I.Ledger(spark, f"file://{tmp_path}/ledger", "path", "mtime")
+    df = lambda rows: spark.createDataFrame(rows, "path string, mtime double")
+    ledger.commit(df([("/a", 1.0), ("/b", 1.0)]), "r1")
+    ledger.commit(df([("/a", 2.0)]), "r2")
+    assert [r.path for r in ledger.pending(df([("/a", 1.0), ("/b", 1.0)])).collect()] == ["/a"]  # back to its first version
+    ledger.commit(df([]), "r3", removed=df([("/b", 1.0)]).select("path"))
+    back = df([("/a", 2.0), ("/b", 1.0)])
+    assert [r.path for r in ledger.pending(back).collect()] == ["/b"]  # removed and restored
+    ledger.compact(back)
+    assert [r.path for r in ledger.pending(back).collect()] == ["/b"] and ledger.runs() == ["r1", "r2", "r3"]
+    assert not ledger.commit(back, "r2") and ledger.commit(back, "r4")
+    ledger.compact(back)
+    assert ledger.pending(back).isEmpty() and ledger.runs() == ["r1", "r2", "r3", "r4"]
+
+
+def test_reread_and_state(spark, tmp_path):
+    ledger, state = I.Ledger(spark, f"file://{tmp_path}/ledger", "path", "mtime"), I.DiskState(spark, f"file://{tmp_path}/state")
+    rows = [(1, at(1), "create", "/a.jpg", 1.0, ""), (2, at(2), "create", "/b.jpg", 1.0, ""), (3, at(5), "modify", "/a.jpg", 3.0, ""), (4, at(3), "modify", "/a.jpg", 2.0, ""),
+            (5, at(6), "remove", "/b.jpg", None, ""), (6, at(4), "create", "/c.jpg", 1.0, ""), (6, at(4), "create", "/c.jpg", 1.0, ""), (7, at(7), "access", "/b.jpg", None, ""), (8, at(8), "create", None, 1.0, "")]
+    log = spark.createDataFrame(rows, EVENTS)
+    assert ledger.reread_from() is None
+    done = []
+    for run, upto, ok in (("r1", 2, True), ("r2", 3, False), ("r3", 4, True), ("r4", 8, True)):
+        now = state.advance(log.filter(f"event_id <= {upto}"), ledger.reread_from())
+        ledger.begin(run, upto)
+        todo = ledger.pending(now)
+        if ok:
+            done.append(sorted((r.path, r.mtime) for r in todo.collect()))
+            ledger.commit(todo, run)
+    assert done == [[("/a.jpg", 1.0), ("/b.jpg", 1.0)], [("/a.jpg", 3.0)], [("/c.jpg", 1.0)]]
+    assert ledger.reread_from() == 3  # r2 never ended
+    whole = sorted(map(tuple, I.disk_state(log.filter(I.is_image(log.path))).collect()))
+    assert sorted(map(tuple, state.advance(log, ledger.reread_from()).collect())) == whole == [("/a.jpg", 3.0), ("/c.jpg", 1.0)]

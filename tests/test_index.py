@@ -2,6 +2,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from pageloom.cli import index_directory
 from pageloom.operators import index as I
 from pageloom.serve import State, directive, serve
@@ -115,3 +117,26 @@ def test_core_stands_alone():
 
     code = "import sys; sys.modules['pageloom.llm'] = None; import __spark_entry__ as e; assert 'p1_found' in e.queries() and 'p2_found' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_numbering_of_many_rows_with_other_columns(spark):
+    n = 1_000_000
+    rows = spark.range(n).selectExpr("concat('/', xxhash64(id)) as path", "repeat('x', int(id % 40)) as payload", "id % 3 as third").withColumn("_n", F.col("third"))
+    got = I.numbered(rows.drop("_n"), [F.col("path")], "k", 5).agg(F.count("*").alias("rows"), F.countDistinct("k").alias("ids"), F.min("k").alias("low"), F.max("k").alias("high")).first()
+    assert tuple(got) == (n, n, 5, n + 4)
+    sizes = I.batches(rows.drop("_n")).groupBy("batch").count().groupBy("count").count().collect()
+    assert [tuple(r) for r in sizes] == [(16, n // 16)]
+    sample = sorted(r.path for r in I.strided_sample(rows.drop("_n")).collect())
+    order = rows.select("path").orderBy("path").rdd.map(lambda r: r[0]).zipWithIndex().filter(lambda x: x[1] % (n // 33) == 0 and x[1] // (n // 33) < 33).keys().collect()
+    assert sample == sorted(order)
+    # one value of the order may hold a third of the rows
+    hot = I.numbered(rows.drop("_n"), [F.col("third")], "k").groupBy("third").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.countDistinct("k").alias("n")).orderBy("third").collect()
+    assert all(r.b - r.a + 1 == r.n for r in hot) and [r.a for r in hot] == [0, hot[0].n, hot[0].n + hot[1].n]
+
+
+def test_upsert_of_many_rows(spark):
+    n = 300_000
+    files = spark.createDataFrame([(7, "/old", 1.0, "t0", None)], FILES)
+    results = spark.range(n).selectExpr("concat('/', xxhash64(id)) as path", "1.0 as mtime", "'text' as status", "repeat('y', int(id % 50)) as text")
+    got = I.upsert(files, results, "t1", "deu").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.max("id").alias("high")).first()
+    assert tuple(got) == (n + 1, n + 1, n + 7)
