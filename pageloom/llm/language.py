@@ -1,9 +1,9 @@
 """Missing or wrong document language labels: languages of texts and of their segments by compression.
 
 For every language of the reference list a raw-content dictionary for zstandard is filled with sample texts; a stretch of
-text is in the language whose dictionary compresses it best, unless the runner-up is too close. A text is cut into sentences
-(long unpunctuated runs into windows of words); a sentence that its neighbour's language compresses as well as that language's
-own text is taken at once, others are held against all languages. Neighbouring sentences of a language make a segment.
+text is in the language whose dictionary compresses it best; where the runner-up is too close the choice is rejected. A text is
+cut into sentences (long unpunctuated runs into windows of words), each is compressed with every dictionary, and neighbouring
+sentences of a language make a segment. The confidence is the margin: the share by which the runner-up is larger.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import cut
 from .normalize import readable_form
-from .quality import _Words, kind_of, language_words, statistics
+from .quality import Scale, _matrix, _Words, language_words, sketches, statistics
 from .scans import Reader
 
 #: Sample texts a language: one from each of so many hash blocks, none longer than SAMPLE_CHARS; the model is bounded by both.
@@ -65,8 +65,9 @@ def languages_of_label(label: str | None, names: dict[str, str]) -> frozenset |
     return frozenset(out) or None
 
 
-def sample_texts(docs: DataFrame, names: dict[str, str], common: dict[str, frozenset], text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, str]:
-    """Up to BLOCKS labelled texts a language, at most SAMPLE_CHARS each: the bounded sample the dictionaries are filled with.
+def sample_texts(docs: DataFrame, names: dict[str, str], common: dict[str, frozenset], text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
+    """Content of the dictionaries: up to BLOCKS labelled texts a language, at most SAMPLE_CHARS each, of which the last
+    DICT_BYTES bytes count.
 
     One text is taken per language and hash block, by an aggregate with map-side combine. Texts whose frequent words speak
     for another language than their label are left out.
@@ -87,48 +88,42 @@ def sample_texts(docs: DataFrame, names: dict[str, str], common: dict[str, froze
         votes = {c: sum(w in s for w in words) for c, s in common.items()}
         if not votes or votes.get(code, 0) >= max(votes.values()):
             out.setdefault(code, []).append(readable_form(r["_t"]))
-    return {c: "\n".join(v) for c, v in sorted(out.items())}
+    raw = {c: _SPACES.sub(" ", "\n".join(v).lower()).encode("utf-8", "replace") for c, v in sorted(out.items())}
+    return {c: x[-DICT_BYTES:] for c, x in raw.items()}
 
 
 class Model:
-    """Compressors by language."""
+    """Compressors by language. ``samples`` hold what ``sample_texts`` gives, at most DICT_BYTES a language."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, bytes]):
         import zstandard as z
 
-        self.codes = list(samples)
         self.size = {}
-        held_out = {}
-        for code, t in samples.items():
-            raw = _SPACES.sub(" ", t.lower()).encode("utf-8", "replace")
-            cut = min(DICT_BYTES, max(1, len(raw) * 9 // 10))
-            d = z.ZstdCompressionDict(raw[-cut:], dict_type=z.DICT_TYPE_RAWCONTENT)
+        for code, raw in samples.items():
+            d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            c = z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self.size[code] = c.compress
-            held_out[code] = raw[: max(0, len(raw) - cut)]
-        # what a language's own text compresses to, from the text its dictionary doesn't hold
-        self.good = {}
-        for code, raw in held_out.items():
-            r = [len(self.size[code](x)) / len(x) for x in re.split(rb"(?<=[.!?]) ", raw)[:400] if len(x) > 40]
-            self.good[code] = float(np.quantile(r, 0.75)) if len(r) >= 10 else 0.0
-
-    def classify(self, unit: bytes, hint: str | None) -> tuple[str | None, float]:
-        """(language or None, confidence): confidence is the share by which the runner-up is larger."""
-        if hint and len(self.size[hint](unit)) <= self.good[hint] * len(unit):
-            return hint, 1.0 - self.good[hint]
-        sizes = sorted((len(f(unit)), c) for c, f in self.size.items())
-        if not sizes:
-            return None, 0.0
-        if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-        return (sizes[0][1] if margin >= MARGIN else None), margin
+            self.size[code] = z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+    def classify(self, unit: bytes) -> tuple[str | None, str | None, float]:
+        """(smallest, runner-up, margin): the margin is the share by which the runner-up is larger."""
+        sizes = sorted([(len(f(unit)), c) for c, f in self.size.items()])
+        if len(sizes) < 2:
+            return (sizes[0][1], None, 1.0) if sizes else (None, None, 0.0)
+        (a, best), (b, second) = sizes[:2]
+        return best, second, (b - a) / b
+
+    def told(self, unit: bytes, before: str | None) -> tuple[str | None, float]:
+        """(language, margin). A narrow margin rejects the choice: the stretch then goes on in the language before it, if that
+        is one of the two that can't be told apart, and is in no language else."""
+        best, second, margin = self.classify(unit)
+        if margin >= MARGIN:
+            return best, margin
+        return (before if before in (best, second) else None), margin
 
     def segments(self, text: str) -> list[tuple[str, float, int]]:
-        """(language, confidence, words) of every segment, in reading order."""
-        units: list[list] = []  # language, confidence, words
-        hint = None
+        """(language, confidence, words) of every segment, in reading order; the confidence is the mean margin by words."""
+        units: list[list] = []  # language, margin, words
+        before = None
         for piece in _UNIT.split(text):
             words = _WORD.findall(piece)
             n = len(words)
@@ -136,42 +131,38 @@ class Model:
                 if units:
                     units[-1][2] += n
                 continue
-            if n <= 2 * WINDOW + 4:
-                parts = [(piece, n)]
-            else:
+            whole = _SPACES.sub(" ", piece.lower()).strip().encode("utf-8", "replace")
+            lang, margin = self.told(whole, before)
+            parts = [(lang, margin, n)]
+            if n > 2 * WINDOW + 4 and (n > 26 or margin < MARGIN):
                 # windows of words; a sentence of normal length stays whole if one language fits all of it
-                parts = [(piece, n)]
-                if n > 26 or self.classify(_SPACES.sub(" ", piece.lower()).encode("utf-8", "replace"), hint)[0] is None:
-                    at = [m.start() for m in _WORD.finditer(piece)][::WINDOW] + [len(piece)]
-                    if len(at) > 2 and n % WINDOW and n % WINDOW < 4:
-                        at.pop(-2)
-                    at[0] = 0
-                    parts = [(piece[a:b], len(_WORD.findall(piece[a:b]))) for a, b in zip(at, at[1:])]
-            for p, k in parts:
-                unit = _SPACES.sub(" ", p.lower()).strip().encode("utf-8", "replace")
-                lang, conf = self.classify(unit, hint)
-                if lang is None:
-                    lang = hint  # too close to call: goes on in the language before
-                if lang is None:
-                    continue
-                units.append([lang, conf, k])
-                hint = lang
-        merged: list[list] = []
-        for lang, conf, k in units:
-            if merged and merged[-1][0] == lang:
-                merged[-1][1] = (merged[-1][1] * merged[-1][2] + conf * k) / (merged[-1][2] + k)
-                merged[-1][2] += k
-            else:
-                merged.append([lang, conf, k])
-        out: list[list] = []
-        for lang, conf, k in merged:
-            if k < LEAST_WORDS:
-                continue
-            if out and out[-1][0] == lang:
-                out[-1][2] += k
-            else:
-                out.append([lang, conf, k])
-        return [tuple(x) for x in out]
+                at = [m.start() for m in _WORD.finditer(piece)][::WINDOW] + [len(piece)]
+                if len(at) > 2 and n % WINDOW and n % WINDOW < 4:
+                    at.pop(-2)
+                at[0], parts, last = 0, [], before
+                for a, b in zip(at, at[1:]):
+                    p = piece[a:b]
+                    lang, margin = self.told(_SPACES.sub(" ", p.lower()).strip().encode("utf-8", "replace"), last)
+                    last = lang or last
+                    parts.append((lang, margin, len(_WORD.findall(p))))
+            for lang, margin, k in parts:
+                if lang is not None:
+                    units.append([lang, margin, k])
+                    before = lang
+        out = _runs(units)
+        return [tuple(x) for x in _runs([x for x in out if x[2] >= LEAST_WORDS])]
+
+
+def _runs(units: list[list]) -> list[list]:
+    """Neighbours of a language as one, with the mean margin by words."""
+    out: list[list] = []
+    for lang, margin, k in units:
+        if out and out[-1][0] == lang:
+            m, n = out[-1][1], out[-1][2]
+            out[-1][1:] = [(m * n + margin * k) / max(1, n + k), n + k]
+        else:
+            out.append([lang, margin, k])
+    return out
 
 
 @lru_cache(2)
@@ -179,47 +170,81 @@ def _model(samples: tuple) -> Model:
     return Model(dict(samples))
 
 
-def segments(texts: DataFrame, files: DataFrame, packs: DataFrame, common_words: DataFrame, samples: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
-    """(key, seg_no, lang, confidence, words): the segments of every prose text whose label is missing, doesn't name exactly
-    the languages found, or whose text holds more than one language.
+_SEGMENT = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int64())])
+
 
-    Labels come from ``files`` (id, lang); a text without a row there has no label. Null, empty and blank texts, and texts
-    in which no stretch of five words can be told, have no rows; repeated rows count once; an empty sample gives no rows.
+def classified(texts: DataFrame, packs: DataFrame, common_words: DataFrame, samples: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
+    """(key, lang, stats, segments): statistics and segments of every content that isn't null or blank; materialised.
+
+    Texts are read where they lie and never shuffled; what goes on is some 100 bytes a content. A key in several rows counts
+    once. The model that is sent to the tasks is bounded by languages x DICT_BYTES.
     """
-    names, common = label_names(packs), language_words(common_words)
-    model = tuple(sample_texts(samples, names, common).items())
-    labels = files.groupBy("id").agg(F.max("lang").alias("_label"))
-    rows = texts.select(F.col(key).alias("_id"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & (F.length("_text") > 0))
-    # the work comes after the join: as many partitions as the texts have, whatever their size in bytes
-    n = max(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
-    both = rows.repartition(n, "_id").join(labels, F.col("_id") == F.col("id"), "left").select("_id", "_text", "_label")
+    common = language_words(common_words)
+    model = tuple(sample_texts(samples, label_names(packs), common).items())
     kind = dict(texts.dtypes)[key]
 
     def run(batches):
-        m, known, reader = _model(model), _Words(common), Reader(None)
+        m, known, reader = _model(model), _Words(common), Reader()
         for b in batches:
             out: list[tuple] = []
-            for i, t, label in zip(*(c.to_pylist() for c in b.columns)):
+            for i, t in zip(*(c.to_pylist() for c in b.columns)):
+                if i is None or not t or t.isspace():
+                    continue
                 form = readable_form(t)
                 found = m.segments(form)
-                if not found:
-                    continue
                 if len(found) > 1:
                     # headers, footers and page numbers of scans are no part of the text
                     lines = form.split("\n")
                     noise = set().union(*reader.edges(t.split("\n")))
                     if noise:
                         found = m.segments("\n".join(x for k, x in enumerate(lines) if k not in noise))
-                        if not found:
-                            continue
-                if len({x[0] for x in found}) == 1 and languages_of_label(label, names) == {found[0][0]}:
-                    continue
-                _, s = statistics(t, known)
-                if kind_of(np.array(s), np.zeros(len(s))) != "prose":
-                    continue
-                out += [(i, k + 1, lang, conf, n) for k, (lang, conf, n) in enumerate(found)]
-            cols = list(zip(*out)) if out else [[]] * 5
-            types = [b.schema.field(0).type, pa.int64(), pa.string(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], names=[key, "seg_no", "lang", "confidence", "words"])
+                lang, s = statistics(t, known, form)
+                out.append((i, lang, s, [dict(zip(("lang", "confidence", "words"), x)) for x in found]))
+            cols = list(zip(*out)) if out else [[]] * 4
+            types = [b.schema.field(0).type, pa.string(), pa.list_(pa.float32()), pa.list_(_SEGMENT)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], names=[key, "lang", "stats", "segments"])
+
+    schema = f"`{key}` {kind}, lang string, stats array<float>, segments array<struct<lang:string,confidence:double,words:bigint>>"
+    return cut(texts.select(key, text).mapInArrow(run, schema).dropDuplicates([key]))
 
-    return both.mapInArrow(run, f"{key} {kind}, seg_no long, lang string, confidence double, words long").dropDuplicates([key, "seg_no"])
+
+def languages(texts: DataFrame, files: DataFrame, packs: DataFrame, common_words: DataFrame, samples: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
+    """(key, lang, confidence, kind, label_fits, segments): one row for every content that isn't null or blank.
+
+    ``lang`` names the languages of the content in order of appearance, joined by ``+``, and is ``und`` where none can be
+    told (confidence 0); ``confidence`` is the mean margin of its segments by words; ``kind`` is that of the quality
+    statistics; ``label_fits`` says whether the label in ``files`` (id, lang) names exactly these languages, and is null
+    without a label. A content without a row in ``files`` has no label; with an empty sample nothing can be told.
+    """
+    names, rows = label_names(packs), classified(texts, packs, common_words, samples, key, text)
+    scale = Scale(sketches(rows))
+    labels = files.groupBy(F.col("id").alias("_of")).agg(F.max("lang").alias("_label"))
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches):
+        for b in batches:
+            ids, langs, _, segs, label = (c.to_pylist() if k != 2 else c for k, c in enumerate(b.columns))
+            kinds = scale.kinds(langs, _matrix(b.column(2)))
+            found = [list(dict.fromkeys(x["lang"] for x in s)) for s in segs]
+            words = [sum(x["words"] for x in s) for s in segs]
+            conf = [sum(x["confidence"] * x["words"] for x in s) / n if n else 0.0 for s, n in zip(segs, words)]
+            named = [languages_of_label(x, names) for x in label]
+            fits = [None if x is None else x == frozenset(f) for x, f in zip(named, found)]
+            cols = [b.column(0), pa.array(["+".join(f) or "und" for f in found]), pa.array(conf, pa.float64()), pa.array(kinds, pa.string()), pa.array(fits, pa.bool_()), b.column(3)]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "lang", "confidence", "kind", "label_fits", "segments"])
+
+    both = rows.join(labels, F.col(key) == F.col("_of"), "left").select(key, "lang", "stats", "segments", "_label")
+    return both.mapInArrow(run, f"`{key}` {kind}, lang string, confidence double, kind string, label_fits boolean, segments array<struct<lang:string,confidence:double,words:bigint>>")
+
+
+def segments(texts: DataFrame, files: DataFrame, packs: DataFrame, common_words: DataFrame, samples: DataFrame, key: str = "file_id", text: str = "content", wrong_only: bool = False) -> DataFrame:
+    """(key, seg_no, lang, confidence, words): the segments of every prose text, numbered in reading order.
+
+    With ``wrong_only``, of the texts whose label is missing or doesn't name exactly the languages found, or that hold more
+    than one. Null, empty and blank texts, and texts in which no stretch of five words can be told, have no rows; repeated
+    rows count once; an empty sample gives no rows.
+    """
+    rows = languages(texts, files, packs, common_words, samples, key, text).filter("kind = 'prose'")
+    if wrong_only:
+        rows = rows.filter(~F.coalesce("label_fits", F.lit(False)) | F.contains("lang", F.lit("+")))
+    return rows.select(key, F.posexplode("segments").alias("_k", "_s")).select(key, (F.col("_k") + 1).cast("long").alias("seg_no"), "_s.lang", "_s.confidence", "_s.words")

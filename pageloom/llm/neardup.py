@@ -7,6 +7,11 @@ similarity of one half every branch keeps a pair with probability one half). ``R
 recall at the threshold above 0.98; more similar pairs are found almost surely. What the sketch lets through is checked
 exactly on the word runs themselves, so that every row returned is right.
 
+Many variants of one text would stay together in every node. So a node first looks for balls: records that are all but equal to
+one of a few pivots, which are those nearest to the commonest value of every token. Two records within a distance of (1 - t) / 2 of a pivot are within 1 - t of each other (Jaccard distance
+is a metric), so that a ball stands for all pairs in it and costs a row a member; only pairs that no ball covers are compared,
+and the node needs no branching if these are few.
+
 For Spark: texts with equal words are one class and enter once; only some 40 bytes a row and root are shuffled; the rows of a
 partition arrive sorted by node, so that whole batches of nodes branch and compare as array operations. A node of more than
 ``WIDE`` members never has to fit in a task: its rows are passed on as rows of its children and shuffled again in a next round.
@@ -30,12 +35,17 @@ from .normalize import readable_form
 RUN, LEAST_WORDS = 3, 30
 #: Minwise tokens of a record; root branches; members of a node compared exhaustively; levels of branching.
 COORDS, ROOTS, LEAF, DEPTH = 48, 8, 24, 10
-#: Members beyond which a node is passed on to another round instead of being branched in memory.
-WIDE = 200_000
+#: Members beyond which a node is passed on to another round instead of being branched in memory (36 bytes a member).
+WIDE = 2_000_000
 #: Tokens are kept to four bits for comparing. Of COORDS, how many must agree before a pair is checked exactly: 2.7 standard
 #: deviations under the mean at a similarity of one half, 3.4 over the mean at one tenth.
 AGREE = 16
 PACKED = COORDS // 2
+#: Tokens that have to agree with the pivot of a ball (the exact check decides: few may be missed, some may fail), fewest members of a ball, pivots about one centre and centres of a node; and
+#: uncovered pairs a member up to which a node is settled without branching.
+BALL, BALL_LEAST, PIVOTS, CENTRES, EACH = 28, 8, 16, 2, 64
+#: Rows of results kept before they are handed on.
+HELD = 500_000
 
 _WORD = re.compile(r"[^\W_]+")
 _WORD_ASCII = re.compile(r"[a-z0-9]+")
@@ -153,9 +163,74 @@ def _compare(order: np.ndarray, start: np.ndarray, short: np.ndarray, found: lis
         d += 1
 
 
-def _explore(node: np.ndarray, level: int, short: np.ndarray, found: list) -> None:
-    """Branches and compares the rows of complete nodes."""
+def _agree(short: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return _ALIKE[short ^ one].sum(axis=1)
+
+
+def _centre(short: np.ndarray) -> np.ndarray:
+    """The commonest value of each token."""
+    out = np.empty(PACKED, np.uint8)
+    for c in range(PACKED):
+        both = np.bincount(short[:, c], minlength=256).reshape(16, 16)
+        out[c] = both.sum(1).argmax() << 4 | both.sum(0).argmax()
+    return out
+
+
+def _open_pairs(mask: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of pairs that no ball covers, distinct masks, the mask of each row, which masks share no ball)."""
+    masks, group, size = np.unique(mask, return_inverse=True, return_counts=True)
+    apart = (masks[:, None] & masks[None, :]) == 0
+    own = size[masks == 0].sum()
+    return int(((apart * np.outer(size.astype(float), size)).sum() - own) / 2), masks, group, apart
+
+
+def _settle(idx: np.ndarray, short: np.ndarray, found: list, stars: list, last: bool) -> bool:
+    """Balls and uncovered pairs of one node, whose members are ``idx`` in order of their keys; False if so many pairs are left
+    uncovered that the node should branch (never where ``last``)."""
+    s, n = short[idx], len(idx)
+    mask, balls = np.zeros(n, np.uint32), []
+    open_pairs = n * (n - 1) / 2
+    for _ in range(CENTRES):
+        rest = np.flatnonzero(mask == 0)
+        if len(rest) < BALL_LEAST or open_pairs <= n:
+            break
+        central = _agree(s[rest], _centre(s[rest]))
+        if central.max() < BALL + COORDS // 4:
+            break  # nothing that many are close to
+        for at in rest[np.argsort(-central, kind="stable")[:PIVOTS]]:
+            ball = np.flatnonzero(_agree(s, s[at]) >= BALL)
+            if len(ball) >= BALL_LEAST:
+                mask[ball] |= np.uint32(1 << len(balls))
+                balls.append((at, ball))
+                open_pairs = _open_pairs(mask)[0]
+                if open_pairs <= n:
+                    break
+    open_pairs, masks, group, apart = _open_pairs(mask)
+    if open_pairs > EACH * n and not last:
+        return False
+    for at, ball in balls:
+        stars.append(np.stack([np.full(len(ball), idx[at]), idx[ball]], 1))
+    if open_pairs:
+        members = [np.flatnonzero(group == g) for g in range(len(masks))]
+        for i in range(len(masks)):
+            for j in range(i, len(masks)):
+                if not apart[i, j]:
+                    continue
+                a, b = (members[i], members[j]) if len(members[i]) <= len(members[j]) else (members[j], members[i])
+                for k, x in enumerate(a):
+                    rest = b[k + 1 :] if i == j else b
+                    hit = rest[_agree(s[rest], s[x]) >= AGREE]
+                    if len(hit):
+                        found.append(np.stack([np.full(len(hit), idx[x]), idx[hit]], 1))
+    return True
+
+
+def _explore(node: np.ndarray, level: int, short: np.ndarray):
+    """Branches and compares the rows of complete nodes, given in order of their keys; yields (pairs, stars) as lists of index
+    arrays, a star being a pivot and a member of its ball."""
     rows = np.arange(len(node))
+    found: list = []
+    stars: list = []
     while len(rows):
         order = np.argsort(node, kind="stable")
         rows, node = rows[order], node[order]
@@ -165,75 +240,87 @@ def _explore(node: np.ndarray, level: int, short: np.ndarray, found: list) -> No
         at = np.flatnonzero(start)
         size = np.diff(np.append(at, len(rows)))
         each = np.repeat(size, size)
-        small = (each >= 2) & ((each <= LEAF) | (level >= DEPTH))
+        small = (each >= 2) & (each <= LEAF)
         if small.any():
             _compare(rows[small], start[small], short, found)
-        if level >= DEPTH:
-            return
-        big = each > LEAF
-        rows, node = rows[big], node[big]
+        branch = np.zeros(len(rows), bool)
+        for a, n in zip(at[size > LEAF], size[size > LEAF]):
+            members = np.unique(rows[a : a + n])
+            if not _settle(members, short, found, stars, level >= DEPTH):
+                branch[a : a + n] = True
+            if sum(map(len, found)) + sum(map(len, stars)) > HELD:
+                yield found, stars
+                found, stars = [], []
+        rows, node = rows[branch], node[branch]
         one, two = _children(node, short[rows])
         rows, node = np.concatenate([rows, rows]), np.concatenate([one, two])
         level += 1
+    yield found, stars
+
+
+_NODES = "_node long, _level int, _id long, _short binary, _b long, _ball boolean"
 
 
 def _nodes(batches):
-    """Rows sorted by node to pairs (``_node`` null) and, of nodes that are too wide, rows of their children."""
-    names = ["_node", "_level", "_id", "_short", "_b"]
+    """Rows sorted by node and key to pairs (``_node`` null), members of balls (``_ball``) and, of nodes that are too wide,
+    rows of their children."""
+    names = [x.split()[0] for x in _NODES.split(", ")]
 
-    def pairs(ids, found):
-        both = np.unique(np.sort(ids[np.concatenate(found)], axis=1), axis=0)
+    def result(ids, found, ball):
+        both = ids[np.concatenate(found)]
+        both = np.unique(both if ball else np.sort(both, axis=1), axis=0)
         n = len(both)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(both[:, 0]), pa.nulls(n, pa.binary()), pa.array(both[:, 1])], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(both[:, 0]), pa.nulls(n, pa.binary()), pa.array(both[:, 1]), pa.array(np.full(n, ball))], names=names)
 
     def passed_on(node, level, ids, short):
-        blobs = [x.tobytes() for x in short]
+        blobs, n = [x.tobytes() for x in short], len(ids)
         for child in _children(node.view(_U), short):
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array((level + 1).astype(np.int32)), pa.array(ids), pa.array(blobs, pa.binary()), pa.nulls(len(ids), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array((level + 1).astype(np.int32)), pa.array(ids), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=names)
 
     def work(node, level, ids, short):
-        found: list = []
         for lv in np.unique(level):
             at = np.flatnonzero(level == lv)
-            one: list = []
-            _explore(node[at].view(_U), int(lv), short[at], one)
-            found += [at[x] for x in one]
-        if found:
-            yield pairs(ids, found)
+            for found, stars in _explore(node[at].view(_U), int(lv), short[at]):
+                if found:
+                    yield result(ids[at], found, False)
+                if stars:
+                    yield result(ids[at], stars, True)
 
-    held = None
+    def joined(parts):
+        return tuple(np.concatenate(c) for c in zip(*parts))
+
+    parts: list = []  # batches whose last node may go on
     wide = None  # a node that is being passed on
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = (
+        cols = (
             batch.column(0).to_numpy(zero_copy_only=False),
             batch.column(1).to_numpy(zero_copy_only=False),
             batch.column(2).to_numpy(zero_copy_only=False),
             np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, PACKED),
         )
-        cols = new if held is None else tuple(np.concatenate([a, b]) for a, b in zip(held, new))
-        node = cols[0]
         if wide is not None:
-            k = int(np.searchsorted(node != wide, True)) if (node != wide).any() else len(node)
+            other = np.flatnonzero(cols[0] != wide)
+            k = int(other[0]) if len(other) else len(cols[0])
             if k:
                 yield from passed_on(*(c[:k] for c in cols))
                 cols = tuple(c[k:] for c in cols)
-                node = cols[0]
-            if not len(node):
-                held = None
+            if not len(cols[0]):
                 continue
             wide = None
-        open_at = int(np.flatnonzero(node == node[-1])[0])  # the last node may go on in the next batch
-        if open_at:
-            yield from work(*(c[:open_at] for c in cols))
-        held = tuple(c[open_at:] for c in cols)
-        if len(held[0]) > WIDE and held[1][0] < DEPTH:
-            wide = held[0][0]
-            yield from passed_on(*held)
-            held = None
-    if held is not None and len(held[0]) > 1:
-        yield from work(*held)
+        open_at = int(np.flatnonzero(cols[0] == cols[0][-1])[0])  # the last node may go on in the next batch
+        if open_at or parts and parts[-1][0][-1] != cols[0][0]:
+            yield from work(*joined([*parts, tuple(c[:open_at] for c in cols)]))
+            parts = []
+        parts.append(tuple(c[open_at:] for c in cols))
+        if sum(len(x[0]) for x in parts) > WIDE and parts[0][1][0] < DEPTH:
+            wide = parts[0][0][0]
+            for x in parts:
+                yield from passed_on(*x)
+            parts = []
+    if parts:
+        yield from work(*joined(parts))
 
 
 def _word_runs(batches):
@@ -261,19 +348,39 @@ def classes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one.select(F.col("_rep").alias("_id"), "_sig"), copies
 
 
-def class_pairs(docs: DataFrame, reps: DataFrame, key: str = "file_id", text: str = "content", threshold: float = 0.5) -> DataFrame:
-    """(a, b, similarity): pairs of class representatives (least id) with similarity of at least ``threshold``."""
+def class_links(docs: DataFrame, reps: DataFrame, key: str = "file_id", text: str = "content", threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity) and (ball, member): the links between class representatives (least keys), materialised.
+
+    Two representatives are linked (similarity of at least ``threshold``) iff they are a pair or members of the same ball. A
+    ball is named by its pivot, which is a member; each of its members is exactly checked to lie within half the distance
+    of its pivot. A pair may also lie in a ball.
+    """
     rows = reps.select("_id", "_sig").mapInArrow(_roots, "_node long, _level int, _id long, _short binary")
     found = None
     while True:
-        out = cut(rows.repartition("_node").sortWithinPartitions("_node").mapInArrow(_nodes, "_node long, _level int, _id long, _short binary, _b long"))
-        new = out.filter("_node is null").select(F.col("_id").alias("a"), F.col("_b").alias("b"))
+        out = cut(rows.repartition("_node").sortWithinPartitions("_node", "_id").mapInArrow(_nodes, _NODES))
+        new = out.filter("_node is null").select(F.col("_id").alias("a"), F.col("_b").alias("b"), "_ball")
         found = new if found is None else found.unionByName(new)
         rows = out.filter("_node is not null").select("_node", "_level", "_id", "_short")
         if rows.isEmpty():
             break
-    found = cut(found.distinct())
-    # exact check on the texts of the records that occur in a candidate
+    found = cut(found.filter("a <> b").distinct())
+    checked = cut(_similarities(docs, found, key, text))
+    near = (1 + threshold) / 2
+    balls = checked.filter(F.col("_ball") & (F.col("similarity") >= near)).select(F.col("a").alias("ball"), F.col("b").alias("member"))
+    balls = cut(balls.unionByName(balls.select("ball", F.col("ball").alias("member"))).distinct())
+    links = checked.filter(F.col("similarity") >= threshold).filter(~F.col("_ball") | (F.col("similarity") < near))
+    # a candidate that isn't near enough to its pivot counts for itself: against every candidate of that ball
+    stray = checked.filter(F.col("_ball") & (F.col("similarity") < near)).select(F.col("a").alias("ball"), F.col("b").alias("x"))
+    if not stray.isEmpty():
+        more = stray.join(checked.filter("_ball").select(F.col("a").alias("ball"), F.col("b").alias("y")), "ball").filter("x <> y")
+        more = cut(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("_ball")).distinct())
+        links = links.unionByName(_similarities(docs, more, key, text).filter(F.col("similarity") >= threshold))
+    return cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()), balls
+
+
+def _similarities(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, b, _ball, similarity) of materialised candidates, by the word runs of their texts."""
     wanted = found.select(F.col("a").alias("_id")).union(found.select("b")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).filter("_text is not null")
     sets = cut(texts.join(wanted, "_id", "left_semi").dropDuplicates(["_id"]).mapInArrow(_word_runs, "_id long, _runs array<int>"))
@@ -283,50 +390,68 @@ def class_pairs(docs: DataFrame, reps: DataFrame, key: str = "file_id", text: st
     return (
         found.join(left, "a")
         .join(right, "b")
-        .select("a", "b", common.alias("_n"), (F.size("_ra") + F.size("_rb")).alias("_all"))
-        .select("a", "b", (F.col("_n") / (F.col("_all") - F.col("_n"))).alias("similarity"))
-        .filter(F.col("similarity") >= threshold)
+        .select("a", "b", "_ball", common.alias("_n"), (F.size("_ra") + F.size("_rb")).alias("_all"))
+        .select("a", "b", "_ball", (F.col("_n") / (F.col("_all") - F.col("_n"))).alias("similarity"))
     )
 
 
+def _within(groups: DataFrame, of: str, member: str) -> DataFrame:
+    """(x, y): the pairs within each group, x < y. Members are dealt into blocks of some 2,000 by the size of the group, and
+    two blocks meet in a task of their own, so that no task takes a whole large group."""
+    size = groups.groupBy(F.col(of).alias("_g")).agg(F.ceil(F.count("*") / 2000).cast("int").alias("_k"))
+    rows = groups.join(size, F.col(of) == F.col("_g")).select("_g", F.col(member).alias("_m"), "_k", F.pmod(F.xxhash64(member), F.col("_k")).cast("int").alias("_s"))
+    x = rows.select("_g", F.col("_m").alias("x"), F.col("_s").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_j"))
+    y = rows.select("_g", F.col("_m").alias("y"), F.col("_s").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_i"))
+    return x.join(y, ["_g", "_i", "_j"]).filter("x < y").select("x", "y")
+
+
 def similar_pairs(docs: DataFrame, key: str = "file_id", text: str = "content", threshold: float = 0.5) -> DataFrame:
-    """Pairs of keys with similarity of at least ``threshold``, the smaller key first; copies are expanded.
+    """Pairs of keys with similarity of at least ``threshold``, the smaller key first; copies and balls are expanded.
 
     Null and empty texts and texts of fewer than 30 words never count; a key in several rows counts once; keys must be
     integers. An empty table gives no rows.
     """
     reps, several = classes(signed(docs, key, text))
-    pairs = cut(class_pairs(docs, reps, key, text, threshold).select("a", "b"))
+    links, balls = class_links(docs, reps, key, text, threshold)
+    pairs = links.select("a", "b").union(_within(balls, "ball", "member")).distinct()
     m1, m2 = (several.select(F.col("_id").alias(f"_m{k}"), F.col("_rep").alias(f"_r{k}")) for k in (1, 2))
     wide = pairs.join(m1, F.col("a") == F.col("_r1"), "left").select(F.coalesce("_m1", "a").alias("_x"), "b")
     wide = wide.join(m2, F.col("b") == F.col("_r2"), "left").select("_x", F.coalesce("_m2", "b").alias("_y"))
-    equal = m1.join(m2, F.col("_r1") == F.col("_r2")).filter("_m1 < _m2").select(F.col("_m1").alias("_x"), F.col("_m2").alias("_y"))
+    equal = _within(several, "_rep", "_id").select(F.col("x").alias("_x"), F.col("y").alias("_y"))
     return wide.union(equal).select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b")).distinct()
 
 
-def groups(docs: DataFrame, key: str = "file_id", text: str = "content", threshold: float = 0.5) -> DataFrame:
-    """(key, class_id, group_id, n_links): one row per record that counts.
-
-    ``class_id`` is the least key with the same words, ``n_links`` the number of other classes linked to it, ``group_id``
-    the least key of all records that links connect. Components are found by repeated minimum over neighbours with
-    pointer jumping on the table of links; nothing of it comes to the driver but a count per round.
-    """
-    reps, several = classes(signed(docs, key, text))
-    of = reps.select("_id", F.col("_id").alias("_rep")).union(several).distinct()
-    pairs = cut(class_pairs(docs, reps, key, text, threshold).select("a", "b"))
-    links = cut(pairs.union(pairs.select(F.col("b"), F.col("a"))))
-    root = cut(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")))
+def _components(links: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, root): the least key that links (a, b) connect with each key that has any. Repeated minimum over neighbours with
+    pointer jumping on tables; nothing of it comes to the driver but a flag a round."""
+    both = cut(links.union(links.select("b", "a")).distinct())
+    root = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")))
     while True:
-        near = links.join(root.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("_near"))
+        near = both.join(root.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("_near"))
         step = root.join(near, "a").select("a", F.least("root", "_near").alias("_to"), F.col("root").alias("_old"))
         jump = step.select(F.col("a").alias("_to"), F.col("_to").alias("_next"))
         new = cut(step.join(jump, "_to", "left").select("a", F.least("_to", F.coalesce("_next", "_to")).alias("root"), "_old"))
         moved = not new.filter("root <> _old").isEmpty()
         root = new.select("a", "root")
         if not moved:
-            break
-    n = links.groupBy("a").agg(F.count("*").alias("_n"))
-    info = root.join(n, "a")
-    return of.join(info, F.col("_rep") == F.col("a"), "left").select(
-        F.col("_id").alias(key), F.col("_rep").alias("class_id"), F.coalesce("root", "_rep").alias("group_id"), F.coalesce("_n", F.lit(0)).alias("n_links")
-    )
+            return root
+
+
+def linked(docs: DataFrame, key: str = "file_id", text: str = "content", threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Groups and links without expanding any: (groups, links).
+
+    groups: (key, class_id, group_id, balls array<long>), one row per record that counts. ``class_id`` is the least key with
+    the same words, ``group_id`` the least key of all that links connect, ``balls`` the balls its class is in.
+    links: (class_id_a, class_id_b, similarity), the linked classes that share no ball. Two different records are linked iff
+    they are of one class, share a ball, or their classes are in links: no link is lost and no clique is spelled out.
+    """
+    reps, several = classes(signed(docs, key, text))
+    of = reps.select("_id", F.col("_id").alias("_rep")).union(several).distinct()
+    links, balls = class_links(docs, reps, key, text, threshold)
+    root = _components(links.select("a", "b").union(balls.filter("ball <> member").select("ball", "member")), reps)
+    held = balls.groupBy(F.col("member").alias("_of")).agg(F.array_sort(F.collect_set("ball")).alias("balls"))
+    groups = of.join(root, F.col("_rep") == F.col("a"), "left").join(held, F.col("_rep") == F.col("_of"), "left")
+    groups = groups.select(F.col("_id").alias(key), F.col("_rep").alias("class_id"), F.coalesce("root", "_rep").alias("group_id"), F.coalesce("balls", F.array().cast("array<bigint>")).alias("balls"))
+    left, right = (held.select(F.col("_of").alias(c), F.col("balls").alias(f"_{c}")) for c in "ab")
+    apart = links.join(left, "a", "left").join(right, "b", "left").filter(~F.coalesce(F.arrays_overlap("_a", "_b"), F.lit(False)))
+    return groups, apart.select(F.col("a").alias("class_id_a"), F.col("b").alias("class_id_b"), "similarity")

@@ -212,26 +212,48 @@ def normalized(docs: DataFrame, text: str = "content", to: str = "normal") -> Da
     return docs.withColumn(to, normal_form_col(F.col(text)))
 
 
+def _looks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, _look, _raw): digests of what is displayed and of the string, once for each different row; materialised, as it has
+    several readers."""
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
+    return cut(rows.select("_id", F.unhex(F.md5("_text")).alias("_raw"), display_key_digest("_text").alias("_look")).distinct())
+
+
+def _classes(one: DataFrame) -> DataFrame:
+    """(_look, _raw, _n): the different strings, with their number of keys, of every look that has several. Counted with
+    map-side combine: a mass of copies is one row."""
+    each = one.groupBy("_look", "_raw").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
+    several = one.groupBy("_look").agg(F.min("_raw").alias("_a"), F.max("_raw").alias("_b")).filter("_a <> _b").select("_look")
+    return each.join(several, "_look", "left_semi")
+
+
 def look_alike_pairs(docs: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     """Pairs of keys whose texts look the same and aren't the same string, the smaller key first.
 
-    Only (key, 16-byte digest of the display key, 16-byte digest of the text) is shuffled. Display keys with one text only
-    are dropped by an aggregate with map-side combine before any pairing, so that a mass of exact copies never meets itself
-    unless a differing text looks the same; AQE splits what is left of a hot key. Null texts never match; empty texts
-    look like each other and like texts of invisible characters. Repeated rows count once.
+    Only (key, 16-byte digest of the display key, 16-byte digest of the text) is shuffled. Classes of equal strings are paired
+    by their look, then each side is expanded to its keys: copies never meet each other, and n copies beside one
+    differing text give n rows of work. Null texts never match; empty texts look like each other and like texts of invisible
+    characters. Repeated rows count once.
     """
-    one = (
-        docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-        .filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
-        .select("_id", F.unhex(F.md5("_text")).alias("_raw"), display_key_digest("_text").alias("_look"))
-    )
-    one = cut(one)  # three readers: the text is normalised once
-    several = one.groupBy("_look").agg(F.min("_raw").alias("_a"), F.max("_raw").alias("_b")).filter("_a <> _b").select("_look")
-    left = one.join(several, "_look", "left_semi").distinct()
-    right = left.select(F.col("_id").alias("_id2"), F.col("_raw").alias("_raw2"), "_look")
-    return (
-        left.join(right, "_look")
-        .filter((F.col("_id") < F.col("_id2")) & (F.col("_raw") != F.col("_raw2")))
-        .select(F.col("_id").alias(f"{key}_a"), F.col("_id2").alias(f"{key}_b"))
-        .distinct()
-    )
+    one = _looks(docs, key, text)
+    kinds = cut(_classes(one))
+    other = kinds.select("_look", F.col("_raw").alias("_raw2"))
+    pairs = kinds.select("_look", "_raw").join(other, "_look").filter("_raw < _raw2")
+    members = one.join(kinds.select("_look", "_raw"), ["_look", "_raw"], "left_semi")
+    left = pairs.join(members, ["_look", "_raw"]).select("_look", "_raw2", F.col("_id").alias("_x"))
+    both = left.join(members.select("_look", F.col("_raw").alias("_raw2"), F.col("_id").alias("_y")), ["_look", "_raw2"]).filter("_x <> _y")
+    return both.select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b")).distinct()
+
+
+def look_alike_classes(docs: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
+    """(key, class_id, string_id, n_links): one row per key with a text.
+
+    ``class_id`` is the least key whose text looks the same, ``string_id`` the least key with the same string, ``n_links`` the
+    number of keys whose text looks the same and is another string. A key with several texts takes its first by string.
+    """
+    one = _looks(docs, key, text).groupBy("_id").agg(F.min(F.struct("_raw", "_look")).alias("_t")).select("_id", "_t._raw", "_t._look")
+    one = cut(one)
+    each = cut(one.groupBy("_look", "_raw").agg(F.count("*").alias("_n"), F.min("_id").alias("string_id")))
+    look = each.groupBy("_look").agg(F.sum("_n").alias("_all"), F.min("string_id").alias("class_id"))
+    told = each.join(look, "_look").select("_look", "_raw", "class_id", "string_id", (F.col("_all") - F.col("_n")).alias("n_links"))
+    return one.join(told, ["_look", "_raw"]).select(F.col("_id").alias(key), "class_id", "string_id", "n_links")

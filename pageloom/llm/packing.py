@@ -3,7 +3,8 @@
 Pattern packing by non-negative least squares. The lengths are folded into a histogram of at most ``capacity`` entries,
 however many items there are; on it, patterns of up to three lengths that fill a container exactly are enumerated, their
 repeat counts are fitted to the histogram by non-negative least squares and rounded down, and what is left is packed largest
-first into the tightest space. Many short items are first bundled by equal length, so that few-item patterns reach far.
+first into the tightest space. Short items are bundled by equal length, and the commonest lengths take part in any number, so
+that patterns of three reach far.
 The plan (patterns and repeats) is as small as the histogram; items get their place from their rank among the items of the
 same length, which is counted in salted blocks, so that no length, however frequent, passes through one task.
 """
@@ -18,44 +19,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Resolution of the fit: lengths count in units of capacity / BINS, rounded up.
-BINS = 256
-#: Blocks in which the items of one length are counted.
+BINS = 512
+#: Lengths that give pieces of any number of items.
+HOT = 4
+#: Fewest blocks in which the items of one length are counted; more where the session shuffles over more partitions.
 SALTS = 64
 
 
-def fit_patterns(hist: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (k, 3) of bins that sum to the full container (0 = unused) and their fitted repeats.
+#: Container sizes a table may have: it is a list of settings.
+MOST_CAPACITIES = 1000
 
-    ``hist[b]`` counts the items of b units. Minimises |A x - hist| over x >= 0 by accelerated projected gradient; each
-    column of A has at most three entries, so that a step is two passes over the index arrays.
+
+def fit_patterns(size: np.ndarray, row: np.ndarray, times: np.ndarray, hist: np.ndarray, full: int, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (k, 3) of pieces that fill a container of ``full`` units exactly (-1 = unused), and their fitted repeats.
+
+    Piece i takes ``size[i]`` units and holds ``times[i]`` items of row ``row[i]`` of the histogram; ``hist[r]`` counts the items of
+    a row. Minimises |A x - hist| over x >= 0 by accelerated projected gradient; each column of A has at most three entries, so
+    that a step is two passes over the index arrays.
     """
-    full = len(hist) - 1
-    have = np.flatnonzero(hist[1:]) + 1
-    a, b = np.meshgrid(have, have, indexing="ij")
-    a, b = a.ravel(), b.ravel()
-    c = full - a - b
-    ok = (a >= b) & (b >= c) & (c >= 0)
-    pats = np.stack([a[ok], b[ok], c[ok]], 1)
-    if hist[full]:
-        pats = np.vstack([pats, [[full, 0, 0]]])
-    pats = pats[(pats[:, 2] == 0) | (hist[np.minimum(pats[:, 2], full)] > 0)]
+    n = len(size)
+    at = np.full(full + 1, -1)
+    plain = np.flatnonzero(times == 1)
+    at[size[times > 1]] = np.flatnonzero(times > 1)
+    at[size[plain]] = plain
+    a, b = np.triu_indices(n)
+    c = full - size[a] - size[b]
+    third = np.where(c > 0, at[np.clip(c, 0, full)], -1)
+    ok = (c == 0) | ((c > 0) & (third >= 0) & (third >= b))
+    pats = np.stack([a[ok], b[ok], third[ok]], 1)
+    alone = np.flatnonzero(size == full)
+    pats = np.vstack([pats, np.stack([alone, np.full(len(alone), -1), np.full(len(alone), -1)], 1)])
     if not len(pats):
         return pats, np.zeros(0)
-    used = pats > 0
-    weight = np.where(np.arange(full + 1) == 0, 0.0, 0.2 + np.arange(full + 1) / full)  # long items matter more
+    used = pats >= 0
+    rows, coef = np.where(used, row[pats], 0), np.where(used, times[pats], 0).astype(float)
+    heavy = np.zeros(len(hist))
+    np.maximum.at(heavy, row, size / times / full)
+    weight = 0.2 + heavy  # long items matter more
     target = hist * weight
 
     def forward(x):
-        y = np.zeros(full + 1)
+        y = np.zeros(len(hist))
         for k in range(3):
-            y += np.bincount(pats[:, k], weights=x * used[:, k], minlength=full + 1)
+            y += np.bincount(rows[:, k], weights=x * coef[:, k], minlength=len(hist))
         return y * weight
 
     def backward(r):
-        r = r * weight
-        return (r[pats] * used).sum(1)
+        return ((r * weight)[rows] * coef).sum(1)
 
     v = np.ones(len(pats))
+    step = 1.0
     for _ in range(15):
         v = backward(forward(v))
         step = np.linalg.norm(v)
@@ -73,43 +86,56 @@ def fit_patterns(hist: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.nd
 def plan(counts: dict[int, int], capacity: int, bins: int = BINS) -> list[tuple[dict[int, int], int]]:
     """(items by length, repeats): how many containers hold which lengths. Every item is placed, none is split.
 
-    ``counts``: number of items by length, 1 .. capacity. The fitted patterns are followed by the packing of what they
-    leave; where a histogram is so sparse or lopsided that packing without patterns needs fewer containers, that is taken.
+    ``counts``: number of items by length, 1 .. capacity. The fitted patterns come first, then the packing of what they leave:
+    two ways of it are tried, and the one with fewer containers is taken.
     """
     fitted, left = _by_patterns(counts, capacity, bins)
-    all_ = {s: n for s, n in counts.items() if n > 0}
-    options = [fitted + _residual(dict(left), capacity, hot) for hot in (True, False)] + [_residual(dict(all_), capacity, hot) for hot in (True, False)]
-    return min(options, key=lambda o: sum(m for _, m in o))
+    return fitted + min((_residual(dict(left), capacity, hot) for hot in (True, False)), key=lambda o: sum(m for _, m in o))
 
 
 def _by_patterns(counts: dict[int, int], capacity: int, bins: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Containers by fitted patterns, and the items they leave."""
+    """Containers by fitted patterns, and the items they leave.
+
+    Lengths of a unit share a row. A row gives one piece of an item, or of a bundle of equal short items (at most a third of
+    the container); the lengths with most of the mass (HOT) are rows of their own and give a piece of every number that fits.
+    """
     left = {s: n for s, n in counts.items() if n > 0}
     out: list[tuple[dict[int, int], int]] = []
     width = -(-capacity // bins)
     full = capacity // width
-    # bundles of m equal items, at most a third of the container
-    bundle = {s: max(1, capacity // (3 * s)) for s in left}
-    by_bin: dict[int, list[int]] = {}
-    for s in sorted(left, reverse=True):
-        if left[s] >= bundle[s] and -(-s * bundle[s] // width) <= full:
-            by_bin.setdefault(-(-s * bundle[s] // width), []).append(s)
-    hist = np.zeros(full + 1)
-    for b, sizes in by_bin.items():
-        hist[b] = sum(left[s] // bundle[s] for s in sizes)
-    pats, reps = fit_patterns(hist)
+    units = lambda n: -(-n // width)
+    total = sum(s * n for s, n in left.items())
+    hot = [s for s in sorted(left, key=lambda s: -s * left[s])[:HOT] if s * left[s] >= total / 50]
+    rows: list[list[int]] = [[s] for s in hot]  # lengths of a row
+    pieces = [(units(q * s), r, q, q) for r, s in enumerate(hot) for q in range(1, capacity // s + 1)]  # units, row, times, items
+    by_unit: dict[tuple[int, int], int] = {}
+    for s in sorted(set(left) - set(hot), reverse=True):
+        q = max(1, capacity // (3 * s))
+        if left[s] >= q and units(s * q) <= full:
+            key = (units(s * q), q)
+            if key not in by_unit:
+                by_unit[key] = len(rows)
+                pieces.append((key[0], len(rows), 1, q))
+                rows.append([])
+            rows[by_unit[key]].append(s)
+    if not pieces:
+        return out, left
+    items = {p[1]: p[3] for p in pieces if p[1] >= len(hot)}  # of a bundle, by row
+    hist = np.array([sum(left[s] // items.get(r, 1) for s in ss) for r, ss in enumerate(rows)], dtype=float)
+    size, row, times, number = (np.array(c) for c in zip(*pieces))
+    pats, reps = fit_patterns(size, row, times, hist, full)
     for k in np.argsort(-reps, kind="stable"):
         n = int(reps[k])
         while n > 0:
             want: dict[int, int] = {}  # items by length of one container of this pattern
-            taken: dict[int, int] = {}
-            for b in pats[k]:
-                if b:
-                    s = next((s for s in by_bin.get(int(b), ()) if left[s] - taken.get(s, 0) >= bundle[s]), None)
+            for p in pats[k]:
+                if p >= 0:
+                    q = int(number[p])
+                    s = next((s for s in rows[row[p]] if left[s] - want.get(s, 0) >= q), None)
                     if s is None:
                         want = {}
                         break
-                    want[s] = taken[s] = taken.get(s, 0) + bundle[s]
+                    want[s] = want.get(s, 0) + q
             if not want:
                 break
             m = min(n, *(left[s] // q for s, q in want.items()))
@@ -122,7 +148,7 @@ def _by_patterns(counts: dict[int, int], capacity: int, bins: int) -> tuple[list
 
 def _residual(left: dict[int, int], capacity: int, hot: bool) -> list[tuple[dict[int, int], int]]:
     """Largest first, each space filled by the largest item that still fits. With ``hot``, the length that holds most of what
-    is left is tried first, in any number, where that wastes less."""
+    is left is tried first, in up to eight pieces, where that wastes less (a choice among good containers; nothing is left out)."""
     out: list[tuple[dict[int, int], int]] = []
     sizes = sorted(s for s, n in left.items() if n > 0)
 
@@ -175,7 +201,11 @@ def packed(sizes: DataFrame, capacities: DataFrame, key: str = "doc_id", size: s
     greatest length. Containers are numbered from 1 over all capacities, without gaps.
     """
     spark = sizes.sparkSession
-    caps = [(int(r[0]), int(r[1])) for r in capacities.select("capacity_id", "capacity").distinct().collect() if r[0] is not None and (r[1] or 0) > 0]
+    found = capacities.select("capacity_id", "capacity").distinct().limit(MOST_CAPACITIES + 1).collect()
+    if len(found) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
+    caps = [(int(r[0]), int(r[1])) for r in found if r[0] is not None and (r[1] or 0) > 0]
+    salts = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     one = sizes.filter(F.col(key).isNotNull() & (F.col(size) > 0)).groupBy(key).agg(F.max(size).alias("_n"))
     kinds = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(c).cast("long").alias("c")) for i, c in sorted(caps)])
     schema = f"capacity_id long, container long, {key} {dict(sizes.dtypes)[key]}, part int, {size} long"
@@ -185,9 +215,9 @@ def packed(sizes: DataFrame, capacities: DataFrame, key: str = "doc_id", size: s
         one.select(key, "_n", F.explode(kinds).alias("_k"))
         .select(key, "_n", F.col("_k.id").alias("_cap"), F.col("_k.c").alias("_c"), F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / F.col("_k.c")).cast("int"))).alias("part"))
         .select(key, "part", "_cap", F.least(F.col("_c"), F.col("_n") - F.col("part") * F.col("_c")).alias("_len"))
-        .withColumn("_salt", F.pmod(F.xxhash64(key, "part"), F.lit(SALTS)).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(key, "part"), F.lit(salts)).cast("int"))
     )
-    # at most capacity x SALTS rows, whatever the number of items
+    # at most capacity x salts rows, whatever the number of items
     blocks = parts.groupBy("_cap", "_len", "_salt").agg(F.count("*").alias("_m"))
     before = Window.partitionBy("_cap", "_len").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))

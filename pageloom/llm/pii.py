@@ -1,24 +1,29 @@
 """Personal information inside free text: found with its place in the source, and replaced by typed placeholders.
 
-Detection runs on a deobfuscated text. A first transducer brings characters to one form (look-alikes, width, ligatures,
-invisible characters) and keeps, for every character it emits, the place it came from; the patterns then read the disguises of
-signs (at, dot, spaces around them, digits set apart or spelled) as the signs themselves. Every span found is mapped back to
-the source characters. Names are told by two exact counts over all texts: how often a word follows a phrase that takes a
-person (a form of address, a salutation, a signature and the like) as given name or surname, and how often it occurs at all.
+Detection runs on a deobfuscated text. A chain of transducers rewrites it, each keeping, for every character it emits, the place
+it came from: the first brings characters to one form (look-alikes, width, ligatures, invisible characters), the second turns
+written-out signs (``at``, ``(dot)``, spaces around them) into the signs themselves, and spelled or spaced digits into numbers.
+Patterns then read plain identifiers, and every span is mapped back to the source characters.
+
+Names are told by exact counts over all texts. What a form of address, a salutation, a closing or a field like ``From:``
+introduces gives the first given names and surnames; further ones follow from the runs of capitalised words in which they
+stand beside known ones, as long as most occurrences of the word are of this kind and it isn't written in lower case. Counts,
+evidence and the roles of words are tables that are joined, however large; a filter of fixed size tells each task which words
+are worth asking for.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import cut
 from .normalize import _finders, one_script, readable_form
-from .sketch import Counts, collected, word_counts
+from .sketch import Filter, filter_of, signed_key
 
 KINDS = ("person_name", "email", "phone", "id_number", "street_address")
 
@@ -62,28 +67,74 @@ def _piece(cluster: str) -> str:
     return known
 
 
-# -------------------------------------------------------------------- patterns
-
-_AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?)"
-_AT_WORD = r"\s(?:at|AT)\s"
-_DOT = r"(?:\.|\s?[\[({]\s?(?:dot|DOT|\.|punkt|point|točka)\s?[\])}]\s?)"
-_DOT_WORD = r"\s(?:dot|DOT)\s"
-_LOCAL = r"[^\W_][\w.+-]*"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
-_EMAIL = re.compile(
-    rf"(?<![\w.+-])(?:{_LOCAL}(?:{_AT}{_LABEL}(?:(?:{_DOT}|{_DOT_WORD}){_LABEL})*(?:{_DOT}|{_DOT_WORD}|\.\s(?=[a-z]{{2,12}}\b)|\s\.\s?(?=[a-z]{{2,12}}\b))[^\W\d_]{{2,}}(?![\w@])"
-    rf"|{_AT_WORD}{_LABEL}(?:{_DOT_WORD}{_LABEL})*(?:{_DOT_WORD}|[\[(]dot[\])])[^\W\d_]{{2,}}\b"
-    rf"|{_AT_WORD}{_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}}\b(?!\s[A-Z]{{2}})))"
+_DOT_SAID = r"\s?[\[({]\s?(?:dot|DOT|\.|punkt|point|točka)\s?[\])}]\s?|(?<=\w)\s(?:dot|DOT)\s(?=\w)"
+_AT_SAID = (
+    r"\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?|\s@\s?|(?<=\w)@\s"
+    # the bare word only before what reads as a domain
+    rf"|(?<=\w)\s(?:at|AT)\s(?=(?:{_LABEL}(?:{_DOT_SAID}|\.))*{_LABEL}(?:{_DOT_SAID})[^\W\d_]{{2,}}\b|{_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}}\b(?!\s[A-Z]{{2}}))"
 )
-#: Cheap tests that let most texts pass by.
-_LONG_NUMBER = re.compile(r"\d(?:[ .\n/()-]{0,2}\d){5}")
-_MIXED_NUMBER = re.compile(r"\d{4}[A-Z]\d")
-_DOT_LETTER = re.compile(r"\.[a-z]")
+# The names of the digits 0 to 9.
+DIGIT_NAMES = (
+    "zero one two three four five six seven eight nine", "oh", "null eins zwei drei vier fünf sechs sieben acht neun", "nula jedan dva tri četiri pet šest sedam osam devet",
+    "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zero uno due tre quattro cinque sei sette otto nove",
+    "ноль один два три четыре пять шесть семь восемь девять",
+)
+_DIGIT_OF = {w: str(k) for names in DIGIT_NAMES for k, w in enumerate(names.split())}
+_TIMES = {"double": 2, "triple": 3}
+_NAME_OF_DIGIT = "(?:" + "|".join(sorted(_DIGIT_OF, key=len, reverse=True)) + ")"
+_ONE = rf"(?:(?:double|triple)[\s-]+)?{_NAME_OF_DIGIT}"
+_SAID = rf"(?i:\b{_ONE}(?:[\s,-]{{1,2}}(?:{_ONE}|\d+))+\b)"
+_SPACED = r"(?<![\w.,/-])\d(?: \d){6,}(?![\w]|[.,]\d)"
+_RULES = re.compile(rf"(?P<dot>{_DOT_SAID})|(?P<at>{_AT_SAID})|(?P<said>{_SAID})|(?P<spaced>{_SPACED})")
+_DIGIT_TOKEN = re.compile(rf"(?i)(double|triple)[\s-]+({_NAME_OF_DIGIT})|({_NAME_OF_DIGIT})|(\d)")
+#: Cheap test for a text in which a rule may apply.
+_MAY_RULE = re.compile(r"@|[\[({<]\s?(?:at|AT|dot|DOT|\.|punkt|point|točka)|\s(?:at|AT)\s\S+(?:\.[a-z]|\s(?:dot|DOT)\s|[\[({])|\d \d \d \d|" + rf"(?i:\b{_NAME_OF_DIGIT}[\s,-]+{_NAME_OF_DIGIT}\b)")
+#: Fewest digits that spelled digits have to give together.
+LEAST_SAID = 6
+
+
+def said_as_signs(t: str) -> tuple[str, list[int] | None]:
+    """``t`` with written-out signs and digits as signs and digits, and per character the index in ``t``; None if unchanged."""
+    if not _MAY_RULE.search(t):
+        return t, None
+    out: list[str] = []
+    source: list[int] = []
+    at = 0
+
+    def emit(piece: str, places) -> None:
+        out.append(piece)
+        source.extend(places)
+
+    for m in _RULES.finditer(t):
+        a, b = m.span()
+        kind = m.lastgroup
+        if kind in ("at", "dot"):
+            emit(t[at:a], range(at, a))
+            emit("@" if kind == "at" else ".", [a])
+        elif kind == "spaced":
+            emit(t[at:a], range(at, a))
+            emit(t[a:b:2], range(a, b, 2))
+        else:
+            digits = [(x.start(), _DIGIT_OF[(x.group(2) or x.group(3)).lower()] * _TIMES.get((x.group(1) or "").lower(), 1) if not x.group(4) else x.group(4)) for x in _DIGIT_TOKEN.finditer(t, a, b)]
+            if sum(len(d) for _, d in digits) < LEAST_SAID:
+                continue  # a few numbers in running text
+            emit(t[at:a], range(at, a))
+            for place, d in digits:
+                emit(d, [place] * len(d))
+        at = b
+    if not at:
+        return t, None
+    emit(t[at:], range(at, len(t)))
+    return "".join(out), source
 
 
-def _may_email(t: str) -> bool:
-    return "@" in t or "dot" in t or "DOT" in t or "at)" in t or "at]" in t or "at}" in t or "AT)" in t or "AT]" in t or _DOT_LETTER.search(t) is not None
+# -------------------------------------------------------------------- patterns
 
+_EMAIL = re.compile(rf"(?<![\w.+-])[^\W_][\w.+-]*@{_LABEL}(?:\.{_LABEL})*(?:\.|\.\s(?=[a-z]{{2,12}}\b)|\s\.\s?(?=[a-z]{{2,12}}\b))[^\W\d_]{{2,}}(?![\w@])")
+#: Cheap tests that let most texts pass by.
+_LONG_NUMBER = re.compile(r"\d(?:[ .\n/()-]{0,2}\d){5}")
+_MIXED_NUMBER = re.compile(r"\d{4}[A-Z]\d")
 
 _SEP = r"[ .\-/‐-–\n]"
 _PHONE = re.compile(
@@ -106,6 +157,8 @@ _ID_TOKEN = (
     r"(?:\d{3}[-\s]\d{2}[-\s]\d{4}|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z]|[A-Z]<\d{6,9}|[A-Z]\d{4}[A-Z]\d{4}|[A-Z]{1,3}\s?\d{6,10}[A-Z]?"
     r"|[12]\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{3}\s?\d{3}\s?\d{2}|\d(?:\s?\d){7,15}|\d{2,3}(?:[\s./-]\d{2,6}){2,4}|\d{6,15})"
 )
+#: Characters that the pattern before a number can take.
+ID_REACH = 80
 _ID_AT = re.compile(r"\d+")
 _ID_PREFIX = re.compile(r"(?:[A-Z]{1,3}<?|[A-Z]{2}\s(?=\d{2}\s\d{2}\s\d{2}\s[A-Z]\b))$")
 _ID_MATCH = re.compile(rf"({_ID_TOKEN})(?![\w]|-\d)")
@@ -125,7 +178,7 @@ def _labelled_ids(t: str):
         if (a and (t[a - 1].isalnum() or t[a - 1] in "_-")):
             continue
         token = _ID_MATCH.match(t, a)
-        if token and sum(map(str.isdigit, token.group(1))) >= 6 and _ID_BEFORE.search(t, max(0, a - 80), a):
+        if token and sum(map(str.isdigit, token.group(1))) >= 6 and _ID_BEFORE.search(t, max(0, a - ID_REACH), a):
             at = token.end(1)
             yield a, at
 
@@ -159,6 +212,10 @@ _HR_START = re.compile(rf"(?<![\w-]){_CAP}(?:{_S}{_CAP}){{0,2}}{_S}[\w.]+(?: ?\n
 _HOUSE = re.compile(r"\d{1,4}(?:[ ]?[A-Za-z]\b)?(?![\w%]|[.,:]\d|[-/]\d)")
 
 
+#: Words before a house number that a pattern can take.
+ADDRESS_WORDS = 9
+
+
 def addresses(t: str) -> list[tuple[int, int]]:
     """Spans of street addresses: from each house number, forwards and backwards."""
     out = []
@@ -172,7 +229,11 @@ def addresses(t: str) -> list[tuple[int, int]]:
             continue
         if not a or t[a - 1] not in " \n":
             continue
-        before = t[max(0, a - 60) : a]
+        back = 60
+        before = t[max(0, a - back) : a]
+        while back < a and before.count(" ") + before.count("\n") < ADDRESS_WORDS:  # long words: as many words as a pattern takes
+            back *= 2
+            before = t[max(0, a - back) : a]
         parts = before.split()
         if not parts:
             continue
@@ -193,18 +254,20 @@ def addresses(t: str) -> list[tuple[int, int]]:
 
 # ----------------------------------------------------------------------- names
 
-_PART = r"[A-ZÀ-ÖØ-ÞĆČĐŠŽ][^\W\d_]*(?:['’][^\W\d_]+)?(?:-[A-ZÀ-ÖØ-ÞĆČĐŠŽ][^\W\d_]+)*"
-_INITIAL = r"[A-ZÀ-ÖØ-ÞĆČĐŠŽ]\."
+_UPPER = "A-Z" + "".join(chr(c) for c in range(0xC0, 0x530) if chr(c).isupper())
+_PART = rf"[{_UPPER}][^\W\d_]*(?:['’][^\W\d_]+)?(?:-[{_UPPER}][^\W\d_]+)*"
+_INITIAL = rf"[{_UPPER}]\."
 TITLES = (
     "Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Sir", "Herr", "Herrn", "Frau", "M", "Mme", "Mlle", "Madame", "Monsieur", "Mademoiselle", "Signor", "Signora", "Signorina", "Sig", "Sr",
     "Sra", "Señor", "Señora", "gospodin", "gospodine", "gospođa", "gospođo", "gospođi", "gđa", "gosp", "господин", "госпожа",
 )
-#: Phrases that a person's full name follows.
+#: Salutations, closings, fields and agents, after which a person's full name may stand.
 _TAKES = (
-    r"(?:[Ss]igned by|[Cc]ollected by|[Pp]aid for by|[Ww]ritten by|[Ss]ent by|\bAsk|\bContact|\bWrite to|\bbelongs to|parcel is for|wallet of|\b[Ff]rom:|\bTo:|\bDear|[Rr]egards,?|[Ss]incerely,?|[Ff]aithfully,?"
-    r"|fragen Sie|ist für|gehört|\btraf|\bGrüßen|Grüße|\bDemandez|est pour|\ba vu|Cordialement,?|\bPitajte za|\bje za|Pozdrav,?|\n--)"
+    r"(?:\b(?:[Dd]ear|[Ll]iebe[r]?|[Cc]h[eè]re?|[Qq]uerid[oa]|[Ee]stimad[oa]|[Cc]ar[oa]|[Dd]rag[ia]|[Pp]oštovan[ia]|[Уу]важаем(?:ый|ая)|[Дд]орог(?:ой|ая))"
+    r"|(?:[Rr]egards|[Ss]incerely|[Ff]aithfully|[Tt]ruly|[Ww]ishes|[Gg]rüßen|[Gg]rüße|[Cc]ordialement|[Ss]alutations|[Ss]aludos|[Ss]aluti|[Pp]ozdrav|[Уу]важением),?|\n--"
+    r"|\b(?:[Ff]rom|[Tt]o|[Cc]c|[Nn]ame|[Aa]ttn|[Cc]ontact|[Vv]on|[Aa]n|[Dd]e|À|[Pp]ara|[Dd]a|[Oo]d|[Зз]а|[Кк]ому|[Оо]т):|\b[Cc]ontact|\b[A-Za-z]{2,}(?:ed|en|t|id) by)"
 )
-_TITLE = r"(?:" + "|".join(TITLES) + r")\b\.?"
+_TITLE = r"(?:" + "|".join(x if len(x) > 1 else rf"{x}(?=\.)" for x in TITLES) + r")\b\.?"
 _RUN = re.compile(rf"(?:{_PART}|{_INITIAL})(?:[ \n](?:{_PART}|{_INITIAL})){{1,3}}")
 _TAKES_END = re.compile(rf"{_TAKES}\s+$")
 _SEED_TITLE = re.compile(rf"\b{_TITLE}[ \n]((?:(?:{_PART}|{_INITIAL})[ \n]){{0,2}}{_PART})")
@@ -214,7 +277,6 @@ _NO_NAME = frozenset(("tel", "phone", "fax", "mobile", "mobil", "telefon", "mail
 _PARTICLES = {"mac", "mc", "van", "von", "de", "der", "di", "da", "du", "del", "della", "le", "la", "st", "zu"}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*(?:-[^\W\d_]+(?:['’][^\W\d_]+)*)*")
 _TOKEN_ASCII = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*(?:-[A-Za-z]+(?:'[A-Za-z]+)*)*")
-_NAME_TOKENS_MAX = 6
 
 
 def _tokens(t: str) -> "re.Pattern":
@@ -226,205 +288,330 @@ def _plain(word: str) -> str:
     return word.lower().replace("’", "'")
 
 
-class _Keys(dict):
-    """Key of a word's occurrences, kept per worker; emptied when large."""
-
-    def __missing__(self, word: str) -> str:
-        if len(self) > 500_000:
-            self.clear()
-        key = self[word] = "w:" + _plain(word)
-        return key
-
-
-_keys = _Keys()
-
-
-def name_evidence(text: str) -> set[str]:
-    """What a text tells of words as names: ``g:`` given name, ``s:`` surname, ``w:`` occurs."""
+def name_evidence(text: str) -> tuple[set[str], set[tuple[str, str]]]:
+    """(marks of words, pairs) of a text. Marks: ``w`` occurs, ``l`` occurs in lower case, ``g`` and ``s`` given name and surname
+    by a phrase, ``t`` surname after a form of address; each before the word. Pairs: the last two words of
+    every run of capitalised words, initials between them left out."""
     form = readable_form(text)
     words = set(_tokens(form).findall(form))
-    keys = _keys
-    out = {keys[w] for w in words}
+    out = set()
+    for w in words:
+        x = _plain(w)
+        out.add("w" + x)
+        if w[0] == x[0]:
+            out.add("l" + x)
+    pairs = set()
     for m in _RUN.finditer(form):
         parts = m.group().split()
-        # the phrase may be the first word of the run itself ("Ask Ivy Vantrupp")
-        for k in (0, 1):
-            if len(parts) - k < 2:
-                break
-            a = m.start() if not k else m.start() + m.group().index(parts[1], len(parts[0]))
-            if parts[k].rstrip(".") not in _TITLE_WORDS and _TAKES_END.search(form, max(0, a - 20), a):
-                own = [p for p in parts[k:] if _plain(p) not in _NO_NAME]
-                if len(own) > 1 and len(own[-1]) > 2:
-                    out.add("s:" + _plain(own[-1]))
-                    out.update("g:" + _plain(p) for p in own[:-1] if len(p) > 2 and not p.endswith("."))
+        own = parts[max((k + 1 for k, p in enumerate(parts) if p.rstrip(".") in _TITLE_WORDS), default=0) :]
+        own = [p for p in own if _plain(p) not in _NO_NAME]
+        full = [p for p in own if not p.endswith(".") and _plain(p) not in _PARTICLES]
+        if len(full) < 2 or len(full[-1]) < 2 or own[-1].endswith("."):
+            continue
+        last = _plain(full[-1])
+        if len(full[-2]) > 2:
+            pairs.add((_plain(full[-2]), last))
+        # the phrase may be the first word of the run itself ("Contact Ivy Vantrupp")
+        for k in (0, 1)[: len(full) - 1]:
+            a = m.start() + m.group().index(full[k]) if k else m.start()
+            if _TAKES_END.search(form, max(0, a - TAKES_REACH), a):
+                out.add("s" + last)
+                out.update("g" + _plain(p) for p in full[k:-1] if len(p) > 2)
                 break
     if not words.isdisjoint(_TITLE_WORDS):
         for m in _SEED_TITLE.finditer(form):
             last = m.group(1).split()[-1]
-            if len(last) > 2 and _plain(last) not in _NO_NAME:
-                out.add("s:" + _plain(last))
-    return out
+            if len(last) > 1 and _plain(last) not in _NO_NAME:
+                out.add("t" + _plain(last))
+    return out, pairs
+
+
+#: Characters that a phrase before a name can take.
+TAKES_REACH = 40
+#: Share of the texts with a word in which it has to stand as a name, and share in which it may stand in lower case (as in
+#: the addresses of mail).
+MOSTLY, SELDOM = 0.3, 0.5
+#: Rounds in which names are learnt from the names beside them.
+ROUNDS = 3
+
+
+def name_roles(docs: DataFrame, text: str = "content") -> DataFrame:
+    """(word, role): ``g`` for given names and ``s`` for surnames, over all texts; repeated rows count as they stand.
 
+    Evidence for a word is the number of texts with a phrase that introduces it, or with a run of capitalised words in which it
+    stands beside a word of the other role. Two texts, or a form of address, are enough where most texts with the word are
+    such. Each round is two joins of the table of pairs with the roles so far.
+    """
+
+    def run(batches):
+        marks: dict[str, int] = {}
+        pairs: dict[tuple[str, str], int] = {}
+
+        def drain():
+            rows = [(w[0], w[1:], None, n) for w, n in marks.items()] + [("p", a, b, n) for (a, b), n in pairs.items()]
+            marks.clear()
+            pairs.clear()
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["mark", "word", "other", "n"])
 
-def name_roles(docs: DataFrame, text: str = "content") -> Counts:
-    """1 for given names and 2 for surnames: words in name phrases of two texts or more, and of 12 % of the texts they occur in."""
-    w, g, s = (F.col(f"n{i}") for i in range(3))
-    counts = word_counts(docs, text, name_evidence, ("w:", "g:", "s:"))
-    return collected(counts.filter((g + s >= 2) & (g + s >= 0.12 * w)).select("key", F.when(g > s, 1).otherwise(2).alias("role")), "role")
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    m, p = name_evidence(t)
+                    for w in m:
+                        marks[w] = marks.get(w, 0) + 1
+                    for w in p:
+                        pairs[w] = pairs.get(w, 0) + 1
+            if len(marks) + len(pairs) > 500_000:
+                yield drain()
+        yield drain()
+
+    rows = docs.select(text).mapInArrow(run, "mark string, word string, other string, n bigint")
+    table = cut(rows.groupBy("mark", "word", "other").agg(F.sum("n").alias("n")))
+    of = lambda m: F.coalesce(F.sum(F.when(F.col("mark") == m, F.col("n"))), F.lit(0))
+    words = table.filter("mark <> 'p'").groupBy("word").agg(*[of(m).alias(m) for m in "wlgst"])
+    words = cut(words.filter((F.col("l") <= SELDOM * F.col("w")) & (F.length("word") > 1)))
+    near = words.select("word", "w")
+    pairs = table.filter("mark = 'p'").select(F.col("word").alias("first"), F.col("other").alias("last"), "n")
+    pairs = cut(pairs.join(near.select(F.col("word").alias("first")), "first", "left_semi").join(near.select(F.col("word").alias("last")), "last", "left_semi"))
+    seed = F.when(F.col("g") > F.col("s") + F.col("t"), "g").otherwise("s")
+    told = (F.col("g") + F.col("s") + F.col("t") >= 2) & (F.col("g") + F.col("s") + F.col("t") >= 0.05 * F.col("w")) | (F.col("t") > 0) & (F.col("t") >= 0.5 * F.col("w"))
+    roles = cut(words.filter(told).select("word", seed.alias("role")))
+    for _ in range(ROUNDS):
+        given, sur = (roles.filter(F.col("role") == r).select(F.col("word").alias(c)) for r, c in (("g", "first"), ("s", "last")))
+        s = pairs.join(given, "first", "left_semi").groupBy(F.col("last").alias("word")).agg(F.sum("n").alias("s2"))
+        g = pairs.join(sur, "last", "left_semi").groupBy(F.col("first").alias("word")).agg(F.sum("n").alias("g2"))
+        both = words.join(s, "word", "left").join(g, "word", "left").select("word", "w", (F.col("g") + F.coalesce("g2", F.lit(0))).alias("g"), (F.col("s") + F.col("t") + F.coalesce("s2", F.lit(0))).alias("s"), "t")
+        enough = F.greatest("g", "s") >= F.greatest(F.lit(2), MOSTLY * F.col("w"))
+        roles = cut(both.filter(enough | (F.col("t") > 0) & (F.col("t") >= 0.5 * F.col("w"))).select("word", F.when(F.col("g") > F.col("s"), "g").otherwise("s").alias("role")))
+    return roles
+
+
+_NEAR = re.compile(r"(?:\.?|,)[ \n]{1,2}")
+
+
+class _Held(dict):
+    """Whether a word may be a name by the filter, kept per worker; emptied when large."""
+
+    def __init__(self, held: Filter):
+        self.held = held
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = len(word) > 1 and self.held.may_hold(signed_key(_plain(word)) & ((1 << 64) - 1))
+        return out
 
 
 class Finder:
-    """Finds personal information in one text at a time, by ``name_roles``."""
+    """Finds personal information in one text at a time: all but names, and the stretches in which names may stand."""
 
-    def __init__(self, known: Counts):
-        self.known = known
-        self.roles: dict[str, str] = {}
+    def __init__(self, held: Filter):
+        self.held = _Held(held)
         self.title = re.compile(rf"\b{_TITLE}[ \n]{{1,2}}$")
 
-    def role(self, word: str) -> str:
-        """g, s or nothing: what the word mostly is."""
-        r = self.roles.get(word)
-        if r is None:
-            if len(self.roles) > 500_000:
-                self.roles.clear()
-            w = _plain(word)
-            r = self.roles[word] = "" if len(w) < 3 else ("", "g", "s")[self.known.get(w)]
-        return r
-
-    def names(self, t: str) -> list[tuple[int, int]]:
-        roles = self.roles
-        if not any([roles[w] if w in roles else self.role(w) for w in _tokens(t).findall(t)]):
-            return []
-        words = [(m.start(), m.end(), m.group()) for m in _tokens(t).finditer(t)]
-        kinds = [self.role(w) for _, _, w in words]
-        hits = [i for i, k in enumerate(kinds) if k]
-        if not hits:
+    def stretches(self, t: str, taken: bytearray) -> list[tuple[int, int, bool]]:
+        """(start, end, after a form of address) of the longest stretches of words that may be names, with initials and
+        particles between them, outside of what is taken."""
+        held = self.held
+        if not any([held[w] for w in _tokens(t).findall(t)]):
             return []
-        # letters beside names: initials and particles
-        for i in hits:
-            for j in (i - 1, i + 1, i - 2):
-                if 0 <= j < len(words) and not kinds[j]:
-                    a, b, w = words[j]
-                    if len(w) == 1 and t[b : b + 1] == "." and w.isalpha() and (w.isupper() or kinds[i]):
-                        kinds[j] = "i" if w.isupper() else ""
-                    elif w.lower() in _PARTICLES and j == i - 1:
-                        kinds[j] = "p"
-        spans, k, n = [], 0, len(words)
-
-        def gap(a: int, b: int) -> str:
-            return t[words[a][1] : words[b][0]]
-
-        def near(a: int) -> bool:
-            return re.fullmatch(r"\.?[ \n]{1,2}", gap(a, a + 1)) is not None and (gap(a, a + 1)[0] != "." or kinds[a] == "i")
-
-        while k < n:
-            if not kinds[k]:
-                k += 1
-                continue
-            e = k
-            while e + 1 < n and kinds[e + 1] and near(e) and e - k < _NAME_TOKENS_MAX:
-                e += 1
-            run = kinds[k : e + 1]
-            titled = self.title.search(t[max(0, words[k][0] - 14) : words[k][0]]) is not None
-            last_s = max((i for i, x in enumerate(run) if x == "s"), default=-1)
-            if len([x for x in run if x != "p"]) >= 2 and ("s" in run or "g" in run[1:]) and run[-1] in "sg":
-                # two names without a sign between them don't occur; the run is one full name
-                spans.append((words[k][0], words[e][1]))
-                k = e + 1
-            elif last_s >= 0 and titled:
-                spans.append((words[k][0], words[e][1]))
-                k = e + 1
-            elif last_s >= 0 and e + 1 < n and kinds[e + 1] in ("g", "i", "s") and re.fullmatch(r",[ \n]{1,2}", gap(e, e + 1)):
-                # surname, given name: only if what follows isn't a full name itself
-                f = e + 1
-                while f + 1 < n and kinds[f + 1] and near(f) and f - e < _NAME_TOKENS_MAX:
-                    f += 1
-                tail = kinds[e + 1 : f + 1]
-                if "s" not in tail:
-                    end = words[f][1] + (kinds[f] == "i" and t[words[f][1] : words[f][1] + 1] == ".")
-                    spans.append((words[k][0], end))
-                    k = f + 1
-                else:
-                    k = e + 1
-            else:
-                k = e + 1
-        return spans
-
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, kind) in characters of ``text``, without overlaps."""
+        out, run = [], []  # run: (start, end, held)
+
+        def close():
+            while run and not run[-1][2] and not (run[-1][1] - run[-1][0] == 1):
+                run.pop()
+            if any(h for _, _, h in run):
+                a, b = run[0][0], run[-1][1]
+                b += run[-1][1] - run[-1][0] == 1 and t[b : b + 1] == "."
+                out.append((a, b, self.title.search(t, max(0, a - 20), a) is not None))
+            run.clear()
+
+        for m in _tokens(t).finditer(t):
+            a, b = m.span()
+            w = m.group()
+            hold = held[w] and not any(taken[a:b])
+            part = hold or len(w) == 1 and w.isupper() and t[b : b + 1] == "." or w.lower() in _PARTICLES
+            if run and not (part and _NEAR.fullmatch(t, run[-1][1], a)):
+                close()
+            if part:
+                run.append((a, b, hold))
+        close()
+        return out
+
+    def spans(self, text: str):
+        """(spans, stretches): (start, end, kind) of all but names in characters of ``text``, without overlaps; and for names
+        (start, end, after a form of address, the stretch, places of its characters in ``text`` or None where they run on)."""
         t, source = deobfuscated(text)
+        u, inner = said_as_signs(t)
         found: list[tuple[int, int, str]] = []
         taken = bytearray(len(t))
 
+        def place(a: int, b: int) -> tuple[int, int]:
+            return (a, b) if inner is None else (inner[a], inner[b - 1] + 1 if b == len(inner) else inner[b])
+
         def take(a: int, b: int, kind: str) -> None:
             if b > a and not any(taken[a:b]):
                 taken[a:b] = b"\1" * (b - a)
                 found.append((a, b, kind))
 
-        if _may_email(t):
-            for m in _EMAIL.finditer(t):
-                take(m.start(), m.end(), "email")
-        if _LONG_NUMBER.search(t) or _MIXED_NUMBER.search(t):
-            for a, b in _labelled_ids(t):
-                take(a, b, "id_number")
-            for m in _ID_ALONE.finditer(t):
-                take(m.start(), m.end(), "id_number")
-            for m in _PHONE.finditer(t):
+        if "@" in u:
+            for m in _EMAIL.finditer(u):
+                take(*place(*m.span()), "email")
+        if _LONG_NUMBER.search(u) or _MIXED_NUMBER.search(u):
+            for a, b in _labelled_ids(u):
+                take(*place(a, b), "id_number")
+            for m in _ID_ALONE.finditer(u):
+                take(*place(*m.span()), "id_number")
+            for m in _PHONE.finditer(u):
                 digits = sum(map(str.isdigit, m.group()))
                 least = 8 if m.group()[0] in "+(" else 9
                 if least <= digits <= 15:
                     a = m.start() + len(m.group()) - len(m.group().lstrip(" \n-./"))
-                    take(a, m.end(), "phone")
+                    take(*place(a, m.end()), "phone")
         for a, b in addresses(t):
             take(a, b, "street_address")
-        for a, b in self.names(t):
-            take(a, b, "person_name")
+        names = [(a, b, titled, t[a:b], None if source is None else source[a:b] + [source[b] if b < len(source) else len(text)]) for a, b, titled in self.stretches(t, taken)]
         if source is not None:
             end = len(text)
             found = [(source[a], source[b] if b < len(source) else end, k) for a, b, k in found]
-        return sorted(found)
+        return found, names
+
+
+def names(t: str, roles: dict[str, str], titled: bool) -> list[tuple[int, int]]:
+    """Spans of names in a stretch of words, by the roles of its words (lower case); ``titled``: a form of address precedes."""
+    words = [(m.start(), m.end(), m.group()) for m in _tokens(t).finditer(t)]
+    kinds = [roles.get(_plain(w), "") for _, _, w in words]
+    hits = [i for i, k in enumerate(kinds) if k]
+    # letters beside names: initials and particles
+    for i in hits:
+        for j in (i - 1, i + 1, i - 2):
+            if 0 <= j < len(words) and not kinds[j]:
+                _, b, w = words[j]
+                if len(w) == 1 and t[b : b + 1] == "." and w.isupper():
+                    kinds[j] = "i"
+                elif w.lower() in _PARTICLES and j == i - 1:
+                    kinds[j] = "p"
+    spans, k, n = [], 0, len(words)
+
+    def gap(a: int, b: int) -> str:
+        return t[words[a][1] : words[b][0]]
+
+    def near(a: int) -> bool:
+        return re.fullmatch(r"\.?[ \n]{1,2}", gap(a, a + 1)) is not None and (gap(a, a + 1)[0] != "." or kinds[a] == "i")
+
+    while k < n:
+        if not kinds[k]:
+            k += 1
+            continue
+        e = k
+        while e + 1 < n and kinds[e + 1] and near(e):
+            e += 1
+        run = kinds[k : e + 1]
+        last_s = max((i for i, x in enumerate(run) if x == "s"), default=-1)
+        if len([x for x in run if x != "p"]) >= 2 and ("s" in run or "g" in run[1:]) and run[-1] in "sg":
+            # two names without a sign between them don't occur; the run is one full name
+            spans.append((words[k][0], words[e][1]))
+            k = e + 1
+        elif last_s >= 0 and titled and k == 0:
+            spans.append((words[k][0], words[e][1]))
+            k = e + 1
+        elif last_s >= 0 and e + 1 < n and kinds[e + 1] in ("g", "i", "s") and re.fullmatch(r",[ \n]{1,2}", gap(e, e + 1)):
+            # surname, given name: only if what follows isn't a full name itself
+            f = e + 1
+            while f + 1 < n and kinds[f + 1] and near(f):
+                f += 1
+            if "s" not in kinds[e + 1 : f + 1]:
+                spans.append((words[k][0], words[f][1] + (kinds[f] == "i" and t[words[f][1] : words[f][1] + 1] == ".")))
+                k = f + 1
+            else:
+                k = e + 1
+        else:
+            k = e + 1
+    return spans
+
+
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
+
 
+def spans_table(docs: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
+    """(key, digest, start, end, kind): every piece of personal information of every text, in code points.
 
-def _apply(docs: DataFrame, key: str, text: str, schema: list[tuple[str, pa.DataType, str]], rows_of) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(name_roles(docs, text))  # of the names only
+    ``digest`` tells different texts of a key apart; repeated rows count once. The words of stretches in which a name may
+    stand are joined with the roles; a stretch then is decided by its own words.
+    """
+    roles = name_roles(docs, text)
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(roles.select("word").mapInArrow(_keys, "key long")))  # of fixed size
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
-        finder = Finder(known.value)
+        finder = Finder(held.value)
+        for b in batches:
+            out = []
+            for i, d, t in zip(*(c.to_pylist() for c in b.columns)):
+                found, stretches = finder.spans(t)
+                out += [(i, d, a, e, k, None, None, None) for a, e, k in found]
+                out += [(i, d, a, e, None, s, titled, places) for a, e, titled, s, places in stretches]
+            cols = list(zip(*out)) if out else [[]] * 8
+            types = [b.schema.field(0).type, pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], names=["_id", "digest", "start", "end", "kind", "stretch", "titled", "places"])
+
+    rows = docs.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(key, F.unhex(F.md5(text)).alias("_d"), text)
+    schema = f"_id {kind}, digest binary, start bigint, end bigint, kind string, stretch string, titled boolean, places array<bigint>"
+    both = cut(rows.mapInArrow(run, schema))
+    asked = both.filter("stretch is not null").select("_id", "digest", "start", "stretch", "titled", "places").distinct()
+
+    def words_of(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(len(schema) + 1)]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is None:
-                    continue
-                for row in rows_of(finder, t):
-                    out[0].append(i)
-                    for c, v in zip(out[1:], row):
-                        c.append(v)
-            arrays = [pa.array(out[0], b.schema.field(0).type)] + [pa.array(c, t) for c, (_, t, _) in zip(out[1:], schema)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, *(n for n, _, _ in schema)])
+            words = [sorted({_plain(w) for w in _tokens(x).findall(x)}) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["stretch", "words"])
 
-    return docs.select(key, text).mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{n} {s}" for n, _, s in schema)]))
+    # each different stretch is asked for once
+    forms = asked.select("stretch").distinct().mapInArrow(words_of, "stretch string, words array<string>").select("stretch", F.explode("words").alias("word"))
+    told = forms.join(roles, "word").groupBy("stretch").agg(F.collect_list(F.struct("word", "role")).alias("roles"))
+
+    def decide(batches):
+        for b in batches:
+            out = []
+            for i, d, start, s, titled, places, rs in zip(*(c.to_pylist() for c in b.columns)):
+                for x, y in names(s, {r["word"]: r["role"] for r in rs}, titled):
+                    out.append((i, d, start + x if places is None else places[x], start + y if places is None else places[y], "person_name"))
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [b.schema.field(0).type, pa.binary(), pa.int64(), pa.int64(), pa.string()])], names=["_id", "digest", "start", "end", "kind"])
+
+    people = asked.join(told, "stretch").select("_id", "digest", "start", "stretch", "titled", "places", "roles").mapInArrow(decide, f"_id {kind}, digest binary, start bigint, end bigint, kind string")
+    return both.filter("stretch is null").select("_id", "digest", "start", "end", "kind").unionByName(people).distinct().withColumnRenamed("_id", key)
+
+
+def _keys(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([signed_key(w) for w in b.column(0).to_pylist()], pa.int64())], names=["key"])
 
 
 def found(docs: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     """(key, kind, start_pos): every piece of personal information, by code points before it.
 
-    Null and empty texts have none; repeated rows count once. Words that begin at the same place count by their kind.
+    Null and empty texts have none; repeated rows count once. Pieces that begin at the same place count by their kind.
     """
-    schema = [("kind", pa.string(), "string"), ("start_pos", pa.int64(), "long")]
-    return _apply(docs, key, text, schema, lambda f, t: [(k, a) for a, _, k in f.spans(t)] if t else []).distinct()
+    return spans_table(docs, key, text).select(key, "kind", F.col("start").alias("start_pos")).distinct()
 
 
 def redacted(docs: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     """(key, redacted): the text with ``[KIND]`` for every piece; the rest is unchanged. Null stays null."""
+    kind = dict(docs.dtypes)[key]
+    pieces = spans_table(docs, key, text).groupBy(F.col(key).alias("_of"), "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    both = rows.join(pieces, (F.col("_id") == F.col("_of")) & (F.unhex(F.md5("_text")) == F.col("digest")), "left").select("_id", "_text", "_spans")
 
-    def rows_of(f, t):
-        if not t:
-            return [(t,)]
-        out, at = [], 0
-        for a, b, k in f.spans(t):
-            out += [t[at:a], f"[{k.upper()}]"]
-            at = b
-        return [("".join([*out, t[at:]]),)]
-
-    return _apply(docs, key, text, [("redacted", pa.string(), "string")], rows_of)
+    def run(batches):
+        for b in batches:
+            out = []
+            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                at, parts = 0, []
+                for x in spans or ():
+                    parts += [t[at : x["start"]], f"[{x['kind'].upper()}]"]
+                    at = x["end"]
+                out.append(None if t is None else "".join([*parts, t[at:]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "redacted"])
+
+    return both.mapInArrow(run, f"`{key}` {kind}, redacted string")

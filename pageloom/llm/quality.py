@@ -2,16 +2,20 @@
 
 Every content gets a row of statistics (``STATS``). Per language, each statistic is kept in a mergeable quantile sketch: a
 histogram over a fixed grid of ``GRID`` cells, exact to the width of a cell, whose counts simply add up over partitions.
-Values become robust z-scores against the median and the quartile distance of the language; contents in the tails are
-flagged, and the kind follows from which statistics are out of line.
+Values become percentiles and robust z-scores against the median and the quartile distance of the language; contents in the
+tails are flagged, and the kind follows from which statistics lie in a tail and on which side. ``Scale`` is the one
+definition of prose: the other operators of this package that ask for prose use it with the sketches of the same texts.
+
+To every sketch ``PRIOR_WEIGHT`` contents of plain prose (``PRIOR``) are added, and as many of all languages together, so that
+a language of a few contents is judged by the others and an almost empty corpus by the prior, without a switch at any size.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,16 @@ STATS = {
 }
 GRID = 512
 NAMES = list(STATS)
+#: Median and spread of each statistic over plain prose, and as how many contents they count.
+PRIOR = {
+    "n_words": (110, 60), "mean_word_length": (4.7, 0.3), "symbol_ratio": (0.0, 0.002), "digit_ratio": (0.025, 0.015), "line_end_punct": (0.65, 0.4), "common_words": (0.35, 0.06),
+    "words_per_line": (22, 12), "cell_lines": (0.0, 0.002), "odd_words": (0.025, 0.025), "marked_lines": (0.0, 0.002), "title_lines": (0.7, 0.35), "alpha_ratio": (0.945, 0.02),
+}
+PRIOR_WEIGHT = 20
+#: Robust z-score beyond which a value lies in a tail.
+TAIL = 4.0
+#: Fewest lines of a list, unless the whole content has fewer words than a sentence.
+LIST_LINES, FEW_WORDS = 4, 5
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœаеёиоуыэюяАЕЁИОУЫЭЮЯ"
@@ -36,9 +50,14 @@ _MARK = re.compile(r"^\s*(?:[•·▪◦*–—-]\s|\d+\s*[x×]\s|\(?\d{1,3}[.)]
 _BORDERS = (re.compile(r"\t"), re.compile(r"\|"), re.compile(r";"), re.compile(r"(?<=\S) {2,}(?=\S)"), re.compile(r",(?! )"))
 _MAY_BORDER = re.compile(r"[\t|;]|\S  +\S|,(?! )")
 _END = tuple(".!?:…\"»”)")
-_ODD_SIGN = re.compile(r"[^\w\s.,;:!?'\"()\-–—’“”„«»€$£%/&…•]|_")
-_DIGIT = re.compile(r"\d")
-_SPACE = re.compile(r"\s")
+#: Signs that prose hardly has, and lines that only draw.
+_ODD_ASCII = b"#*+<=>@[\\]^_`{|}~"
+_ODD_WIDE = re.compile(r"[^\x00-\x7f\w\s–—’“”„«»€£…•]")
+_RULER = re.compile(r"^[\s\-+=|_*~#:]{3,}$")
+_TICK = re.compile(r"^(?:\[[ xX]?\]|\*) ")
+_LEADER = re.compile(r"\.{4,}")
+#: Codes of goods, rooms and the like.
+_CODE = re.compile(r"\b[A-Z]{1,4}-?\d[\d-]*\b")
 
 
 def _odd(word: str) -> bool:
@@ -55,7 +74,8 @@ def _odd(word: str) -> bool:
 
 
 class _Words(dict):
-    """What is known of a word, kept per worker: (languages as bits, odd). Emptied when large."""
+    """What is known of a word, kept per worker: the languages it is frequent in as bits, 0 for none, -1 for an odd one.
+    Emptied when large."""
 
     def __init__(self, common: dict[str, frozenset]):
         self.codes = list(common)
@@ -65,52 +85,63 @@ class _Words(dict):
                 if len(w) > 1:
                     self.bits[w] = self.bits.get(w, 0) | 1 << k
 
-    def __missing__(self, word: str) -> tuple[int, bool]:
+    def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        bits = self.bits.get(word.lower(), 0)
-        info = self[word] = (bits, not bits and _odd(word))
+        info = self[word] = self.bits.get(word.lower(), 0) or (-1 if _odd(word) else 0)
         return info
 
 
-def _row(line: str) -> bool:
-    """True for a line of at least three cells with few words each."""
-    n = max(len(p.findall(line)) for p in _BORDERS)
-    return n >= 2 and line.count(" ") - line.count("  ") * 2 <= 3 * (n + 1) + 1
+def _cells(lines: list[str]) -> float:
+    """Share of the lines that have as many cells as most, three at least, with few words each."""
+    best = 0
+    for p in _BORDERS:
+        counts = Counter([n for x in lines if (n := len(p.findall(x))) >= 2 and x.count(" ") - x.count("  ") * 2 <= 3 * (n + 1) + 1])
+        if counts:
+            best = max(best, max(counts.values()))
+    return best / max(1, len(lines))
 
 
-def statistics(text: str, known: _Words) -> tuple[str, list[float]]:
-    """Language by common words (``und`` without any) and the statistics, in the order of ``STATS``."""
-    t = readable_form(text)
+def statistics(text: str, known: _Words, form: str | None = None) -> tuple[str, list[float]]:
+    """Language by common words (``und`` without any) and the statistics, in the order of ``STATS``. ``form``: the readable
+    form of the text, where the caller has it."""
+    t = readable_form(text) if form is None else form
     # readable_form maps tabs to spaces; columns are told from the text as it is
     lines = [x for x in [y.strip(" \f\r") for y in text.split("\n")] if x and not x.isspace()]
     words = (_WORD_ASCII if t.isascii() else _WORD).findall(t)
     n = len(words)
-    info = [known[w] for w in words]
-    votes: dict[int, int] = {}
-    common = odd = 0
-    for bits, strange in info:
-        if bits:
-            common += 1
-            votes[bits] = votes.get(bits, 0) + 1
-        elif strange:
-            odd += 1
+    votes = Counter([known[w] for w in words])
+    plain, odd = votes.pop(0, 0), votes.pop(-1, 0)
+    common = n - plain - odd
+    if odd * 8 > n:
+        odd = max(0, odd - len(_CODE.findall(t)))  # codes are no words, nor failed ones
     lang, best = "und", 0
     if votes:
         for k, code in enumerate(known.codes):
             have = sum([v for b, v in votes.items() if b >> k & 1])
             if have > best:
                 lang, best = code, have
-    solid = len(t) - len(_SPACE.findall(t))
+    raw = t.encode("utf-8", "replace")
+    size = len(raw)
+    solid = len(t) - (size - len(raw.translate(None, b" \n\t\r\f\v")))
+    digits = size - len(raw.translate(None, b"0123456789"))
+    signs = size - len(raw.translate(None, _ODD_ASCII)) + (0 if size == len(t) else len(_ODD_WIDE.findall(t)))
+    if "...." in t:
+        solid -= sum(map(len, _LEADER.findall(t)))  # dots that lead to a price or page
     letters = sum(map(len, words))
-    m = max(1, len(lines))
     ends = sum([x.endswith(_END) for x in lines])
-    cells = sum(map(_row, lines)) if _MAY_BORDER.search(text) else 0
+    cells, marked = 0.0, 0
+    if signs or _MAY_BORDER.search(text):
+        body = [x for x in lines if not _RULER.match(x)]
+        signs -= sum([len(x) - x.count(" ") for x in lines if _RULER.match(x)])
+        cells = _cells(body)
+        signs -= sum([len(_TICK.match(x).group()) - 1 if _TICK.match(x) else 0 for x in body])
+    m = max(1, len(lines))
     marked = sum([_MARK.match(x) is not None for x in lines])
     title = sum([x[0].isupper() for x in lines])
     return lang, [
-        float(n), letters / max(1, n), len(_ODD_SIGN.findall(t)) / max(1, solid), len(_DIGIT.findall(t)) / max(1, solid), ends / m,
-        common / max(1, n), n / m, cells / m, odd / max(1, n), marked / m, title / m, letters / max(1, solid),
+        float(n), letters / max(1, n), max(0, signs) / max(1, solid), digits / max(1, solid), ends / m,
+        common / max(1, n), n / m, cells, odd / max(1, n), marked / m, title / m, letters / max(1, solid),
     ]
 
 
@@ -146,14 +177,49 @@ def with_statistics(docs: DataFrame, common_words: DataFrame, key: str = "file_i
     return rows.dropDuplicates([key])
 
 
+_TOPS = np.array(list(STATS.values()))
+
+
+def _matrix(column) -> np.ndarray:
+    """(rows, statistics) of an Arrow column of statistics."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(STATS))
+
+
+def _cell(values: np.ndarray) -> np.ndarray:
+    return np.minimum(GRID - 1, np.maximum(0, values / _TOPS * GRID)).astype(np.int64)
+
+
 def sketches(stats: DataFrame) -> dict[str, np.ndarray]:
-    """Per language, a (statistics, GRID) array of counts. At most languages x statistics x GRID rows reach the driver."""
-    tops = F.array(*[F.lit(v) for v in STATS.values()])
-    cell = F.transform(F.arrays_zip("stats", tops.alias("top")), lambda x: F.least(F.lit(GRID - 1), F.floor(x["stats"] / x["top"] * GRID)).cast("int"))
-    rows = stats.select("lang", F.posexplode(cell).alias("stat", "cell")).groupBy("lang", "stat", "cell").agg(F.count("*").alias("n")).collect()
+    """Per language, a (statistics, GRID) array of counts, from a table with columns lang and stats.
+
+    Each task counts first; at most languages x statistics x GRID rows a task are shuffled and that many reach the driver.
+    """
+
+    def run(batches):
+        own: dict[str, np.ndarray] = {}
+        for b in batches:
+            langs, cells = np.array(b.column(0).to_pylist(), dtype=object), _cell(_matrix(b.column(1)))
+            for lang in set(langs):
+                at = cells[langs == lang] + np.arange(len(STATS)) * GRID
+                own[lang] = own.get(lang, 0) + np.bincount(at.ravel(), minlength=len(STATS) * GRID)
+        for lang, counts in own.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "at", "n"])
+
+    rows = stats.select("lang", "stats").mapInArrow(run, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
     out: dict[str, np.ndarray] = {}
     for r in rows:
-        out.setdefault(r["lang"], np.zeros((len(STATS), GRID)))[r["stat"], r["cell"]] += r["n"]
+        out.setdefault(r["lang"], np.zeros(len(STATS) * GRID))[r["at"]] += r["n"]
+    return {k: v.reshape(len(STATS), GRID) for k, v in out.items()}
+
+
+def _prior() -> np.ndarray:
+    """A sketch of ``PRIOR_WEIGHT`` contents of plain prose."""
+    steps = np.linspace(-2.5, 2.5, 51)
+    share = np.exp(-steps * steps / 2)
+    out = np.zeros((len(STATS), GRID))
+    for k, (mid, dev) in enumerate(PRIOR.values()):
+        np.add.at(out[k], _cell(np.clip(np.repeat((mid + steps * dev)[:, None], len(STATS), 1), 0, None))[:, k], share / share.sum() * PRIOR_WEIGHT)
     return out
 
 
@@ -161,72 +227,86 @@ def quantile(sketch: np.ndarray, q: float) -> np.ndarray:
     """The q-quantile of each statistic of a sketch, as the middle of a cell."""
     c = np.cumsum(sketch, axis=1)
     at = (c < q * c[:, -1:]).sum(axis=1)
-    return (np.minimum(at, GRID - 1) + 0.5) / GRID * np.array(list(STATS.values()))
-
-
-def scales(sk: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Median and robust spread (quartile distance / 1.349, at least a grid cell) of each statistic, by language.
-
-    Contents without a language, and languages with few contents, are held against all languages together.
-    """
-    if not sk:
-        return {}
-    pooled = sum(v for k, v in sk.items() if k != "und") if set(sk) - {"und"} else sk["und"]
-    least = np.array(list(STATS.values())) / GRID * 2
-    out = {}
-    for k, v in sk.items():
-        s = pooled if k == "und" or v[0].sum() < 50 else v
-        out[k] = (quantile(s, 0.5), np.maximum((quantile(s, 0.75) - quantile(s, 0.25)) / 1.349, least))
-    out["*"] = (quantile(pooled, 0.5), np.maximum((quantile(pooled, 0.75) - quantile(pooled, 0.25)) / 1.349, least))
-    return out
+    return (np.minimum(at, GRID - 1) + 0.5) / GRID * _TOPS
+
+
+class Scale:
+    """Percentiles, robust z-scores and kinds of contents against the sketches of their languages."""
+
+    def __init__(self, sk: dict[str, np.ndarray]):
+        spoken = [v for k, v in sk.items() if k != "und"]
+        pooled = _prior() + (sum(spoken) if spoken else 0)
+        share = pooled / pooled[0].sum() * PRIOR_WEIGHT
+        least = np.maximum(_TOPS / GRID * 2, np.array([dev for _, dev in PRIOR.values()]) / 2)
+        self.below, self.middle, self.dev = {}, {}, {}
+        # contents without a language are held against all languages together
+        for k, v in [*((k, share + v) for k, v in sk.items() if k != "und"), ("*", pooled)]:
+            self.below[k] = (np.cumsum(v, axis=1) - v / 2) / v.sum(axis=1, keepdims=True)
+            self.middle[k] = quantile(v, 0.5)
+            self.dev[k] = np.maximum((quantile(v, 0.75) - quantile(v, 0.25)) / 1.349, least)
+
+    def _rows(self, table: dict, langs) -> np.ndarray:
+        return np.stack([table.get(x, table["*"]) for x in langs]) if len(langs) else np.zeros((0, len(STATS)))
+
+    def z(self, langs, stats: np.ndarray) -> np.ndarray:
+        return (stats - self._rows(self.middle, langs)) / self._rows(self.dev, langs)
+
+    def percentiles(self, langs, stats: np.ndarray) -> np.ndarray:
+        """Share of the language's contents below each value, by the grid."""
+        cells, at = _cell(stats), np.arange(len(STATS))
+        return np.stack([self.below.get(x, self.below["*"])[at, c] for x, c in zip(langs, cells)]) if len(langs) else np.zeros((0, len(STATS)))
+
+    def kinds(self, langs, stats: np.ndarray) -> np.ndarray:
+        """prose, list, table or junk of each content.
+
+        Frequent words in the lower tail say that a content isn't running text. Then rows of cells in the upper tail make a
+        table; odd words or signs far in the upper tail, or letters far in the lower one, make junk; lines that are short for
+        the language and end without a sign make a list, also where frequent words are only near the tail if the lines are
+        marked or begin with capitals.
+        """
+        z = dict(zip(NAMES, self.z(langs, stats).T))
+        pct = dict(zip(NAMES, self.percentiles(langs, stats).T))
+        s = dict(zip(NAMES, stats.T))
+        short = (pct["words_per_line"] < 0.35) & (pct["line_end_punct"] < 0.2)
+        lines = (s["n_words"] >= LIST_LINES * s["words_per_line"]) | (s["n_words"] < FEW_WORDS)
+        rare, few, fewer = (z["common_words"] < -x for x in (1.5 * TAIL, 3, 2))
+        table = (z["cell_lines"] > 25 * TAIL) & (z["symbol_ratio"] < 20 * TAIL)
+        unread = (z["odd_words"] > 3 * TAIL) | (z["symbol_ratio"] > 8 * TAIL) | (z["alpha_ratio"] < -9 * TAIL)
+        marked = (z["marked_lines"] > 25 * TAIL) | (z["title_lines"] > 0)
+        out = np.full(len(stats), "prose", dtype=object)
+        out[short & lines & (rare | (fewer & marked))] = "list"
+        out[fewer & unread] = "junk"
+        out[few & table] = "table"
+        return out
+
+
+def with_kinds(stats: DataFrame, scale: Scale, extra: bool = False) -> DataFrame:
+    """``stats`` with column kind, and with ``extra`` also z and percentiles (array<double>)."""
+    more = [("kind", pa.string(), "string")] + [(n, pa.list_(pa.float64()), "array<double>") for n in ("z", "percentiles") if extra]
+    fields = ", ".join([*(f"`{n}` {k}" for n, k in stats.dtypes), *(f"{n} {k}" for n, _, k in more)])
+    names = [*stats.columns, *(n for n, _, _ in more)]
 
+    def run(batches):
+        for b in batches:
+            langs, s = b.column(b.schema.get_field_index("lang")).to_pylist(), _matrix(b.column(b.schema.get_field_index("stats")))
+            add = [pa.array(scale.kinds(langs, s), pa.string())]
+            if extra:
+                add += [pa.array(list(x), pa.list_(pa.float64())) for x in (scale.z(langs, s), scale.percentiles(langs, s))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *add], names=names)
 
-def kind_of(s: np.ndarray, z: np.ndarray) -> str:
-    """prose, list, table or junk from statistics and robust z-scores."""
-    v = dict(zip(NAMES, s))
-    zz = dict(zip(NAMES, z))
-    few = v["common_words"] < 0.12 or zz["common_words"] < -3 and v["common_words"] < 0.2
-    # unreadable: letters that make no words, odd signs, or hardly any letters at all
-    unread = v["odd_words"] >= 0.34 or (zz["symbol_ratio"] > 8 and v["symbol_ratio"] > 0.1)
-    table = v["cell_lines"] >= 0.5
-    if few and table and v["odd_words"] < 0.5 and v["symbol_ratio"] < 0.25:
-        return "table"
-    if few and (unread or (not table and v["alpha_ratio"] < 0.4)):
-        return "junk"
-    short = v["words_per_line"] < 7 and v["line_end_punct"] < 0.25
-    if short and (few or v["common_words"] < 0.27 and (v["title_lines"] > 0.6 or v["marked_lines"] > 0.4)):
-        return "list"
-    if few and v["line_end_punct"] < 0.15 and v["words_per_line"] < 12 and zz["line_end_punct"] < 0:
-        return "list"
-    return "prose"
-
-
-def kinds(stats: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, lang, kind, z array<float>) from a materialised table of statistics."""
-    scale = scales(sketches(stats))
-
-    def run(frames):
-        for f in frames:
-            zs, ks = [], []
-            for lang, s in zip(f["lang"], f["stats"]):
-                med, dev = scale.get(lang) or scale["*"]
-                z = (np.asarray(s, dtype=float) - med) / dev
-                zs.append(z)
-                ks.append(kind_of(s, z))
-            yield pd.DataFrame({key: f[key], "lang": f["lang"], "kind": ks, "z": zs})
-
-    return stats.mapInPandas(run, f"{key} {dict(stats.dtypes)[key]}, lang string, kind string, z array<double>")
+    return stats.mapInArrow(run, fields)
 
 
 def not_prose(docs: DataFrame, common_words: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     """(key, kind) of every content that is a list, a table or junk. Null, empty and blank contents have no row."""
     stats = cut(with_statistics(docs, common_words, key, text))
-    return kinds(stats, key).filter("kind <> 'prose'").select(key, "kind")
+    return with_kinds(stats, Scale(sketches(stats))).filter("kind <> 'prose'").select(key, "kind")
 
 
 def statistics_table(docs: DataFrame, common_words: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
-    """One row per content: language, kind, every statistic, and the flag of a tail (any |z| above 4)."""
+    """One row per content: language, kind, every statistic with its z-score and percentile in the language, and the flag of
+    a tail (any |z| above ``TAIL``)."""
     stats = cut(with_statistics(docs, common_words, key, text))
-    k = kinds(stats, key).select(key, "kind", F.exists("z", lambda x: F.abs(x) > 4).alias("tail"))
-    cols = [F.col("stats")[i].cast("double").alias(n) for i, n in enumerate(NAMES)]
-    return stats.select(key, "lang", *cols).join(k, key)
+    k = with_kinds(stats, Scale(sketches(stats)), extra=True)
+    cols = [F.col(c)[i].cast("double").alias(p + n) for c, p in (("stats", ""), ("z", "z_"), ("percentiles", "pct_")) for i, n in enumerate(NAMES)]
+    return k.select(key, "lang", *cols, "kind", F.exists("z", lambda x: F.abs(x) > TAIL).alias("tail"))

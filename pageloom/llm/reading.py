@@ -1,7 +1,7 @@
 """Reading level of each document: regularised ordinal regression over features of its words and sentences.
 
-Features: lexical diversity in windows, word rarity against the whole corpus (a count sketch of fixed size), connectives,
-a proxy of clause depth, and lengths of words and sentences. A proportional-odds model with ridge penalty is fitted to the
+Features: lexical diversity in windows, word rarity against the whole corpus (exact counts of the words that at least one text
+in a thousand has; all others are equally rare), connectives, a proxy of clause depth, and lengths of words and sentences. A proportional-odds model with ridge penalty is fitted to the
 documents graded by hand; annotators who err or disagree enter as they graded, each with an equal share of the document.
 Documents that aren't running English text have no level.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..plans.runtime import cut
 from .normalize import readable_form
-from .quality import _Words, kind_of, language_words, statistics
-from .sketch import count_words, estimate
+from .quality import Scale, _Words, language_words, sketches, statistics, with_kinds
+from .sketch import Counts, frequent, signed_key, word_counts
 
 LEVELS = ("easy", "middle", "hard")
 #: Graded documents the model is fitted to, at most; which, is decided by a hash of the key.
@@ -27,6 +27,8 @@ GRADED = 4000
 FEATURES = ("diversity", "rarity", "rare_share", "connectives", "clause_depth", "word_length", "long_words", "sentence_length", "syllables", "nominal")
 #: Fewest words of a document with a level.
 LEAST_WORDS = 12
+#: Share of the texts from which on a word's rarity is told apart; it bounds the table of words at any size of the corpus.
+RAREST = 0.001
 
 _WORD = re.compile(r"[A-Za-z]+(?:['’-][A-Za-z]+)*")
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)")
@@ -41,14 +43,15 @@ _NOMINAL = re.compile(r"(?:tion|sion|ment|ness|ity|ance|ence|ism|isation|ization
 
 
 def _tokens(text: str) -> set[str]:
-    return {w.lower() for w in _WORD.findall(text)}
+    """The words of a text, and the empty word, whose count is that of the texts."""
+    return {w.lower() for w in _WORD.findall(text)} | {""}
 
 
 class Features:
-    """Feature row of one text, by a sketch of the number of documents a word is in."""
+    """Feature row of one text, by the number of documents a frequent word is in."""
 
-    def __init__(self, sketch: np.ndarray, total: int):
-        self.sketch, self.total = sketch, max(1, total)
+    def __init__(self, counts: Counts, total: int):
+        self.counts, self.total = counts, max(1, total)
         self.kept: dict[str, tuple] = {}
 
     def word(self, w: str) -> tuple:
@@ -57,7 +60,7 @@ class Features:
             if len(self.kept) > 500_000:
                 self.kept.clear()
             low = w.lower()
-            r = -np.log10((estimate(self.sketch, low) + 0.5) / self.total)
+            r = min(-np.log10(RAREST), -np.log10((self.counts.get(low) + 0.5) / self.total))
             x = self.kept[w] = (low, r, low in CONNECTIVES, low in _DEEP, len(w), len(_VOWELS.findall(low)), _NOMINAL.search(low) is not None and len(low) > 6)
         return x
 
@@ -77,16 +80,15 @@ class Features:
         ]
 
 
-def running_english(text: str, known: _Words) -> bool:
-    """True for prose whose frequent words are English."""
-    lang, s = statistics(text, known)
-    if lang != "eng" or s[0] < LEAST_WORDS or kind_of(np.array(s), np.zeros(len(s))) != "prose":
+def english(text: str, lang: str, n: float, known: _Words) -> bool:
+    """True for a text whose frequent words are English, by its language and number of words; not yet whether it is prose."""
+    if lang != "eng" or n < LEAST_WORDS:
         return False
     at = known.codes.index("eng")
-    bits = [known[w][0] for w in _WORD.findall(text)]
-    if len(bits) < 0.85 * s[0] or not text.isascii() and sum([c > "\u024f" and c.isalpha() for c in text]) > 0.05 * len(text):
+    bits = [known[w] for w in _WORD.findall(text)]
+    if len(bits) < 0.85 * n or not text.isascii() and sum([c > "\u024f" and c.isalpha() for c in text]) > 0.05 * len(text):
         return False  # other scripts between
-    own, other = sum([b >> at & 1 for b in bits]), sum([b != 0 and not b >> at & 1 for b in bits])
+    own, other = sum([b > 0 and b >> at & 1 for b in bits]), sum([b > 0 and not b >> at & 1 for b in bits])
     # code, logs and screens have signs where prose has words
     signs = sum(text.count(c) for c in "{}[]|=$#<>_\\") / max(1, len(text))
     return own >= 0.15 * len(bits) and other <= 0.25 * own and signs < 0.01
@@ -125,26 +127,31 @@ class Ordinal:
 
 
 def feature_table(docs: DataFrame, common_words: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, x array<double>) of every document of running English; materialised. Null and empty texts have no row."""
+    """(key, x array<double>) of every document of running English. Null and empty texts have no row.
+
+    Running means prose by the quality statistics, with the sketches of these very documents.
+    """
     common = language_words(common_words)
-    sketch = count_words(docs, text, _tokens)
-    total = docs.filter(F.col(text).isNotNull()).count()
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
+    words = cut(word_counts(docs, text, _tokens))
+    total = (words.filter(F.col("key") == signed_key("")).select("n0").first() or [0])[0]
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(words, "n0", total, RAREST))
 
     def run(batches):
         known, f = _Words(common), Features(shared.value, total)
         for b in batches:
-            ids, xs = [], []
+            out: list[tuple] = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is None or not t:
+                if i is None or not t or t.isspace():
                     continue
                 form = readable_form(t)
-                if running_english(form, known) and _WORD.search(form):
-                    ids.append(i)
-                    xs.append(f.of(form))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(xs, pa.list_(pa.float64()))], names=[key, "x"])
-
-    return cut(docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, x array<double>").dropDuplicates([key]))
+                lang, s = statistics(t, known, form)
+                out.append((i, lang, s, f.of(form) if english(form, lang, s[0], known) else None))
+            cols = list(zip(*out)) if out else [[]] * 4
+            types = [b.schema.field(0).type, pa.string(), pa.list_(pa.float32()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], names=[key, "lang", "stats", "x"])
+
+    rows = cut(docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, lang string, stats array<float>, x array<double>").dropDuplicates([key]))
+    return with_kinds(rows, Scale(sketches(rows))).filter("kind = 'prose' and x is not null").select(key, "x")
 
 
 def levels(docs: DataFrame, graded: DataFrame, common_words: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -27,13 +27,24 @@ def p2_normalized(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalized(table(spark, d, "ocr_text").distinct()).select("file_id", "normal")
 
 
-def p3_segments(spark: SparkSession, d: str) -> DataFrame:
-    t = {n: table(spark, d, n) for n in ("ocr_text", "files", "lang_packs", "common_words", "documents")}
-    return language.segments(t["ocr_text"], t["files"], t["lang_packs"], t["common_words"], t["documents"])
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.look_alike_classes(table(spark, d, "ocr_text"))
+
+
+def _p3(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, n) for n in ("ocr_text", "files", "lang_packs", "common_words", "documents")]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_segments(spark, d).select("file_id", "seg_no", "lang")
+    return language.segments(*_p3(spark, d), wrong_only=True).select("file_id", "seg_no", "lang")
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(*_p3(spark, d))
+
+
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(*_p3(spark, d)).drop("segments")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +52,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(table(spark, d, "ocr_text"))
+    return neardup.linked(table(spark, d, "ocr_text"))[0]
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.linked(table(spark, d, "ocr_text"))[1]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +101,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_statistics": p7_statistics, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_levels": p10_levels}
+    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p2_classes": p2_classes, "p3_found": p3_found, "p3_segments": p3_segments, "p3_languages": p3_languages, "p4_found": p4_found, "p4_groups": p4_groups, "p4_links": p4_links, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_statistics": p7_statistics, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_levels": p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,14 +5,16 @@ Page numbers are lines with nothing else. A line that ends in a hyphen is joined
 corpus vocabulary: the two parts make a word that the corpus writes together, unless it writes them with a hyphen. A word is
 misread if putting back letters of similar shape turns a string that the corpus hardly knows into a frequent word.
 
-The vocabulary is exact: the number of texts of each word by its 64-bit key, 12 bytes a distinct word. Texts are then handled
-one by one where they lie; nothing but the vocabulary is shuffled.
+The vocabulary is a table, however large: the number of texts of each word, exact. Misread words are told by joining it with
+itself on the strokes of a word (``_strokes``: all readings of a word have the same), so that no reading has to be guessed, and
+line ends by joining their parts with it. Texts are read where they lie. A first pass gives the words and all that a text
+tells alone; a second pass gives the places of words that may be misread, by a filter of fixed size, and a join says which are.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import product
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .normalize import readable_form
-from .quality import _Words, kind_of, language_words, statistics
-from .sketch import Counts, collected, word_counts
+from ..plans.runtime import cut
+from .quality import Scale, _matrix, _Words, language_words, sketches, statistics
+from .sketch import Filter, filter_of, signed_key
 
-_WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
-_WORD_ASCII = re.compile(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
+_COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)+")
 _RUN = re.compile(r"[^\W_]+")
 _RUN_ASCII = re.compile(r"[A-Za-z0-9]+")
 _HYPHENS = "-‐¬­"
 #: Letters and digits that stand for others of similar shape, as printed to what was meant (fixed values).
 DIGIT_SHAPES = {"0": "oO", "1": "liI", "2": "zZ", "3": "e", "4": "aA", "5": "sS", "6": "bG", "7": "tT", "8": "bB", "9": "gq"}
 LETTER_SHAPES = {"rn": "m", "cl": "d", "ii": "u", "vv": "w", "c": "e", "e": "c", "m": "rn", "d": "cl", "I": "l", "l": "I", "li": "h", "O": "0", "|": "l"}
-_SHAPE = re.compile("|".join(map(re.escape, sorted(LETTER_SHAPES, key=len, reverse=True))))
+#: Strokes of letters and digits: what can be taken for one another comes out equal.
+_STROKE = str.maketrans({"0": "o", "1": "l", "2": "z", "3": "c", "4": "a", "5": "s", "6": "b", "7": "t", "8": "b", "9": "b", "g": "b", "q": "b", "e": "c", "i": "l", "|": "l", "m": "rn", "d": "cl", "u": "ll", "h": "ll", "w": "vv"})
+#: Lines at the top and bottom of a page among which headers and footers are looked for.
+TOP, BOTTOM = 2, 3
 _NUM = r"(?:\d[\dlIOoSB|]{0,3}|[lI|][\dlIOoSB|]{1,3}|[lI])"
 _ROMAN = r"(?:m{0,3}(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3}))"
 _PAGE_MARKED = re.compile(
@@ -43,28 +48,60 @@ _EDGE_NUMBER = re.compile(rf"^{_NUM}\s{{2,}}|\s{{2,}}{_NUM}$|^{_ROMAN}\s{{2,}}|\
 _FOLD = str.maketrans({"1": "l", "i": "l", "|": "l", "0": "o", "5": "s", "7": "t", "9": "g", "q": "g", "6": "b", "8": "b", "e": "c", "2": "z", "4": "a", "3": "c"})
 
 
-def _vocabulary_of(text: str) -> set[str]:
-    """Lower-case words of a text, with compounds whole and in parts."""
-    return _words_in(readable_form(text).lower())
-
-
-def _words_in(form: str) -> set[str]:
-    found = set((_WORD_ASCII if form.isascii() else _WORD).findall(form))
-    for w in [w for w in found if "-" in w]:
-        found.update(w.split("-"))
-    return found
+def _strokes(word: str) -> str:
+    return word.lower().translate(_STROKE)
+
+
+@lru_cache(100_000)
+def reading_cost(word: str, target: str) -> tuple[int, int] | None:
+    """(digits, letters) put back to read ``word`` as ``target`` (lower case), letters at most two; None if it can't be.
+
+    A digit may stand for one of its letters; a letter or pair for one of similar shape (``LETTER_SHAPES``)."""
+    n, m = len(word), len(target)
+    best: dict[tuple[int, int], tuple[int, int]] = {(0, 0): (0, 0)}  # places reached: fewest letters, then digits
+    for i in range(n):
+        for (a, j), (letters, digits) in [x for x in best.items() if x[0][0] == i]:
+            steps = []
+            if j < m and word[i].lower() == target[j]:
+                steps.append((1, 1, 0, 0))
+            if word[i] in DIGIT_SHAPES and j < m and target[j] in DIGIT_SHAPES[word[i]].lower():
+                steps.append((1, 1, 0, 1))
+            for k in (2, 1):
+                to = LETTER_SHAPES.get(word[i : i + k])
+                if to and i + k <= n and target.startswith(to.lower(), j):
+                    steps.append((k, len(to), 1, 0))
+            for di, dj, dl, dd in steps:
+                key, cost = (i + di, j + dj), (letters + dl, digits + dd)
+                if cost[0] <= 2 and cost < best.get(key, (9, 0)):
+                    best[key] = cost
+    end = best.get((n, m))
+    return (end[1], end[0]) if end and sum(end) else None
+
+
+def may_be_misread(word: str) -> bool:
+    """False for codes, house numbers, ordinals and the like, by the form of the word alone."""
+    if len(word) < 2 or word.isdigit():
+        return False
+    digits = sum([c.isdigit() for c in word])
+    if not digits:
+        return len(word) > 2 and not (word.isupper() and len(word) < 5)
+    small = sum([c.islower() for c in word])
+    return small > 0 and not (small < digits and len(word) > 3) and not (re.fullmatch(r"\d+[a-z]{1,2}", word) and small < 2)
 
 
-def _cased_vocabulary_of(text: str) -> set[str]:
-    """The vocabulary, and behind ``^`` the words that the text writes with a capital only."""
-    form = readable_form(text)
+def counted_words(form: str) -> tuple[set[str], set[str]]:
+    """(words that count the text, other spellings in it) of a readable form. Of the spellings of a word that differ in case
+    one counts, the one in lower case where there is one; compounds count whole, in lower case, beside their parts."""
     runs = set((_RUN_ASCII if form.isascii() else _RUN).findall(form))
-    return _words_in(form.lower()) | {"^" + low for w in runs if w[0].isupper() and (low := w.lower()) not in runs}
-
-
-def vocabulary(docs: DataFrame, text: str = "content", cased: bool = False) -> Counts:
-    """Number of texts by word in them, over all texts; repeated rows count as they stand."""
-    return collected(word_counts(docs, text, _cased_vocabulary_of if cased else _vocabulary_of), "n0")
+    low = {w for w in runs if w == w.lower()}
+    seen, count, other = set(low), set(low), set()
+    for w in runs - low:
+        x = w.lower()
+        (other if x in seen else count).add(w)
+        seen.add(x)
+    if "-" in form:
+        count.update([w.lower() for w in _COMPOUND.findall(form)])
+    return count, other
 
 
 def _folded(line: str) -> str:
@@ -93,131 +130,19 @@ def _near(a: str, b: str) -> bool:
 
 
 class Reader:
-    """Finds the noise of one text at a time by a vocabulary."""
-
-    def __init__(self, counts: Counts | None):
-        self.counts = counts
-        self.kept: dict[str, int] = {}
-        self.verdicts: dict[str, str] = {}
-
-    def df(self, word: str) -> int:
-        n = self.kept.get(word)
-        if n is None:
-            if len(self.kept) > 500_000:
-                self.kept.clear()
-            n = self.kept[word] = self.counts.get(word)
-        return n
-
-    def misread(self, word: str) -> str:
-        """The word that was meant, or nothing if ``word`` isn't misread. What stands for a digit is in lower case."""
-        known = self.verdicts.get(word)
-        if known is None:
-            if len(self.verdicts) > 500_000:
-                self.verdicts.clear()
-            known = self.verdicts[word] = self._misread(word)
-        return known
-
-    def _misread(self, word: str) -> str:
-        """``word`` is one run of letters and digits."""
-        digits = sum(c.isdigit() for c in word)
-        if len(word) < 2 or digits == len(word) or len(word) > 40:
-            return ""
-        own = self.df(word.lower())
-        if digits:
-            # codes, house numbers and ordinals aren't words: there have to be lower-case letters beside
-            small = sum(c.islower() for c in word)
-            if small == 0 or (small < digits and len(word) > 3) or re.fullmatch(r"\d+[a-z]{1,2}", word) and small < 2:
-                return ""
-            options = [DIGIT_SHAPES[c] + c if c in DIGIT_SHAPES else c for c in word]
-            n = 1
-            for o in options:
-                n *= len(o)
-            tries = ("".join(x) for x in product(*options)) if n <= 4096 else ()
-            meant = max((x for x in tries if not any(c.isdigit() for c in x)), key=lambda x: self.df(x.lower()), default="")
-            best = self.df(meant.lower()) if meant else 0
-            if best >= 3 and best >= 5 * own:
-                return "".join(x.lower() if c.isdigit() else c for c, x in zip(word, meant))
-            # a letter misread beside the digit
-            both = [self._letters(w, own, 5) for w in ("".join(DIGIT_SHAPES.get(c, c)[0] for c in word), word.replace("1", "i"))]
-            return max(both, key=lambda x: (self.df(x.lower()), not any(c.isdigit() for c in x)) if x else (0, False))
-        return self._letters(word, own, 20)
-
-    def _letters(self, word: str, own: int, ratio: int) -> str:
-        spots = list(_SHAPE.finditer(word))
-        if not spots or len(word) < 3 or word.isupper() and len(word) < 5:
-            return ""
-        spots = spots[:8]
-        meant, least = "", max(10, ratio * own)
-        for k, m in enumerate(spots):
-            once = word[: m.start()] + LETTER_SHAPES[m.group()] + word[m.end() :]
-            n = self.df(once.lower())
-            if n >= least:
-                meant, least = once, n + 1
-            for m2 in spots[k + 1 :]:
-                both = word[: m.start()] + LETTER_SHAPES[m.group()] + word[m.end() : m2.start()] + LETTER_SHAPES[m2.group()] + word[m2.end() :]
-                n = self.df(both.lower())
-                if n >= least:
-                    meant, least = both, n + 1
-        return meant
-
-    def meant(self, word: str, first: bool) -> str:
-        """``word`` as it was meant, itself if it isn't misread; ``first`` in its sentence. The case of letters put back is that
-        of the word, at its start that of most texts."""
-        out = self.misread(word)
-        if not out:
-            return word
-        letters = [c for c in word if c.isalpha()]
-        if len(letters) > 1 and all(map(str.isupper, letters)):
-            return out.upper()
-        if out.count("I") > word.count("I"):
-            out = out[0] + out[1:].replace("I", "i")
-        if word[0].isdigit() and (first or self.df("^" + out.lower()) * 2 > self.df(out.lower())):
-            out = out[0].upper() + out[1:]
-        return out
-
-    def corrected(self, paragraph: str) -> str:
-        """``paragraph`` with misread words put right; all else stays as it is."""
-
-        plain, seen = paragraph.isascii(), self.verdicts
-        runs = _RUN_ASCII if plain else _RUN
-        form = {w: w if plain or w.isascii() else readable_form(w) for w in set(runs.findall(paragraph))}
-        wrong = {w for w, f in form.items() if (seen[f] if f in seen else self.misread(f))}
-        if not wrong:
-            return paragraph
-
-        def put(m):
-            word = m.group()
-            if word not in wrong:
-                return word
-            before = paragraph[max(0, m.start() - 9) : m.start()].rstrip(" \"'«»„“”(")
-            return self.meant(form[word], before[-1] in ".!?…" if before else m.start() < 9)
-
-        return runs.sub(put, paragraph)
-
-    def joined(self, left: str, right: str) -> bool | None:
-        """True where a word broken at a line end is one word, False where the hyphen is its own; None if both are unknown."""
-        together, compound = self.df((left + right).lower()), self.df(f"{left}-{right}".lower())
-        if not together and not compound:
-            return None
-        return together >= compound
+    """What one text tells alone of its noise."""
 
     def broken(self, line: str, following: str) -> tuple[str, str, bool] | None:
-        """The word parts about the line end and whether they are one word, where ``line`` ends in a hyphen inside a word;
+        """(left part, right part, hard hyphen) of the word at the line end, where ``line`` ends in a hyphen inside a word;
         ``following`` is the next line of running text in readable form."""
         raw = line.rstrip(" \r\t")
         if raw[-1:] not in _HYPHENS or not raw[-2:-1].isalpha():
             return None
-        left = re.search(r"[^\W\d_]+(?:-[^\W\d_]+)*$", readable_form(raw.rstrip(_HYPHENS)))
-        right = re.match(r"\s*([^\W\d_]+)", following.lstrip("\f"))
+        left = re.search(r"[^\W_]+(?:-[^\W_]+)*$", readable_form(raw.rstrip(_HYPHENS)))
+        right = re.match(r"\s*([^\W\d_][^\W_]*)", following.lstrip("\f"))
         if not left or not right or not right.group(1)[0].islower():
             return None
-        head, tail = left.group(), right.group(1)
-        joint = self.joined(head, tail)
-        if joint is None:
-            # no vocabulary to tell by: a misread part, or a rare word
-            a, b = self.df(head.split("-")[-1].lower()), self.df(tail.lower())
-            joint = not (a >= 5 and b >= 5 and raw[-1] == "-")
-        return head, tail, joint
+        return left.group(), right.group(1), raw[-1] == "-"
 
     def edges(self, lines: list[str]) -> tuple[set[int], set[int]]:
         """Line indexes of running headers or footers, and of page numbers."""
@@ -225,17 +150,17 @@ class Reader:
         solid = [i for i, x in enumerate(bare) if x]
         if not solid:
             return set(), set()
-        numbers = {i for i in solid if len(bare[i]) < 22 and _PAGE_MARKED.match(bare[i])}
-        maybe = {i for i in solid if i not in numbers and len(bare[i]) < 9 and _PAGE_BARE.match(bare[i])}
+        numbers = {i for i in solid if _PAGE_MARKED.match(bare[i])}
+        maybe = {i for i in solid if i not in numbers and _PAGE_BARE.match(bare[i])}
         # lines at page edges: next to a form feed, a page number or an end of the text
         at = {i: k for k, i in enumerate(solid)}
-        edge = set(solid[:2]) | set(solid[-3:])
+        edge = set(solid[:TOP]) | set(solid[-BOTTOM:])
         for k, i in enumerate(solid):
             if "\f" in lines[i]:
-                edge.update(solid[max(0, k - 3) : k + 2])
+                edge.update(solid[max(0, k - BOTTOM) : k + TOP])
             if i in numbers or i in maybe:
-                edge.update(solid[max(0, k - 2) : k + 3])
-        folded = {i: f for i in solid if i not in numbers and len(bare[i]) < 90 and len(f := _folded(bare[i])) > 3 and any(map(str.isalpha, f))}
+                edge.update(solid[max(0, k - TOP) : k + BOTTOM])
+        folded = {i: f for i in solid if i not in numbers and len(f := _folded(bare[i])) > 3 and any(map(str.isalpha, f))}
         exact: dict[str, list[int]] = {}
         for i, f in folded.items():
             exact.setdefault(f, []).append(i)
@@ -262,106 +187,297 @@ class Reader:
                 numbers.add(i)
         return headers, numbers - headers
 
-    def noise(self, text: str) -> list[tuple[int, str]]:
-        """(line number from 1, kind), without asking whether the text is prose."""
-        lines = text.split("\n")
-        headers, numbers = self.edges(lines)
-        out = [(i + 1, "running_header") for i in sorted(headers)] + [(i + 1, "page_number") for i in sorted(numbers)]
-        seen = self.verdicts
-        running = [i for i, x in enumerate(lines) if i not in headers and i not in numbers and x.strip(" \f\r\t")]
-        form = readable_form(text)
-        run_of = (_RUN_ASCII if form.isascii() else _RUN).findall
+    def line_ends(self, text: str, form: str, lines: list[str], dropped: set[int]) -> dict[int, tuple[str, str, bool]]:
+        """``broken`` of every line index where it holds, among the lines of running text."""
+        if not any(h in text for h in _HYPHENS):
+            return {}
+        running = [i for i, x in enumerate(lines) if i not in dropped and x.strip(" \f\r\t")]
         clean = form.split("\n")  # nothing in it adds or removes a newline
-        for k, i in enumerate(running):
-            head = tail = ""
-            at_end = self.broken(lines[i], clean[running[k + 1]]) if k + 1 < len(running) else None
-            if at_end:
-                head, tail, joint = at_end
-                if joint:
-                    out.append((i + 1, "hyphen_break"))
-            words = run_of(clean[i])
-            if head and words:
-                words.pop()  # half a word
-            before = lines[running[k - 1]].rstrip(" \r\t") if k else ""
-            if words and before[-1:] in _HYPHENS and before[-2:-1].isalpha():
+        return {i: x for i, j in zip(running, running[1:]) if lines[i].rstrip(" \r\t")[-1:] in _HYPHENS and (x := self.broken(lines[i], clean[j]))}
+
+    def words_by_line(self, form: str, dropped: set[int], ends: dict[int, tuple[str, str, bool]]):
+        """(line index, words) of running text; halves of words at line ends stand as one word in the first of their lines."""
+        find = (_RUN_ASCII if form.isascii() else _RUN).findall
+        half = False
+        for i, x in enumerate(form.split("\n")):
+            if i in dropped or not x.strip(" \f\r\t"):
+                continue
+            words = find(x)
+            bare = x.rstrip()
+            if words and half:
                 words.pop(0)
-            if any([seen[w] if w in seen else self.misread(w) for w in words]) or (tail and self.misread(head.split("-")[-1] + tail)):
-                out.append((i + 1, "misread"))
+            half = bare[-1:] in _HYPHENS and bare[-2:-1].isalpha()
+            if i in ends:
+                if words:
+                    words.pop()
+                words.append(ends[i][0].split("-")[-1] + ends[i][1])
+            yield i, words
+
+
+_KIND = pa.struct([("line", pa.int32()), ("kind", pa.string())])
+_END = pa.struct([("line", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("hard", pa.bool_())])
+
+
+class Corpus:
+    """What the texts of a table tell together: the vocabulary, the misread words and the texts that are prose.
+
+    ``texts``  (_id, lang, stats, fixed array<(line, kind)>, ends array<(line, head, tail, hard)>): one row a content;
+    ``words``  (low, df): number of texts by word in lower case;
+    ``misread`` (word, meant, capital): what was meant by a spelling that is misread, and whether most texts write it with a
+    capital only. All are tables, materialised; only ``scale`` and the filter of misread words are sent to tasks.
+    """
+
+    def __init__(self, docs: DataFrame, common_words: DataFrame, key: str, text: str):
+        self.key, self.text, self.kind = key, text, dict(docs.dtypes)[key]
+        common = language_words(common_words)
+        schema = f"_id {self.kind}, lang string, stats array<float>, fixed array<struct<line:int,kind:string>>, ends array<struct<line:int,head:string,tail:string,hard:boolean>>, word string, low string, n bigint"
+        names = ["_id", "lang", "stats", "fixed", "ends", "word", "low", "n"]
+        shapes = [pa.string(), pa.list_(pa.float32()), pa.list_(_KIND), pa.list_(_END), pa.string(), pa.string(), pa.int64()]
+
+        def run(batches):
+            reader, known, counts = Reader(), _Words(common), {}
+            first = None
+
+            def batch(kind, rows, words):
+                n, m = len(rows), len(words)
+                cols = list(zip(*rows)) if rows else [[]] * 5
+                more = list(zip(*words)) if words else [[]] * 3
+                arrays = [list(c) + [None] * m for c in cols] + [[None] * n + list(c) for c in more]
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(arrays, [kind, *shapes])], names=names)
+
+            for b in batches:
+                out, first = [], b.schema.field(0).type
+                for i, t in zip(*(c.to_pylist() for c in b.columns)):
+                    if i is None or not t or t.isspace():
+                        continue
+                    form = readable_form(t)
+                    lines = t.split("\n")
+                    headers, numbers = reader.edges(lines)
+                    ends = reader.line_ends(t, form, lines, headers | numbers)
+                    lang, s = statistics(t, known, form)
+                    fixed = [{"line": k, "kind": "running_header"} for k in sorted(headers)] + [{"line": k, "kind": "page_number"} for k in sorted(numbers)]
+                    out.append((i, lang, s, fixed, [{"line": k, "head": h, "tail": x, "hard": y} for k, (h, x, y) in ends.items()]))
+                    count, other = counted_words(form)
+                    for w in count:
+                        counts[w] = counts.get(w, 0) + 1
+                    for w in other:
+                        counts.setdefault(w, 0)
+                    for h, x, _ in ends.values():
+                        counts.setdefault(h.split("-")[-1] + x, 0)
+                drain = len(counts) > 500_000
+                yield batch(first, out, [(w, w.lower(), n) for w, n in counts.items()] if drain else [])
+                if drain:
+                    counts.clear()
+            if counts:
+                yield batch(first, [], [(w, w.lower(), n) for w, n in counts.items()])
+
+        both = cut(docs.select(key, text).mapInArrow(run, schema))
+        self.texts = both.filter("_id is not null").select("_id", "lang", "stats", "fixed", "ends").dropDuplicates(["_id"])
+        # a repeated row counts its words as often as it stands
+        spellings = cut(both.filter("word is not null").groupBy("word", "low").agg(F.sum("n").alias("n")))
+        self.words = spellings.groupBy("low").agg(F.sum("n").alias("df"))
+        self.scale = Scale(sketches(self.texts))
+        self.misread = cut(self._misread(spellings))
+
+    def _misread(self, spellings: DataFrame) -> DataFrame:
+        lows = cut(self.words)
+
+        def stroked(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_strokes(w) for w in b.column(0).to_pylist()], pa.string())], names=[*b.schema.names, "strokes"])
+
+        form = lambda rows, fields: rows.mapInArrow(stroked, fields)
+        targets = form(lows.filter("df >= 3").select("low", "df"), "low string, df bigint, strokes string").filter(~F.col("low").rlike("[0-9-]")).select(F.col("low").alias("target"), F.col("df").alias("have"), "strokes")
+
+        def suspects(batches):
+            for b in batches:
+                words = b.column(0).to_pylist()
+                keep = [i for i, w in enumerate(words) if "-" not in w and may_be_misread(w)]
+                yield b.take(pa.array(keep, pa.int64()))
+
+        own = spellings.join(lows, "low").select("word", "low", "df").mapInArrow(suspects, "word string, low string, df bigint")
+        pairs = form(own, "word string, low string, df bigint, strokes string").join(targets, "strokes").filter("target <> low and have >= 5 * df")
+
+        def judged(batches):
+            for b in batches:
+                words, own_df, target, have = (b.column(k).to_pylist() for k in range(4))
+                keep, plain = [], []
+                for i, (w, o, t, h) in enumerate(zip(words, own_df, target, have)):
+                    cost = reading_cost(w, t)
+                    if cost is None:
+                        continue
+                    digits, letters = cost
+                    # digits alone are plain evidence; letters need a word that is far more frequent
+                    if h >= (3 if not letters else 10) and h >= (5 if digits else 20) * o:
+                        keep.append(i)
+                        plain.append(int(digits > 0 and not letters))
+                rows = b.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(plain, pa.int32())], names=["word", "target", "have", "plain"])
+
+        found = pairs.select("word", "df", "target", "have").mapInArrow(judged, "word string, target string, have bigint, plain int")
+        best = found.groupBy("word").agg(F.max(F.struct("plain", "have", "target")).alias("b")).select("word", F.col("b.target").alias("meant"), F.col("b.have").alias("have"))
+        # spellings that begin with a capital stand for the texts that have the word in no other way
+        capitals = spellings.filter("word = initcap(low) and word <> low").select(F.col("low").alias("meant"), F.col("n").alias("_n"))
+        return best.join(capitals, "meant", "left").select("word", "meant", (F.coalesce("_n", F.lit(0)) * 2 > F.col("have")).alias("capital"))
+
+    def filter(self) -> Filter:
+        keys = self.misread.select("word").mapInArrow(_keys, "key long")
+        return filter_of(keys)
+
+    def prose(self) -> DataFrame:
+        """``texts`` of prose."""
+        scale = self.scale
+
+        def run(batches):
+            for b in batches:
+                kinds = scale.kinds(b.column(1).to_pylist(), _matrix(b.column(2)))
+                keep = b.filter(pa.array(kinds == "prose"))
+                yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(3), keep.column(4)], names=["_id", "fixed", "ends"])
+
+        return self.texts.mapInArrow(run, f"_id {self.kind}, fixed array<struct<line:int,kind:string>>, ends array<struct<line:int,head:string,tail:string,hard:boolean>>")
+
+    def joints(self, prose: DataFrame) -> DataFrame:
+        """(_id, line, joint): the line ends of prose, and whether the parts about them are one word.
+
+        The word written together decides against the one with a hyphen; where the corpus has neither, two parts that are
+        words themselves (in five texts each) keep a hyphen that is drawn as one.
+        """
+        e = prose.select("_id", F.explode("ends").alias("e")).select("_id", F.col("e.line").alias("line"), F.lower("e.head").alias("h"), F.lower("e.tail").alias("t"), F.col("e.hard").alias("hard"))
+        asked = {"w": F.concat("h", "t"), "c": F.concat("h", F.lit("-"), "t"), "a": F.substring_index("h", "-", -1), "b": F.col("t")}
+        rows = e.select("_id", "line", "hard", F.explode(F.array(*[F.struct(F.lit(k).alias("role"), c.alias("low")) for k, c in asked.items()])).alias("q")).select("_id", "line", "hard", "q.*")
+        df = {k: F.coalesce(F.max(F.when(F.col("role") == k, F.col("df"))), F.lit(0)) for k in asked}
+        got = rows.join(self.words, "low", "left").groupBy("_id", "line", "hard").agg(*[c.alias(k) for k, c in df.items()])
+        known = (F.col("w") > 0) | (F.col("c") > 0)
+        return got.select("_id", "line", F.when(known, F.col("w") >= F.col("c")).otherwise(~((F.col("a") >= 5) & (F.col("b") >= 5) & F.col("hard"))).alias("joint"))
+
+
+def _keys(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([signed_key(w) for w in b.column(0).to_pylist()], pa.int64())], names=["key"])
+
+
+class _Suspects(dict):
+    """Whether a word may be misread by the filter, kept per worker; emptied when large."""
+
+    def __init__(self, held: Filter):
+        self.held = held
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = may_be_misread(word) and self.held.may_hold(signed_key(word) & ((1 << 64) - 1))
         return out
 
-    def repair(self, text: str) -> str:
-        """Continuous paragraphs: headers, footers and page numbers dropped, broken words joined, lines run on, misread words
-        put right."""
-        lines = text.split("\n")
-        headers, numbers = self.edges(lines)
-        paragraphs: list[str] = []
-        gap, line = True, ""
-        for i, x in enumerate(lines):
-            s = x.strip(" \f\r\t")
-            if i in headers or i in numbers:
-                continue
-            if not s:
-                # a blank line ends a paragraph only if the sentence has ended
-                gap = gap or not paragraphs or paragraphs[-1].rstrip()[-1:] in ".!?:»”\""
-                continue
-            if gap or not paragraphs:
-                paragraphs.append(s)
-            else:
-                last = paragraphs[-1]
-                if last[-1] in _HYPHENS and last[-2:-1].isalpha() and s[0].islower():
-                    at_end = self.broken(line, readable_form(s))
-                    if at_end and at_end[2]:
-                        paragraphs[-1] = last.rstrip(_HYPHENS) + s
-                    else:
-                        paragraphs[-1] = last[:-1] + "-" + s
-                else:
-                    paragraphs[-1] = f"{last} {s}"
-            gap, line = False, x
-        return "\n\n".join(map(self.corrected, paragraphs))
-
-
-def _per_text(docs: DataFrame, common_words: DataFrame, key: str, text: str, schema: str, rows_of, cased: bool = False):
-    counts = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, text, cased))
-    common = language_words(common_words)
+
+def _places(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    """(_id, line, word): words of running text that the filter of misread words holds, once a line."""
+    held = docs.sparkSession.sparkContext.broadcast(corpus.filter())  # of fixed size
 
     def run(batches):
-        reader, known = Reader(counts.value), _Words(common)
+        reader, suspect = Reader(), _Suspects(held.value)
         for b in batches:
-            out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is not None and t and not t.isspace():
-                    out += rows_of(reader, known, i, t)
-            cols = list(zip(*out)) if out else [[] for _ in schema.split(",")]
-            kinds = [b.schema.field(0).type] + [{"int": pa.int32(), "string": pa.string()}[x.split()[-1]] for x in schema.split(",")[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(",")])
-
-    return docs.select(key, text).mapInArrow(run, schema)
-
-
-def _is_prose(text: str, known: _Words) -> bool:
-    _, s = statistics(text, known)
-    return kind_of(np.array(s), np.zeros(len(s))) == "prose"
+            ids, at, words = [], [], []
+            for i, t in zip(*(c.to_pylist() for c in b.columns)):
+                if i is None or not t or t.isspace():
+                    continue
+                form = readable_form(t)
+                hyphens = any(h in t for h in _HYPHENS)
+                if not hyphens and not any([suspect[w] for w in (_RUN_ASCII if form.isascii() else _RUN).findall(form)]):
+                    continue
+                lines = t.split("\n")
+                headers, numbers = reader.edges(lines)
+                dropped = headers | numbers
+                for k, ws in reader.words_by_line(form, dropped, reader.line_ends(t, form, lines, dropped)):
+                    for w in {w for w in ws if suspect[w]}:
+                        ids.append(i)
+                        at.append(k)
+                        words.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(at, pa.int32()), pa.array(words, pa.string())], names=["_id", "line", "word"])
+
+    return docs.select(corpus.key, corpus.text).mapInArrow(run, f"_id {corpus.kind}, line int, word string").distinct()
 
 
 def noise(docs: DataFrame, common_words: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     """(key, line_no, kind): noise by line, of texts that are prose. Null, empty and blank texts have none; repeated rows
     count once; lines are split at newlines only."""
+    corpus = Corpus(docs, common_words, key, text)
+    prose = cut(corpus.prose())
+    fixed = prose.select("_id", F.explode("fixed").alias("f")).select("_id", "f.line", "f.kind")
+    breaks = corpus.joints(prose).filter("joint").select("_id", "line", F.lit("hyphen_break").alias("kind"))
+    wrong = _places(docs, corpus).join(corpus.misread.select("word"), "word", "left_semi").select("_id", "line", F.lit("misread").alias("kind"))
+    wrong = wrong.join(prose.select("_id"), "_id", "left_semi")
+    return fixed.unionByName(breaks).unionByName(wrong).select(F.col("_id").alias(key), (F.col("line") + 1).cast("long").alias("line_no"), "kind").distinct()
+
+
+_TAKE = pa.struct([("word", pa.string()), ("meant", pa.string()), ("capital", pa.bool_())])
+
+
+def put_right(word: str, meant: str, capital: bool, first: bool) -> str:
+    """``meant`` in the case of ``word``: letters put back follow those beside them; one at the start of the word is a capital at
+    the start of a sentence (``first``) or where most texts write the word with one."""
+    letters = [c for c in word if c.isalpha()]
+    if len(letters) > 1 and all(map(str.isupper, letters)):
+        return meant.upper()
+    upper = word[0].isupper() and word[0] not in "I" or word[0] in "I0123456789|" and (first or capital) or word[0] == "I" and meant[:1] == "i"
+    return meant[:1].upper() + meant[1:] if upper else meant
+
+
+def repair(text: str, joints: dict[int, bool], wrong: dict[str, tuple[str, bool]]) -> str:
+    """Continuous paragraphs: headers, footers and page numbers dropped, broken words joined, lines run on, misread words
+    put right. ``joints``: line indexes to whether the hyphen at their end goes; ``wrong``: spelling to (meant, capital)."""
+    lines = text.split("\n")
+    headers, numbers = Reader().edges(lines)
+    paragraphs: list[str] = []
+    gap, before = True, -1
+    for i, x in enumerate(lines):
+        s = x.strip(" \f\r\t")
+        if i in headers or i in numbers:
+            continue
+        if not s:
+            # a blank line ends a paragraph only if the sentence has ended
+            gap = gap or not paragraphs or paragraphs[-1].rstrip()[-1:] in ".!?:»”\""
+            continue
+        if gap or not paragraphs:
+            paragraphs.append(s)
+        else:
+            last = paragraphs[-1]
+            if last[-1] in _HYPHENS and last[-2:-1].isalpha() and s[0].islower():
+                paragraphs[-1] = last.rstrip(_HYPHENS) + s if joints.get(before) else last[:-1] + "-" + s
+            else:
+                paragraphs[-1] = f"{last} {s}"
+        gap, before = False, i
+    if not wrong:
+        return "\n\n".join(paragraphs)
+
+    def corrected(paragraph: str) -> str:
+        def put(m):
+            word = m.group() if m.group().isascii() else readable_form(m.group())
+            if word not in wrong:
+                return m.group()
+            ahead = paragraph[max(0, m.start() - 9) : m.start()].rstrip(" \"'«»„“”(")
+            return put_right(word, *wrong[word], ahead[-1] in ".!?…" if ahead else m.start() < 9)
 
-    def rows_of(reader, known, i, t):
-        found = reader.noise(t)
-        return [(i, n, k) for n, k in found] if found and _is_prose(t, known) else []
+        return (_RUN_ASCII if paragraph.isascii() else _RUN).sub(put, paragraph)
 
-    kind = dict(docs.dtypes)[key]
-    return _per_text(docs, common_words, key, text, f"{key} {kind},line_no int,kind string", rows_of).distinct().withColumn("line_no", F.col("line_no").cast("long"))
+    return "\n\n".join(map(corrected, paragraphs))
 
 
 def repaired(docs: DataFrame, common_words: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     """(key, repaired): prose as continuous paragraphs; other texts as they are. Null stays null."""
+    corpus = Corpus(docs, common_words, key, text)
+    prose = cut(corpus.prose())
+    ends = corpus.joints(prose).groupBy("_id").agg(F.collect_list(F.struct("line", "joint")).alias("_ends"))
+    wrong = _places(docs, corpus).join(corpus.misread, "word").groupBy("_id").agg(F.collect_set(F.struct("word", "meant", "capital")).alias("_wrong"))
+    told = prose.select("_id").join(ends, "_id", "left").join(wrong, "_id", "left").withColumnRenamed("_id", "_of")
+    both = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(told, F.col("_id") == F.col("_of"), "left").select("_id", "_text", "_of", "_ends", "_wrong")
 
-    def rows_of(reader, known, i, t):
-        return [(i, reader.repair(t) if _is_prose(t, known) else t)]
+    def run(batches):
+        for b in batches:
+            out = []
+            for t, of, joints, words in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
+                if of is not None and t:
+                    t = repair(t, {x["line"]: x["joint"] for x in joints or ()}, {x["word"]: (x["meant"], x["capital"]) for x in words or ()})
+                out.append(t)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "repaired"])
 
-    kind = dict(docs.dtypes)[key]
-    rows = _per_text(docs, common_words, key, text, f"{key} {kind},repaired string", rows_of, cased=True)
-    rest = docs.filter(F.col(key).isNotNull() & (F.col(text).isNull() | F.col(text).rlike(r"(?U)^\s*$"))).select(key, F.col(text).alias("repaired"))
-    return rows.unionByName(rest)
+    return both.filter("_id is not null").mapInArrow(run, f"`{key}` {corpus.kind}, repaired string")

@@ -34,12 +34,25 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PRE_SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Words kept per worker before the table starts afresh; it bounds memory and never changes a result.
 KEPT_WORDS = 400_000
+#: Largest rank file.
+MOST_BYTES = 64 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to id, of a rank file."""
+    return ranks_of(_bytes_of(path))
+
+
+def ranks_of(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
+
+def _bytes_of(path: str) -> bytes:
+    """A rank file as the driver reads it; its size is checked, as it is sent to every worker."""
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"{path} has more than {MOST_BYTES} bytes")
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return f.read()
 
 
 class BpeAutomaton:
@@ -187,7 +200,17 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(read_ranks(path))
+    return encoder_of(_bytes_of(path))
+
+
+@lru_cache(2)
+def encoder_of(data: bytes) -> Encoder:
+    return Encoder(ranks_of(data))
+
+
+def _shipped(df: DataFrame, path: str | None):
+    """The rank file, read in the driver and sent to the workers, which need no file of their own."""
+    return df.sparkSession.sparkContext.broadcast(_bytes_of(path or vocabulary(df.sparkSession)))
 
 
 def vocabulary(spark, name: str = "byte_bpe_50k") -> str:
@@ -201,10 +224,10 @@ def token_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", path: st
     Null text gives a null array and empty text an empty one; strings of special tokens in a text are ordinary text. Texts
     are encoded whole, whatever their length; there is no shuffle.
     """
-    path = path or vocabulary(docs.sparkSession)
+    file = _shipped(docs, path)
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder_of(file.value)
         for b in batches:
             ids = [None if t is None else enc.ids(t) for t in b.column(1).to_pylist()]
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
@@ -219,10 +242,10 @@ def token_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", path: st
 
 def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
     """(key, n_tokens bigint): length of every text in tokens; null text counts 0."""
-    path = path or vocabulary(docs.sparkSession)
+    file = _shipped(docs, path)
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder_of(file.value)
         for b in batches:
             n = [0 if t is None else enc.count(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
@@ -233,11 +256,11 @@ def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
 
 def decoded(tokens: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
     """(key, text) from (key, ids): the inverse of ``token_ids`` for texts that are valid Unicode."""
-    path = path or vocabulary(tokens.sparkSession)
+    file = _shipped(tokens, path)
 
     @F.pandas_udf(T.StringType())
     def text_of(ids: pd.Series) -> pd.Series:
-        enc = encoder(path)
+        enc = encoder_of(file.value)
         return pd.Series([None if x is None else enc.decode(x) for x in ids], dtype=object)
 
     return tokens.select(key, text_of("ids").alias("text"))

@@ -74,6 +74,14 @@ def test_look_alike_pairs(spark, awkward):
 # -------------------------------------------------------------------- languages
 
 
+def test_look_alikes_beside_many_copies(spark):
+    rows = [(k, "") for k in range(20_000)] + [(50_000, "\u200b"), (50_001, "\u200b"), (50_002, "x"), (None, ""), (50_003, None)]
+    df = spark.createDataFrame(rows, "file_id long, content string").repartition(4)
+    assert normalize.look_alike_pairs(df).count() == 40_000
+    got = {r.file_id: (r.class_id, r.string_id, r.n_links) for r in normalize.look_alike_classes(df).collect()}
+    assert len(got) == 20_003 and got[3] == (0, 0, 2) and got[50_001] == (0, 50_000, 20_000) and got[50_002] == (50_002, 50_002, 0)
+
+
 def test_languages(spark, common, awkward):
     de = "Der Brief ist nicht in der Mappe und das Bild ist die Skizze der Schule. Die Katze und das Haus sind nicht alt."
     docs = spark.createDataFrame([(k, prose(k, 6), "eng") for k in range(40)] + [(100 + k, f"{de} Das Blatt {k} und die Feder sind in der Lade.", "deu") for k in range(40)] + [(200, None, "eng"), (201, prose(1), None)], "doc_id long, text string, lang string")
@@ -81,9 +89,14 @@ def test_languages(spark, common, awkward):
     en = prose(900, 5)
     texts = spark.createDataFrame([(1, en), (2, en), (3, f"{en} {de} {en}"), (4, None), (5, ""), (6, de), (1, en), (7, en)], "file_id long, content string")
     files = spark.createDataFrame([(1, "eng"), (2, "de"), (3, "eng+deu"), (6, "ger"), (7, None)], "id long, lang string")
-    got = language.segments(texts, files, packs, common, docs).collect()
+    got = language.segments(texts, files, packs, common, docs, wrong_only=True).collect()
     assert sorted((r.file_id, r.seg_no, r.lang) for r in got) == [(2, 1, "eng"), (3, 1, "eng"), (3, 2, "deu"), (3, 3, "eng"), (7, 1, "eng")]
     assert all(0 <= r.confidence <= 1 for r in got)
+    # every content gets a language, and every prose text its segments, with a margin as confidence
+    every = {r.file_id: r for r in language.languages(texts, files, packs, common, docs).collect()}
+    assert {k: (r.lang, r.label_fits) for k, r in every.items()} == {1: ("eng", True), 2: ("eng", False), 3: ("eng+deu", True), 6: ("deu", True), 7: ("eng", None)}
+    assert all(r.confidence >= language.MARGIN for r in every.values())
+    assert language.segments(texts, files, packs, common, docs).select("file_id").distinct().count() == 5
     language.segments(awkward, files, packs, common, docs).collect()
     assert language.segments(texts, files, packs, common, docs.limit(0)).isEmpty() and language.segments(texts.limit(0), files, packs, common, docs).isEmpty()
 
@@ -122,17 +135,48 @@ def test_similar_pairs_against_all_pairs(spark, monkeypatch):
     want = brute_pairs(dict(rows).items())
     got = {tuple(r) for r in neardup.similar_pairs(df).collect()}
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 300
-    g = {r.file_id: r for r in neardup.groups(df).collect()}
+    groups, links = neardup.linked(df)
+    g = {r.file_id: r for r in groups.collect()}
     assert all(g[a].group_id == g[b].group_id for a, b in got) and g[99_001].class_id == g[99_002].class_id and 99_003 not in g
+    apart = {(r.class_id_a, r.class_id_b) for r in links.collect()}
+    told = {(a, b) for a, b in itertools.combinations(sorted(g), 2) if g[a].class_id == g[b].class_id or set(g[a].balls) & set(g[b].balls) or tuple(sorted((g[a].class_id, g[b].class_id))) in apart}
+    assert told == got
     assert neardup.similar_pairs(df.limit(0)).isEmpty()
 
 
+def test_many_variants_of_one_text(spark):
+    """A mass of variants costs a few rows a member, and loses no link."""
+    body = prose(7, 14).split()
+    rows = []
+    for k in range(6000):
+        r = random.Random(k)
+        words = list(body)
+        for _ in range(r.randint(1, 3)):
+            words[r.randrange(len(words))] = f"w{r.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    sig = list(neardup._signatures([pa.RecordBatch.from_pylist([{"i": k, "t": t} for k, t in rows])]))
+    table = pa.Table.from_batches(list(neardup._roots([b.select(["_id", "_sig"]) for b in sig]))).sort_by([("_node", "ascending"), ("_id", "ascending")])
+    out = pa.Table.from_batches(list(neardup._nodes(table.to_batches(max_chunksize=1000))))
+    assert out.num_rows < 60 * len(rows)
+    df = spark.createDataFrame(rows, "file_id long, content string").repartition(4)
+    groups, links = neardup.linked(df)
+    g = {r.file_id: set(r.balls) for r in groups.collect()}
+    assert len(g) == len(rows)
+    apart = {tuple(r)[:2] for r in links.collect()}
+    assert len(apart) < 20 * len(rows)
+    sets = {k: set(neardup.run_hashes(neardup.word_hashes(t)).tolist()) for k, t in rows}
+    for a, b in (sorted(random.Random(n).sample(range(len(rows)), 2)) for n in range(3000)):
+        near = len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5
+        assert near == (bool(g[a] & g[b]) or (a, b) in apart)
+
+
 def test_wide_nodes_branch_over_rounds(spark):
     """Branching passed on between rounds gives the pairs of branching in memory."""
-    rows = [(k, edited(prose(5, 10), k, 0.03)) for k in range(120)]
+    rows = [(k, edited(prose(5 + k // 30, 10), k, 0.05)) for k in range(120)]
+    sets = {k: set(neardup.run_hashes(neardup.word_hashes(t)).tolist()) for k, t in rows}
     sig = list(neardup._signatures([pa.RecordBatch.from_pylist([{"i": k, "t": t} for k, t in rows])]))
     one = list(neardup._roots([b.select(["_id", "_sig"]) for b in sig]))
-    table = pa.Table.from_batches(one).sort_by("_node")
+    table = pa.Table.from_batches(one).sort_by([("_node", "ascending"), ("_id", "ascending")])
 
     def run(wide):
         neardup.WIDE, pairs, todo = wide, set(), table
@@ -141,17 +185,22 @@ def test_wide_nodes_branch_over_rounds(spark):
             if out is None:
                 break
             d = out.to_pylist()
-            pairs |= {(r["_id"], r["_b"]) for r in d if r["_node"] is None}
+            pairs |= {(r["_id"], r["_b"]) for r in d if r["_node"] is None and not r["_ball"]}
+            balls: dict = {}
+            for r in d:
+                if r["_ball"]:
+                    balls.setdefault(r["_id"], []).append(r["_b"])
+            pairs |= {x for m in balls.values() for x in itertools.combinations(sorted(m), 2)}
             rest = [r for r in d if r["_node"] is not None]
-            todo = out.filter(pyarrow.compute.is_valid(out["_node"])).sort_by("_node") if rest else table.slice(0, 0)
-        return pairs
+            todo = out.filter(pyarrow.compute.is_valid(out["_node"])).sort_by([("_node", "ascending"), ("_id", "ascending")]) if rest else table.slice(0, 0)
+        return {(a, b) for a, b in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
 
     old = neardup.WIDE
     try:
         a, b = run(10**6), run(40)
     finally:
         neardup.WIDE = old
-    assert len(a & b) >= 0.99 * len(a | b)
+    assert len(a & b) >= 0.97 * len(a | b) > 100
 
 
 def test_similar_pairs_awkward(awkward):
@@ -186,6 +235,20 @@ def many_words(spark):
     return spark.createDataFrame(texts, "file_id long, content string").repartition(4).cache()
 
 
+def test_said_as_signs():
+    f = pii.said_as_signs
+    for text, want in (("mail ivy at home dot org", "mail ivy@home.org"), ("jo (at) x [dot] y.com", "jo@x.y.com"), ("a @ b.org", "a@b.org"), ("look at the dot", "look at the dot"), ("call zero double seven 0 nine one two three", "call 077091 2 3".replace(" 2 3", "23")), ("one two cats", "one two cats"), ("0 7 7 0 9 1 2 x", "0770912 x")):
+        out, source = f(text)
+        assert out == want
+        assert source is None or len(source) == len(out) and source == sorted(source) and all(text[p] == c for p, c in zip(source, out) if c.isalpha())
+
+
+def test_spelled_numbers_are_found(spark):
+    texts = ["", "Call me on zero seven seven zero nine one two three four five six.", "+44 seven seven zero nine 123456", "phone 0 7 7 0 9 1 2 3 4 5 6", "rufen Sie null drei null zwei zwei null acht neun eins", "We saw one, two and three cats."]
+    got = sorted((r.file_id, r.kind, r.start_pos) for r in pii.found(spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")).collect())
+    assert got == [(1, "phone", 11), (2, "phone", 0), (3, "phone", 6), (4, "phone", 10)]
+
+
 def test_names_among_many_words(spark, many_words):
     names = spark.createDataFrame([(k, "Signed by Ivy Vantrupp in ink.") for k in range(5)], "file_id long, content string")
     df = many_words.unionByName(names)
@@ -197,11 +260,21 @@ def test_names_among_many_words(spark, many_words):
 # ------------------------------------------------------------------------ scans
 
 
-def test_vocabulary_of_many_words(spark, many_words):
-    counts = scans.vocabulary(many_words.unionByName(spark.createDataFrame([(k, "Box lamp lamp, old-fashioned") for k in range(3)], "file_id long, content string")))
-    assert [counts.get(w) for w in ("lamp", "box", "old-fashioned", "old", "oldfashioned")] == [3, 3, 3, 3, 0]
-    once = many_words.filter("file_id = 1000").first().content.split()
-    assert {counts.get(w) for w in once} == {1} and not any(counts.get(w + "x") for w in once)
+def test_vocabulary_of_many_words(spark, many_words, common):
+    more = [(k, "Box lamp lamp, old-fashioned") for k in range(3)] + [(9, "box Box")]
+    df = many_words.unionByName(spark.createDataFrame(more, "file_id long, content string"))
+    counts = {r.low: r.df for r in scans.Corpus(df, common, "file_id", "content").words.collect()}
+    assert [counts.get(w, 0) for w in ("lamp", "box", "old-fashioned", "old", "oldfashioned")] == [3, 4, 3, 3, 0]
+    assert {counts[w] for w in many_words.filter("file_id = 1000").first().content.split()} == {1}
+
+
+def test_readings():
+    cost = scans.reading_cost
+    assert [cost(*x) for x in (("gr4ph", "graph"), ("rnuseum", "museum"), ("ficatc", "ficate"), ("clrawing", "drawing"), ("bencli", "bench"), ("5urveyor", "surveyor"), ("l0cI", "loci"))] == [(1, 0), (0, 1), (0, 1), (0, 1), (0, 1), (1, 0), (1, 0)]
+    assert cost("graph", "graph") is None and cost("eeee", "cccc") is None and cost("cat", "dog") is None and cost("mm", "rnrn") == (0, 2)
+    assert cost("0" * 30 + "x", "o" * 30 + "x") == (30, 0)  # any length, any number of digits
+    assert all(scans._strokes(a) == scans._strokes(b) for a, b in (("gr4ph", "graph"), ("rnuseum", "museum"), ("clrawing", "drawing"), ("bencli", "bench"), ("8all", "ball"), ("6ox", "Gox")))
+    assert [scans.may_be_misread(w) for w in ("12b", "LI8", "1987", "lamp", "ABC", "x", "l4mp")] == [False, False, False, True, False, False, True]
 
 
 def test_scan_noise(spark, common, awkward):
