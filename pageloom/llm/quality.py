@@ -268,13 +268,13 @@ class Scale:
         pct = dict(zip(NAMES, self.percentiles(langs, stats).T))
         s = dict(zip(NAMES, stats.T))
         short = (pct["words_per_line"] < 0.35) & (pct["line_end_punct"] < 0.2)
-        lines = (s["n_words"] >= LIST_LINES * s["words_per_line"]) | (s["n_words"] < FEW_WORDS)
+        lines, scrap = s["n_words"] >= LIST_LINES * s["words_per_line"], s["n_words"] < FEW_WORDS
         rare, few, fewer = (z["common_words"] < -x for x in (1.5 * TAIL, 3, 2))
         table = (z["cell_lines"] > 25 * TAIL) & (z["symbol_ratio"] < 20 * TAIL)
-        unread = (z["odd_words"] > 3 * TAIL) | (z["symbol_ratio"] > 8 * TAIL) | (z["alpha_ratio"] < -9 * TAIL)
+        unread = (z["odd_words"] > 4 * TAIL) | (z["symbol_ratio"] > 8 * TAIL) | (z["alpha_ratio"] < -9 * TAIL)
         marked = (z["marked_lines"] > 25 * TAIL) | (z["title_lines"] > 0)
         out = np.full(len(stats), "prose", dtype=object)
-        out[short & lines & (rare | (fewer & marked))] = "list"
+        out[short & (lines & (rare | (fewer & marked)) | scrap & few)] = "list"
         out[fewer & unread] = "junk"
         out[few & table] = "table"
         return out
