@@ -39,7 +39,7 @@ PRIOR_WEIGHT = 20
 #: Robust z-score beyond which a value lies in a tail.
 TAIL = 4.0
 #: Fewest lines of a list, unless the whole content has fewer words than a sentence.
-LIST_LINES, FEW_WORDS = 4, 5
+LIST_LINES, FEW_WORDS = 5, 5
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœаеёиоуыэюяАЕЁИОУЫЭЮЯ"
@@ -271,7 +271,7 @@ class Scale:
         lines, scrap = s["n_words"] >= LIST_LINES * s["words_per_line"], s["n_words"] < FEW_WORDS
         rare, few, fewer = (z["common_words"] < -x for x in (1.5 * TAIL, 3, 2))
         table = (z["cell_lines"] > 25 * TAIL) & (z["symbol_ratio"] < 20 * TAIL)
-        unread = (z["odd_words"] > 4 * TAIL) | (z["symbol_ratio"] > 8 * TAIL) | (z["alpha_ratio"] < -9 * TAIL)
+        unread = (z["odd_words"] > 3.5 * TAIL) | (z["symbol_ratio"] > 8 * TAIL) | (z["alpha_ratio"] < -9 * TAIL)
         marked = (z["marked_lines"] > 25 * TAIL) | (z["title_lines"] > 0)
         out = np.full(len(stats), "prose", dtype=object)
         out[short & (lines & (rare | (fewer & marked)) | scrap & few)] = "list"
