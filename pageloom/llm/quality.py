@@ -131,11 +131,13 @@ def statistics(text: str, known: _Words, form: str | None = None) -> tuple[str,
     letters = sum(map(len, words))
     ends = sum([x.endswith(_END) for x in lines])
     cells, marked = 0.0, 0
-    if signs or _MAY_BORDER.search(text):
+    rows = _MAY_BORDER.search(text)
+    if signs or rows:
         body = [x for x in lines if not _RULER.match(x)]
-        signs -= sum([len(x) - x.count(" ") for x in lines if _RULER.match(x)])
-        cells = _cells(body)
-        signs -= sum([len(_TICK.match(x).group()) - 1 if _TICK.match(x) else 0 for x in body])
+        if len(body) < len(lines):
+            signs -= sum([len(x) - x.count(" ") for x in lines if _RULER.match(x)])
+        cells = _cells(body) if rows else 0.0
+        signs -= sum([len(m.group()) - 1 for x in body if (m := _TICK.match(x))])
     m = max(1, len(lines))
     marked = sum([_MARK.match(x) is not None for x in lines])
     title = sum([x[0].isupper() for x in lines])

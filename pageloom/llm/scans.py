@@ -14,6 +14,7 @@ tells alone; a second pass gives the places of words that may be misread, by a f
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -93,22 +94,28 @@ def counted_words(form: str) -> tuple[set[str], set[str]]:
     """(words that count the text, other spellings in it) of a readable form. Of the spellings of a word that differ in case
     one counts, the one in lower case where there is one; compounds count whole, in lower case, beside their parts."""
     runs = set((_RUN_ASCII if form.isascii() else _RUN).findall(form))
-    low = {w for w in runs if w == w.lower()}
-    seen, count, other = set(low), set(low), set()
-    for w in runs - low:
+    count, other, seen = runs, set(), set()
+    for w in [w for w in runs if not w.islower()]:
         x = w.lower()
-        (other if x in seen else count).add(w)
-        seen.add(x)
+        if x != w:
+            if x in runs or x in seen:
+                other.add(w)
+            seen.add(x)
+    count -= other
     if "-" in form:
-        count.update([w.lower() for w in _COMPOUND.findall(form)])
+        count.update([w.lower() for x in form.split() if "-" in x for w in _COMPOUND.findall(x)])
     return count, other
 
 
+def _shape(text: str) -> str:
+    """Letters of one shape each."""
+    s = text.lower().replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ii", "u").replace("li", "h")
+    return " ".join(s.translate(_FOLD).split())
+
+
 def _folded(line: str) -> str:
     """A line without page numbers at its ends, in letters of one shape each."""
-    s = (_EDGE_NUMBER.sub("", line).strip() if "  " in line else line).lower()
-    s = s.replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ii", "u").replace("li", "h")
-    return " ".join(s.translate(_FOLD).split())
+    return _shape(_EDGE_NUMBER.sub("", line).strip() if "  " in line else line)
 
 
 def _near(a: str, b: str) -> bool:
@@ -150,34 +157,52 @@ class Reader:
         solid = [i for i, x in enumerate(bare) if x]
         if not solid:
             return set(), set()
-        numbers = {i for i in solid if _PAGE_MARKED.match(bare[i])}
-        maybe = {i for i in solid if i not in numbers and _PAGE_BARE.match(bare[i])}
-        # lines at page edges: next to a form feed, a page number or an end of the text
-        at = {i: k for k, i in enumerate(solid)}
-        edge = set(solid[:TOP]) | set(solid[-BOTTOM:])
-        for k, i in enumerate(solid):
-            if "\f" in lines[i]:
-                edge.update(solid[max(0, k - BOTTOM) : k + TOP])
-            if i in numbers or i in maybe:
-                edge.update(solid[max(0, k - TOP) : k + BOTTOM])
-        folded = {i: f for i in solid if i not in numbers and len(f := _folded(bare[i])) > 3 and any(map(str.isalpha, f))}
-        exact: dict[str, list[int]] = {}
-        for i, f in folded.items():
-            exact.setdefault(f, []).append(i)
+        brief = [i for i in solid if len(bare[i]) <= 24]  # none of the patterns takes more
+        numbers = {i for i in brief if _PAGE_MARKED.match(bare[i])}
+        maybe = {i for i in brief if i not in numbers and _PAGE_BARE.match(bare[i])}
         headers: set[int] = set()
-        starts: dict[str, list[str]] = {}
-        for f in exact:
-            for part in {f[:4] + "^", f[-4:]}:
-                starts.setdefault(part, []).append(f)
-        for i in edge:
-            f = folded.get(i)
-            if f is None or i in headers:
-                continue
-            alike = {g for part in (f[:4] + "^", f[-4:]) for g in starts[part] if _near(f, g)}
-            same = [j for g in alike for j in exact[g]]
-            # not two lines of one stretch of prose
-            if len(same) > 1 and max(abs(at[j] - at[i]) for j in same) > 2 and sum(bare[j][-1] in ".,;" for j in same) * 2 < len(same):
-                headers.update(same)
+        at = {i: k for k, i in enumerate(solid)}
+        if len(solid) > 3:  # two lines of one header have two more between them
+            # lines at page edges: next to a form feed, a page number or an end of the text
+            edge = set(solid[:TOP]) | set(solid[-BOTTOM:])
+            for k, i in enumerate(solid):
+                if "\f" in lines[i]:
+                    edge.update(solid[max(0, k - BOTTOM) : k + TOP])
+                if i in numbers or i in maybe:
+                    edge.update(solid[max(0, k - TOP) : k + BOTTOM])
+            # lines that begin or end as an edge line does, but for the shapes of letters, are folded and compared
+            starts: dict[str, list[int]] = {}
+            ends: dict[str, list[int]] = {}
+            own = {}
+            # alike lines are about as long: an eighth apart, page numbers aside
+            sizes = {n for i in edge for n in range(len(bare[i]) - 8 - len(bare[i]) // 8, len(bare[i]) + 9 + len(bare[i]) // 8)}
+            for i in solid:
+                if i in numbers or len(bare[i]) not in sizes:
+                    continue
+                x = _EDGE_NUMBER.sub("", bare[i]).strip() if "  " in bare[i] else bare[i]
+                own[i] = _shape(x[:9])[:4], _shape(x[-9:])[-4:]
+                starts.setdefault(own[i][0], []).append(i)
+                ends.setdefault(own[i][1], []).append(i)
+            folded: dict[int, str] = {}
+
+            def fold(i: int) -> str:
+                if i not in folded:
+                    folded[i] = _folded(bare[i])
+                return folded[i]
+
+            for i in edge:
+                if i in headers or i not in own:
+                    continue
+                near = {*starts[own[i][0]], *ends[own[i][1]]}
+                if len(near) < 2:
+                    continue
+                f = fold(i)
+                if len(f) < 4 or not any(map(str.isalpha, f)):
+                    continue
+                same = [j for j in near if _near(f, fold(j))]
+                # not two lines of one stretch of prose
+                if len(same) > 1 and max(abs(at[j] - at[i]) for j in same) > 2 and sum(bare[j][-1] in ".,;" for j in same) * 2 < len(same):
+                    headers.update(same)
         for i in maybe - headers:
             k = at[i]
             blank = (i > 0 and not bare[i - 1]) or (i + 1 < len(lines) and not bare[i + 1])
@@ -189,7 +214,7 @@ class Reader:
 
     def line_ends(self, text: str, form: str, lines: list[str], dropped: set[int]) -> dict[int, tuple[str, str, bool]]:
         """``broken`` of every line index where it holds, among the lines of running text."""
-        if not any(h in text for h in _HYPHENS):
+        if not _BROKEN.search(text):
             return {}
         running = [i for i, x in enumerate(lines) if i not in dropped and x.strip(" \f\r\t")]
         clean = form.split("\n")  # nothing in it adds or removes a newline
@@ -235,7 +260,7 @@ class Corpus:
         shapes = [pa.string(), pa.list_(pa.float32()), pa.list_(_KIND), pa.list_(_END), pa.string(), pa.string(), pa.int64()]
 
         def run(batches):
-            reader, known, counts = Reader(), _Words(common), {}
+            reader, known, counts = Reader(), _Words(common), Counter()
             first = None
 
             def batch(kind, rows, words):
@@ -258,8 +283,7 @@ class Corpus:
                     fixed = [{"line": k, "kind": "running_header"} for k in sorted(headers)] + [{"line": k, "kind": "page_number"} for k in sorted(numbers)]
                     out.append((i, lang, s, fixed, [{"line": k, "head": h, "tail": x, "hard": y} for k, (h, x, y) in ends.items()]))
                     count, other = counted_words(form)
-                    for w in count:
-                        counts[w] = counts.get(w, 0) + 1
+                    counts.update(count)
                     for w in other:
                         counts.setdefault(w, 0)
                     for h, x, _ in ends.values():
@@ -356,17 +380,23 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array([signed_key(w) for w in b.column(0).to_pylist()], pa.int64())], names=["key"])
 
 
-class _Suspects(dict):
-    """Whether a word may be misread by the filter, kept per worker; emptied when large."""
+class _Suspects:
+    """The words that may be misread by the filter; what is known is kept per worker and emptied when large."""
 
     def __init__(self, held: Filter):
-        self.held = held
+        self.held, self.known, self.wrong = held, set(), set()
 
-    def __missing__(self, word: str) -> bool:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = may_be_misread(word) and self.held.may_hold(signed_key(word) & ((1 << 64) - 1))
-        return out
+    def among(self, words: set[str]) -> set[str]:
+        new = words - self.known
+        if new:
+            if len(self.known) > 500_000:
+                self.known, self.wrong, new = set(), set(), words
+            self.known |= new
+            self.wrong.update([w for w in new if may_be_misread(w) and self.held.may_hold(signed_key(w) & ((1 << 64) - 1))])
+        return words & self.wrong
+
+
+_BROKEN = re.compile(rf"[{_HYPHENS}][ \r\t]*\n")
 
 
 def _places(docs: DataFrame, corpus: Corpus) -> DataFrame:
@@ -381,14 +411,20 @@ def _places(docs: DataFrame, corpus: Corpus) -> DataFrame:
                 if i is None or not t or t.isspace():
                     continue
                 form = readable_form(t)
-                hyphens = any(h in t for h in _HYPHENS)
-                if not hyphens and not any([suspect[w] for w in (_RUN_ASCII if form.isascii() else _RUN).findall(form)]):
+                wrong = suspect.among(set((_RUN_ASCII if form.isascii() else _RUN).findall(form)))
+                broken = _BROKEN.search(t)
+                if not wrong and not broken:
                     continue
                 lines = t.split("\n")
                 headers, numbers = reader.edges(lines)
                 dropped = headers | numbers
-                for k, ws in reader.words_by_line(form, dropped, reader.line_ends(t, form, lines, dropped)):
-                    for w in {w for w in ws if suspect[w]}:
+                ends = reader.line_ends(t, form, lines, dropped) if broken else {}
+                if broken:  # also of words that stand in two lines
+                    wrong |= suspect.among({h.split("-")[-1] + x for h, x, _ in ends.values()})
+                    if not wrong:
+                        continue
+                for k, ws in reader.words_by_line(form, dropped, ends):
+                    for w in wrong.intersection(ws):
                         ids.append(i)
                         at.append(k)
                         words.append(w)
