@@ -196,15 +196,32 @@ def search_tree(rows: DataFrame, tree, stemmed: bool = True) -> DataFrame:
 
 
 def search_index(posts: DataFrame, stats: DataFrame, tree) -> DataFrame:
-    """``search_tree`` over a stored index: (term, file_id, positions) and (file_id, dl)."""
+    """``search_tree`` over an index: (term, file_id, positions) and (file_id, dl)."""
     return _ranked(tree, lambda wanted: _from_postings(posts, wanted), stats)
 
 
-def _ranked(tree, hits_of, stats: DataFrame) -> DataFrame:
+def search_postings(posts: DataFrame, tree, n: int, tokens: int, df_of=None) -> DataFrame:
+    """``search_index`` over postings that hold the length of their document (dl), with the number of documents and tokens known.
+
+    ``df_of`` gives the document frequencies of terms, from a stored vocabulary; with it a query of plain words is one scan of
+    their postings and nothing else is read.
+    """
+    found = leaves(tree)
+    plain = df_of is not None and all(len(p.terms) == 1 and not p.prefix and not p.first for p in found)
+    df = df_of(sorted({p.terms[0] for p in found})) if plain and found else None
+
+    def hits(wanted):
+        cols = [F.array_sort(F.flatten(F.collect_list(F.when(_is(t, pre), F.col("positions"))))).alias(f"p{k}") for k, (t, pre) in enumerate(wanted)]
+        return posts.filter(_any([_is(t, pre) for t, pre in wanted])).groupBy("file_id").agg(F.max("dl").alias("dl"), *cols)
+
+    return _ranked(tree, hits, None, (n, tokens), df)
+
+
+def _ranked(tree, hits_of, stats: DataFrame | None, totals: tuple[int, int] | None = None, df: dict[str, int] | None = None) -> DataFrame:
     tree = _same_leaves(tree)
     found = leaves(tree)
     if not found:
-        return stats.select("file_id", F.lit(0.0).alias("score")).limit(0)
+        return (stats if stats is not None else hits_of([("", False)])).select("file_id", F.lit(0.0).alias("score")).limit(0)
     wanted = _wanted(found)
     hits, at = hits_of(wanted), {w: F.col(f"p{k}") for k, w in enumerate(wanted)}
     starts = {}
@@ -212,17 +229,22 @@ def _ranked(tree, hits_of, stats: DataFrame) -> DataFrame:
     for k, p in enumerate(found):
         hits = hits.withColumn(f"s{k}", _runs([at[(t, p.prefix and i == len(p.terms) - 1)] for i, t in enumerate(p.terms)], p))
         starts[id(p)] = F.col(f"s{k}")
-    hits = hits.select("file_id", *[f"s{k}" for k in range(len(found))])
-    total = stats.agg(F.count("*").alias("n"), F.sum("dl").alias("t")).first()
-    n, avg = total["n"], (total["t"] or 0) / max(1, total["n"]) or 1.0
-    seen = hits.agg(*[F.count_if(F.size(f"s{k}") > 0).alias(f"d{k}") for k in range(len(found))]).first()
-    idfs = {id(p): idf(n, seen[f"d{k}"]) for k, p in enumerate(found)}
+    own = ["dl"] if stats is None else []
+    hits = hits.select("file_id", *own, *[f"s{k}" for k in range(len(found))])
+    n, tokens_ = totals or stats.agg(F.count("*").alias("n"), F.sum("dl").alias("t")).first()
+    avg = (tokens_ or 0) / max(1, n) or 1.0
+    if df is None:
+        seen = hits.agg(*[F.count_if(F.size(f"s{k}") > 0).alias(f"d{k}") for k in range(len(found))]).first()
+        idfs = {id(p): idf(n, seen[f"d{k}"]) for k, p in enumerate(found)}
+    else:
+        idfs = {id(p): idf(n, df.get(p.terms[0], 0)) for p in found}
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avg))
 
     def part(f: Column, w: float) -> Column:
         return F.lit(w) * f * F.lit(K1 + 1) / (f + norm)
 
-    matched = hits.filter(_matches(tree, starts)).join(stats, "file_id")
+    matched = hits.filter(_matches(tree, starts))
+    matched = matched if stats is None else matched.join(stats, "file_id")
     parts = _scored(tree, starts, None, idfs, part)
     score = parts[0]
     for p in parts[1:]:
@@ -248,7 +270,9 @@ def search_batch(rows: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     Scores are ranked per query; hits of one query are spread over file_id before they meet, so that a frequent term is
     first cut to ``limit`` rows in every part.
     """
-    posts = postings(rows).select("term", "file_id", F.size("positions").alias("f"))
+    t = token_rows(rows).select("file_id", "token")
+    words = porter.with_stem(t.select("token").distinct(), "token", "term").join(queries.select("term").distinct(), "term", "left_semi")
+    posts = t.join(words, "token").groupBy("term", "file_id").agg(F.count("*").alias("f"))
     stats = docstats(rows)
     total = stats.agg(F.count("*").alias("n"), F.sum("dl").alias("t")).first()
     n, avg = total["n"], (total["t"] or 0) / max(1, total["n"]) or 1.0
@@ -369,19 +393,23 @@ def search_fuzzy(rows: DataFrame, raw: str, limit: int = 20, most: int | None =
     A query with anything quoted is never widened; neither are prefixes. Scores of the two tiers can't be compared.
     Widening works on the tree and on stored stems, so that operators beside a widened word stay what they are.
     """
-    tree = plan(raw)
-    exact = search_tree(rows, tree)
+    best = fuzzy_best(plan(raw), raw, limit, most, lambda tree: search_tree(rows, tree), lambda: vocabulary(rows, stemmed=True))
+    return F.broadcast(best).join(rows, "file_id").select("tier", "path", "score", "mtime", "lang", "file_id")
+
+
+def fuzzy_best(tree, raw: str, limit: int, most: int | None, run, words_of) -> DataFrame:
+    """(file_id, score, tier) of ``search_fuzzy``: ``run`` searches a tree, ``words_of`` gives the vocabulary (term, cnt)."""
+    exact = run(tree)
     first = exact.withColumn("tier", F.lit(0))
     text = sanitize(raw)
     wide = None
     if '"' not in text and exact.limit(limit).count() < limit:
         typed = {porter.stem(fold_py(w)): fold_py(w) for w in text.split() if is_bareword(w) and not w.endswith("*")}
-        wide = widen(cut(vocabulary(rows, stemmed=True)), tree, most, typed)
+        wide = widen(cut(words_of()), tree, most, typed)
     if wide is not None:
-        more = search_tree(rows, wide).join(exact.select("file_id"), "file_id", "left_anti")
+        more = run(wide).join(exact.select("file_id"), "file_id", "left_anti")
         first = first.unionByName(more.withColumn("tier", F.lit(1)))
-    best = first.orderBy("tier", "score", "file_id").limit(limit)
-    return F.broadcast(best).join(rows, "file_id").select("tier", "path", "score", "mtime", "lang", "file_id")
+    return first.orderBy("tier", "score", "file_id").limit(limit)
 
 
 # ----------------------------------------------------------------------- excerpt

@@ -132,7 +132,16 @@ def substring_bm25(spark, d):
     return _hits(S.search_substring(_docs(spark, d), "oster"))
 
 
-@query()
+@query(
+    f"""WITH {R.STEMS}, v AS (SELECT term, count(*) AS cnt FROM st GROUP BY 1),
+q AS (SELECT * FROM (VALUES (1, 'barcdoe', 7, 2), (1, 'barcdo', 7, 2), (1, 'barcd', 7, 2), (2, 'fraem', 5, 1), (2, 'frae', 5, 1), (2, 'fra', 5, 1)) t(g, q, n, most)),
+near AS (SELECT g, term, cnt, min(damerau_levenshtein({R.shape('q.q')}, {R.shape('term')})) AS dist FROM v, q
+ WHERE length(term) BETWEEN n - most - 2 AND n + most AND term NOT IN ('barcdoe', 'fraem') AND damerau_levenshtein({R.shape('q.q')}, {R.shape('term')}) <= most GROUP BY ALL),
+leaf AS (SELECT g, term FROM near QUALIFY row_number() OVER (PARTITION BY g ORDER BY dist, cnt DESC, term) <= 16),
+p AS (SELECT term, file_id, count(*) AS f FROM st GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT p.file_id, count(DISTINCT g) AS groups, -sum({R.bm25("f", "df", "len(c.l)")}) AS score FROM leaf JOIN p USING (term) JOIN dfs USING (term) JOIN c ON c.file_id = p.file_id CROSS JOIN total GROUP BY 1)
+SELECT 1 AS tier, '/doc/' || s.file_id AS path, round(score, 6) AS score, CAST(0.0 AS DOUBLE) AS mtime, lang, s.file_id FROM s JOIN documents ON doc_id = s.file_id WHERE groups = 2 ORDER BY s.score, s.file_id LIMIT 20"""
+)
 def fuzzy_search_two_tier(spark, d):
     return _hits(S.search_fuzzy(_docs(spark, d), "barcdoe fraem"))
 
@@ -158,7 +167,11 @@ def result_tsv(spark, d):
     return S.as_tsv(_hits(S.search(_docs(spark, d), "poster")), verbose=True)
 
 
-@query()
+@query(
+    """SELECT '{"path":"' || path || '","score":' || CAST(score AS VARCHAR) || ',"mtime":0.0,"lang":' || coalesce('"' || lang || '"', 'null') || '}' AS value FROM ("""
+    + R.ranked(R.STEMS, {"x": R.term("poster")}, "x.f > 0")
+    + ")"
+)
 def result_json(spark, d):
     return S.as_json(_hits(S.search(_docs(spark, d), "poster")))
 
@@ -186,19 +199,22 @@ def fuzzy_expand_d1(spark, d):
     return S.expand_term(S.vocabulary(_docs(spark, d)), "postr", 1)
 
 
-@query()
+@query(
+    f"""WITH {R.TOK}, v AS (SELECT token AS term, count(*) AS cnt FROM tok GROUP BY 1),
+q AS (SELECT 'photgraph' AS q UNION ALL SELECT 'photgrap' UNION ALL SELECT 'photgra')
+SELECT term, min(damerau_levenshtein({R.shape('q.q')}, {R.shape('term')}))::INT AS distance, cnt FROM v, q
+WHERE length(term) BETWEEN 5 AND 11 AND term <> 'photgraph' AND damerau_levenshtein({R.shape('q.q')}, {R.shape('term')}) <= 2
+GROUP BY term, cnt ORDER BY distance, cnt DESC, term LIMIT 16"""
+)
 def fuzzy_expand_d2(spark, d):
     return S.expand_term(S.vocabulary(_docs(spark, d)), "photgraph", 2)
 
 
-@query(
-    f"""WITH {R.TOK}, v AS (SELECT DISTINCT token AS term FROM tok WHERE length(token) BETWEEN 4 AND 8)
-SELECT term, least(2, damerau_levenshtein({R.shape('term')}, '{X.shape_py("frame")}'))::INT AS distance FROM v"""
-)
+@query()
 def osa_distance(spark, d):
-    """Distances beyond one count as two: the unrestricted distance of the SQL agrees with this one up to there."""
-    v = S.vocabulary(_docs(spark, d)).select("term").filter(F.length("term").between(4, 8))
-    return v.select("term", F.least(F.lit(2), X.osa_col(X.shape(F.col("term")), F.lit(X.shape_py("frame")))).cast("int").alias("distance"))
+    """Distances of all words to one, whole. SQL has the unrestricted distance only; tests compare with brute force."""
+    v = S.vocabulary(_docs(spark, d)).select("term")
+    return v.select("term", X.osa_col(X.shape(F.col("term")), F.lit(X.shape_py("frame"))).cast("int").alias("distance"))
 
 
 # ---------------------------------------------------------------- text values
@@ -226,9 +242,9 @@ def sanitize_queries(spark, d):
     return table(spark, d, "files").select("path", X.sanitize_col(F.col("path")).alias("query")).distinct()
 
 
-@query("SELECT DISTINCT path, regexp_matches(path, '(?i)[^/\\\\]\\.(jpg|jpeg|png|webp|gif|bmp|tiff|tif)$') AS supported FROM watch_events WHERE path IS NOT NULL")
+@query("SELECT DISTINCT path, regexp_matches(path, '(?i)[^/\\\\]\\.(jpg|jpeg|png|webp|gif|bmp|tiff|tif)$') AS supported FROM watch_events")
 def supported_extension(spark, d):
-    return table(spark, d, "watch_events").filter("path is not null").select("path", is_image(F.col("path")).alias("supported")).distinct()
+    return table(spark, d, "watch_events").select("path", is_image(F.col("path")).alias("supported")).distinct()
 
 
 @query(
@@ -244,9 +260,9 @@ def mtime_seconds(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(X.unix_seconds((F.col("label").cast("long") * 1000003 - 3000000).cast("double")), 6).alias("seconds"))
 
 
-@query("SELECT event_id, strftime(make_timestamp(CAST(floor(mtime) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at FROM watch_events WHERE mtime IS NOT NULL")
+@query("SELECT event_id, strftime(make_timestamp(CAST(floor(mtime) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at FROM watch_events")
 def iso_timestamps(spark, d):
-    return table(spark, d, "watch_events").filter("mtime is not null").select("event_id", X.iso8601(F.floor("mtime")).alias("at"))
+    return table(spark, d, "watch_events").select("event_id", X.iso8601(F.floor("mtime")).alias("at"))
 
 
 @query(
@@ -380,11 +396,13 @@ def _results(spark, d):
 
 @query(
     f"""WITH {_DISK}, {_STORED}, {_RESULTS}, ok AS (SELECT * FROM results WHERE status <> 'failed'),
-fresh AS (SELECT path, mtime, (SELECT max(id) FROM stored) + row_number() OVER (ORDER BY path) AS id FROM ok WHERE path NOT IN (SELECT path FROM stored))
-SELECT s.id, s.path, coalesce(o.mtime, s.mtime) AS mtime, o.path IS NOT NULL AS written FROM stored s LEFT JOIN ok o USING (path) UNION ALL SELECT id, path, mtime, true FROM fresh"""
+fresh AS (SELECT path, mtime, status, (SELECT max(id) FROM stored) + row_number() OVER (ORDER BY path) AS id FROM ok WHERE path NOT IN (SELECT path FROM stored))
+SELECT s.id, s.path, coalesce(o.mtime, s.mtime) AS mtime, CASE WHEN o.path IS NULL THEN '2026-01-01T00:00:00Z' ELSE '2026-02-02T00:00:00Z' END AS indexed_at, CASE WHEN o.path IS NULL THEN 'eng' ELSE 'deu' END AS lang,
+ CASE WHEN o.status = 'text' THEN s.path WHEN o.path IS NOT NULL THEN '' END AS text, o.path IS NOT NULL AS written FROM stored s LEFT JOIN ok o USING (path)
+UNION ALL SELECT id, path, mtime, '2026-02-02T00:00:00Z', 'deu', CASE WHEN status = 'text' THEN path ELSE '' END, true FROM fresh"""
 )
 def index_upsert(spark, d):
-    return I.upsert(_stored(spark, d), _results(spark, d), "2026-02-02T00:00:00Z", "deu").select("id", "path", "mtime", "written")
+    return I.upsert(_stored(spark, d), _results(spark, d), "2026-02-02T00:00:00Z", "deu").select("id", "path", "mtime", "indexed_at", "lang", "text", "written")
 
 
 @query(

@@ -37,19 +37,21 @@ def directive(state: State, start: State, line: str) -> State | None:
     return None
 
 
-def run_query(store: IndexStore, raw: str, state: State) -> list[str]:
-    rows = store.corpus()
+def find(store: IndexStore, raw: str, state: State):
+    """The hits of a query in order, as a DataFrame of at most ``limit`` rows."""
     if state.matcher == "substring":
-        hits = S.search_substring(rows, raw, state.limit)
+        hits = S.search_substring(store.corpus(), raw, state.limit)
     elif state.matcher == "fuzzy":
-        hits = S.search_fuzzy(rows, raw, state.limit, state.distance)
+        hits = store.search_fuzzy(raw, state.limit, state.distance)
     else:
         hits = store.search(raw, state.limit)
     if state.snippet:
-        hits = (S.with_snippet_substring if state.matcher == "substring" else S.with_snippet)(rows, hits, raw)
-    order = ["tier", "score", "file_id"] if "tier" in hits.columns else ["score", "file_id"]
-    hits = hits.orderBy(*order)
-    return [r[0] for r in S.as_tsv(hits, state.verbose).collect()]
+        hits = (S.with_snippet_substring if state.matcher == "substring" else S.with_snippet)(store.texts_of(hits), hits, raw)
+    return hits.orderBy(*(["tier", "score", "file_id"] if "tier" in hits.columns else ["score", "file_id"]))
+
+
+def run_query(store: IndexStore, raw: str, state: State) -> list[str]:
+    return [r[0] for r in S.as_tsv(find(store, raw, state), state.verbose).collect()]
 
 
 def serve(store: IndexStore, lines: Iterable[str], start: State = State()) -> Iterator[str]:

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from ..operators.incremental import IMAGE_EXTENSIONS
 
-#: Largest width or height, and bytes of a decoded image.
-MOST_PIXELS, MOST_BYTES = 32768, 512 << 20
-
-
 def is_supported(path: str) -> bool:
     root, ext = os.path.splitext(path)
     return bool(os.path.basename(root)) and ext[1:].lower() in IMAGE_EXTENSIONS
@@ -46,7 +42,13 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     except OSError:
         top = []
     dirs = [e.path for e in top if e.is_dir(follow_symlinks=False)]
-    here = [(e.path, max(0.0, e.stat().st_mtime)) for e in top if e.is_file() and is_supported(e.path)]
+    here = []
+    for e in top:
+        try:
+            if is_supported(e.path) and e.is_file():
+                here.append((e.path, max(0.0, e.stat().st_mtime)))
+        except OSError:  # gone since it was listed
+            continue
 
     def run(frames):
         for f in frames:

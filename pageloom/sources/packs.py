@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import verified
 
 
+def catalogue(spark: SparkSession, path: str | None) -> DataFrame:
+    """The table of packs (code, name, iso1, kind, size, sha256) at ``path``; empty without one."""
+    schema = "code string, name string, iso1 string, kind string, size long, sha256 string"
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
+
+
 def matching(packs: DataFrame, text: str | None = None) -> DataFrame:
     """Packs whose code or name holds the text, in any case; all without a text."""
     if not text:

@@ -140,3 +140,70 @@ def test_upsert_of_many_rows(spark):
     results = spark.range(n).selectExpr("concat('/', xxhash64(id)) as path", "1.0 as mtime", "'text' as status", "repeat('y', int(id % 50)) as text")
     got = I.upsert(files, results, "t1", "deu").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.max("id").alias("high")).first()
     assert tuple(got) == (n + 1, n + 1, n + 7)
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    import json
+
+    from pageloom import cli
+
+    d, db = tmp_path / "img", f"file://{tmp_path}/idx"
+    d.mkdir()
+    for n, t in (("a.png", "the invoice total is due"), ("b.png", "invoice draft")):
+        (d / n).write_text("x")
+        (d / f"{n}.txt").write_text(t)
+    (d / "bad.png").write_text("x")
+    run = lambda *a: (cli.main(["--db", db, *a]), capsys.readouterr())
+    code, out = run("index", str(d), "--failed-log", f"{tmp_path}/failed")
+    assert code == 0 and json.loads(out.out)["failed"] == 1
+    assert [r.value for r in spark.read.text(f"{tmp_path}/failed").collect()] == [f"{os.path.realpath(d / 'bad.png')}\tdecode or engine failure"]
+    code, out = run("search", "total", "--json")
+    hit = json.loads(out.out)
+    assert code == 0 and list(hit) == ["path", "score", "mtime", "lang", "snippet"] and hit["snippet"] == "the invoice [total] is due"
+    assert "snippet" not in json.loads(run("search", "total", "--json", "--no-snippet")[1].out)
+    assert run("search", "xyzzy", "--open")[0] == 1
+    code, out = run("search", "xyzzy", "--json")
+    assert code == 0 and not out.out and "fuzzy" in out.err
+    assert "a.png" in run("search", "totl", "--fuzzy")[1].out
+    assert run("search", "AND")[0] == 2 and run("index", str(d), "--lang", "osd")[0] == 2 and run("index", str(d), "--min-conf", "101")[0] == 2
+    assert json.loads(run("doctor", "--json")[1].out)["index"]["file_count"] == 2
+    assert run("watch", str(tmp_path))[0] == 2  # the index lies inside
+    monkeypatch.setenv("TESSDATA_PREFIX", str(tmp_path))
+    (tmp_path / "eng.traineddata").write_text("x")
+    assert run("lang", "list")[1].out == "eng\n" and run("lang", "remove", "eng")[0] == 2 and run("lang", "remove", "eng", "--yes")[0] == 0 and run("lang", "path")[1].out.strip() == str(tmp_path)
+
+
+def test_watch_loop(spark, tmp_path):
+    from pageloom.streaming.watch import watch
+
+    d = tmp_path / "img"
+    d.mkdir()
+
+    def image(name, text, at):
+        (d / name).write_text("x")
+        (d / f"{name}.txt").write_text(text)
+        os.utime(d / name, (at, at))
+
+    image("a.png", "invoice total", 1000)
+    image("b.png", "grocery list", 2000)
+    store = IndexStore.open(spark, f"file://{tmp_path}/idx")
+    index_directory(store, str(d))
+
+    class Clock:
+        now, k = 0.0, 0
+
+        def time(self):
+            return self.now
+
+        def sleep(self, s):
+            self.k += 1
+            self.now += 2
+            if self.k == 1:
+                os.rename(d / "a.png", d / "moved.png")
+                os.remove(d / "b.png")
+                image("c.png", "storm warning", 3000)
+
+    said = []
+    got = list(watch(store, str(d), quiet=3.0, report=said.append, rounds=4, clock=Clock()))
+    assert got == [{"renamed": 1, "deleted": 1, "indexed": 1, "failed": 0}] and said == ["ready"]
+    assert [os.path.basename(r.path) for r in store.search("invoice").collect()] == ["moved.png"] and store.search("storm").count() == 1 and store.search("grocery").isEmpty()

@@ -2,6 +2,7 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from pageloom.functions.text import sanitize
 from pageloom.operators import search as S
@@ -94,3 +95,12 @@ def test_empty_corpus(spark):
     rows = S.corpus(spark.createDataFrame([], "doc_id long, text string"))
     assert S.search(rows, "invoice").isEmpty() and S.search_substring(rows, "invoice").isEmpty()
     assert S.search_fuzzy(rows, "invoice").isEmpty() and S.vocabulary(rows).isEmpty()
+
+
+def test_osa_distance_against_brute_force(spark):
+    from pageloom.functions import text as X
+
+    words = ["", "frame", "farme", "frmae", "ca", "abc", "1nvo1ce", "modern", "framework", "x" * 30]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    got = df.select("a", "b", X.osa_col(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == X.osa(r.a, r.b, 99) for r in got)
