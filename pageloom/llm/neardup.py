@@ -190,6 +190,9 @@ def _settle(idx: np.ndarray, short: np.ndarray, found: list, stars: list, last:
     s, n = short[idx], len(idx)
     mask, balls = np.zeros(n, np.uint32), []
     open_pairs = n * (n - 1) / 2
+    # a few members tell whether many are alike at all
+    if not last and max((_agree(s, s[at]) >= BALL).sum() for at in (0, n // 2, n - 1)) < BALL_LEAST:
+        return False
     for _ in range(CENTRES):
         rest = np.flatnonzero(mask == 0)
         if len(rest) < BALL_LEAST or open_pairs <= n:

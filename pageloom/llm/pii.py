@@ -86,17 +86,29 @@ _NAME_OF_DIGIT = "(?:" + "|".join(sorted(_DIGIT_OF, key=len, reverse=True)) + ")
 _ONE = rf"(?:(?:double|triple)[\s-]+)?{_NAME_OF_DIGIT}"
 _SAID = rf"(?i:\b{_ONE}(?:[\s,-]{{1,2}}(?:{_ONE}|\d+))+\b)"
 _SPACED = r"(?<![\w.,/-])\d(?: \d){6,}(?![\w]|[.,]\d)"
-_RULES = re.compile(rf"(?P<dot>{_DOT_SAID})|(?P<at>{_AT_SAID})|(?P<said>{_SAID})|(?P<spaced>{_SPACED})")
+_SIGN_RULES, _DIGIT_RULES = rf"(?P<dot>{_DOT_SAID})|(?P<at>{_AT_SAID})", rf"(?P<said>{_SAID})|(?P<spaced>{_SPACED})"
+#: The rules that may apply, by whether there are written-out signs and digits.
+_RULES = {(True, True): re.compile(f"{_SIGN_RULES}|{_DIGIT_RULES}"), (True, False): re.compile(_SIGN_RULES), (False, True): re.compile(_DIGIT_RULES)}
 _DIGIT_TOKEN = re.compile(rf"(?i)(double|triple)[\s-]+({_NAME_OF_DIGIT})|({_NAME_OF_DIGIT})|(\d)")
-#: Cheap test for a text in which a rule may apply.
-_MAY_RULE = re.compile(r"@|[\[({<]\s?(?:at|AT|dot|DOT|\.|punkt|point|točka)|\s(?:at|AT)\s\S+(?:\.[a-z]|\s(?:dot|DOT)\s|[\[({])|\d \d \d \d|" + rf"(?i:\b{_NAME_OF_DIGIT}[\s,-]+{_NAME_OF_DIGIT}\b)")
+#: Cheap tests for a text in which a rule may apply, by its words and signs.
+_DIGIT_WORDS, _SIGN_WORDS = frozenset(_DIGIT_OF), frozenset(("at", "AT", "dot", "DOT", "punkt", "point", "točka"))
+_MAY_SIGN = re.compile(r"[\[({<]\s?(?:at|AT|dot|DOT|\.|punkt|point|točka)\b|\s(?:at|AT)\s\S+(?:\.[a-z]|\s(?:dot|DOT)\s|\s?[\[({])|\s(?:dot|DOT)\s")
+_MAY_SPACED = re.compile(r"\d \d \d \d")
+
+
+def _may_rules(t: str, words: set[str]) -> tuple[bool, bool]:
+    signs = "@ " in t or " @" in t or "@\n" in t or "\n@" in t or "(." in t or "[." in t or "(@" in t or "[@" in t or not words.isdisjoint(_SIGN_WORDS) and _MAY_SIGN.search(t) is not None
+    return signs, _MAY_SPACED.search(t) is not None or len(_DIGIT_WORDS.intersection(map(str.lower, words))) + bool(words & {"double", "triple"}) > 1
+
+
 #: Fewest digits that spelled digits have to give together.
 LEAST_SAID = 6
 
 
-def said_as_signs(t: str) -> tuple[str, list[int] | None]:
+def said_as_signs(t: str, words: set[str] | None = None) -> tuple[str, list[int] | None]:
     """``t`` with written-out signs and digits as signs and digits, and per character the index in ``t``; None if unchanged."""
-    if not _MAY_RULE.search(t):
+    rules = _RULES.get(_may_rules(t, set(_tokens(t).findall(t)) if words is None else words))
+    if rules is None:
         return t, None
     out: list[str] = []
     source: list[int] = []
@@ -106,7 +118,7 @@ def said_as_signs(t: str) -> tuple[str, list[int] | None]:
         out.append(piece)
         source.extend(places)
 
-    for m in _RULES.finditer(t):
+    for m in rules.finditer(t):
         a, b = m.span()
         kind = m.lastgroup
         if kind in ("at", "dot"):
@@ -288,6 +300,20 @@ def _plain(word: str) -> str:
     return word.lower().replace("’", "'")
 
 
+class _Marks(dict):
+    """Marks of a word that occurs, kept per worker; emptied when large."""
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        x = _plain(word)
+        out = self[word] = ("w" + x, "l" + x) if word[0] == x[0] else ("w" + x,)
+        return out
+
+
+_marks = _Marks()
+
+
 def name_evidence(text: str) -> tuple[set[str], set[tuple[str, str]]]:
     """(marks of words, pairs) of a text. Marks: ``w`` occurs, ``l`` occurs in lower case, ``g`` and ``s`` given name and surname
     by a phrase, ``t`` surname after a form of address; each before the word. Pairs: the last two words of
@@ -296,10 +322,7 @@ def name_evidence(text: str) -> tuple[set[str], set[tuple[str, str]]]:
     words = set(_tokens(form).findall(form))
     out = set()
     for w in words:
-        x = _plain(w)
-        out.add("w" + x)
-        if w[0] == x[0]:
-            out.add("l" + x)
+        out.update(_marks[w])
     pairs = set()
     for m in _RUN.finditer(form):
         parts = m.group().split()
@@ -390,17 +413,20 @@ def name_roles(docs: DataFrame, text: str = "content") -> DataFrame:
 _NEAR = re.compile(r"(?:\.?|,)[ \n]{1,2}")
 
 
-class _Held(dict):
-    """Whether a word may be a name by the filter, kept per worker; emptied when large."""
+class _Held:
+    """The words that may be names by the filter; what is known is kept per worker and emptied when large."""
 
     def __init__(self, held: Filter):
-        self.held = held
+        self.held, self.known, self.names = held, set(), set()
 
-    def __missing__(self, word: str) -> bool:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = len(word) > 1 and self.held.may_hold(signed_key(_plain(word)) & ((1 << 64) - 1))
-        return out
+    def among(self, words: set[str]) -> set[str]:
+        new = words - self.known
+        if new:
+            if len(self.known) > 500_000:
+                self.known, self.names, new = set(), set(), words
+            self.known |= new
+            self.names.update([w for w in new if len(w) > 1 and self.held.may_hold(signed_key(_plain(w)) & ((1 << 64) - 1))])
+        return words & self.names
 
 
 class Finder:
@@ -410,11 +436,10 @@ class Finder:
         self.held = _Held(held)
         self.title = re.compile(rf"\b{_TITLE}[ \n]{{1,2}}$")
 
-    def stretches(self, t: str, taken: bytearray) -> list[tuple[int, int, bool]]:
+    def stretches(self, t: str, taken: bytearray, held: set[str]) -> list[tuple[int, int, bool]]:
         """(start, end, after a form of address) of the longest stretches of words that may be names, with initials and
         particles between them, outside of what is taken."""
-        held = self.held
-        if not any([held[w] for w in _tokens(t).findall(t)]):
+        if not held:
             return []
         out, run = [], []  # run: (start, end, held)
 
@@ -430,7 +455,7 @@ class Finder:
         for m in _tokens(t).finditer(t):
             a, b = m.span()
             w = m.group()
-            hold = held[w] and not any(taken[a:b])
+            hold = w in held and not any(taken[a:b])
             part = hold or len(w) == 1 and w.isupper() and t[b : b + 1] == "." or w.lower() in _PARTICLES
             if run and not (part and _NEAR.fullmatch(t, run[-1][1], a)):
                 close()
@@ -443,7 +468,8 @@ class Finder:
         """(spans, stretches): (start, end, kind) of all but names in characters of ``text``, without overlaps; and for names
         (start, end, after a form of address, the stretch, places of its characters in ``text`` or None where they run on)."""
         t, source = deobfuscated(text)
-        u, inner = said_as_signs(t)
+        words = set(_tokens(t).findall(t))
+        u, inner = said_as_signs(t, words)
         found: list[tuple[int, int, str]] = []
         taken = bytearray(len(t))
 
@@ -471,7 +497,7 @@ class Finder:
                     take(*place(a, m.end()), "phone")
         for a, b in addresses(t):
             take(a, b, "street_address")
-        names = [(a, b, titled, t[a:b], None if source is None else source[a:b] + [source[b] if b < len(source) else len(text)]) for a, b, titled in self.stretches(t, taken)]
+        names = [(a, b, titled, t[a:b], None if source is None else source[a:b] + [source[b] if b < len(source) else len(text)]) for a, b, titled in self.stretches(t, taken, self.held.among(words))]
         if source is not None:
             end = len(text)
             found = [(source[a], source[b] if b < len(source) else end, k) for a, b, k in found]
