@@ -140,10 +140,9 @@ def one_script(text: str) -> str:
         w = m.group()
         pieces.append(text[at : m.start()])
         at = m.end()
-        plain = foreign.sub("", w)
         if w.isascii():
-            own = None if all(c in _TO_CYRILLIC for c in w) and last == "c" else "l"
-        elif _CYRILLIC.search(plain):
+            own = None if last == "c" and all(c in _TO_CYRILLIC for c in w) else "l"
+        elif _CYRILLIC.search(plain := foreign.sub("", w)):
             own = "c"
         elif latin.search(plain) and not all(c in _TO_CYRILLIC for c in latin.findall(plain)):
             own = "l"
@@ -166,18 +165,26 @@ def one_script(text: str) -> str:
     return "".join(pieces)
 
 
+def _mapped(text: str) -> str:
+    """``text`` with characters mapped or dropped by the table of ``base``; they are few, and translating looks at all."""
+    base, drop = _tables()[0], _finders()[0]
+    found = set(drop.findall(text))
+    if len(found) > 16:
+        return text.translate(base)
+    for c in found:
+        text = text.replace(c, base[ord(c)] or "")
+    return text
+
+
 def readable_form(text: str | None) -> str | None:
     """The normal form before case folding."""
     if text is None:
         return None
-    base, _, _, _, _ = _tables()
     if text.isascii():
         return text.replace("\t", " ")
-    drop = _finders()[0]
-    out = text.translate(base) if drop.search(text) else text
+    out = _mapped(text)
     if not unicodedata.is_normalized("NFKC", out):
-        out = unicodedata.normalize("NFKC", out)
-        out = out.translate(base) if drop.search(out) else out
+        out = _mapped(unicodedata.normalize("NFKC", out))
     return out if out.isascii() else unicodedata.normalize("NFC", one_script(out))
 
 

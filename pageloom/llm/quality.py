@@ -43,12 +43,19 @@ LIST_LINES, FEW_WORDS = 5, 5
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœаеёиоуыэюяАЕЁИОУЫЭЮЯ"
+_VOWEL = re.compile(f"[{_VOWELS}]")
 _CONSONANTS = re.compile(rf"[^{_VOWELS}\W\d_]{{4}}")
-_WORD_ASCII = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
+_ASCII = bytes(range(128))
+#: ASCII characters as they are if letters or apostrophes, else as blanks; other characters that are no part of a word.
+_LETTERS = bytes(c if c > 127 or chr(c).isalpha() or chr(c) == "'" else 32 for c in range(256))
+_NO_LETTER = re.compile(r"[^\x00-\x7f\w’]")
 _MARK = re.compile(r"^\s*(?:[•·▪◦*–—-]\s|\d+\s*[x×]\s|\(?\d{1,3}[.)]\s|[a-z][.)]\s|\[[ xX]?\]\s|☐|□)")
-#: Cell borders of a table row; a comma counts where no space follows it.
-_BORDERS = (re.compile(r"\t"), re.compile(r"\|"), re.compile(r";"), re.compile(r"(?<=\S) {2,}(?=\S)"), re.compile(r",(?! )"))
-_MAY_BORDER = re.compile(r"[\t|;]|\S  +\S|,(?! )")
+_GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
+#: Numbers of cell borders of each sort in a table row; a comma counts where no space follows it.
+_BORDERS = (
+    lambda x: x.count("\t"), lambda x: x.count("|"), lambda x: x.count(";"),
+    lambda x: len(_GAP.findall(x)) if "  " in x else 0, lambda x: x.count(",") - x.count(", "),
+)
 _END = tuple(".!?:…\"»”)")
 #: Signs that prose hardly has, and lines that only draw.
 _ODD_ASCII = b"#*+<=>@[\\]^_`{|}~"
@@ -60,13 +67,34 @@ _LEADER = re.compile(r"\.{4,}")
 _CODE = re.compile(r"\b[A-Z]{1,4}-?\d[\d-]*\b")
 
 
+def split_at(text: str, kept: bytes, other: re.Pattern, found: re.Pattern) -> list[str]:
+    """What ``found`` finds, as runs of characters between others: ASCII ones that the table ``kept`` makes blanks, and those
+    that ``other`` matches. A table and a split take a third of the time of a pattern."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if not text.isascii():
+        apart = set(other.findall(raw.translate(None, _ASCII).decode("utf-8", "surrogatepass")))
+        if len(apart) > 32:  # replacing one after the other takes longer
+            return found.findall(text)
+        for c in apart:
+            raw = raw.replace(c.encode("utf-8", "surrogatepass"), b" ")
+    return raw.translate(kept).decode().split()
+
+
+def words_of(text: str) -> list[str]:
+    """What ``_WORD`` finds."""
+    words = split_at(text, _LETTERS, _NO_LETTER, _WORD)
+    if not "".join(words).isalpha():  # apostrophes, digits of other scripts
+        words = [x for w in words for x in ((w,) if w.isalpha() else _WORD.findall(w))]
+    return words
+
+
 def _odd(word: str) -> bool:
     """True for a string of letters that no language here would write as a word: no vowel, four consonants in too short a
     word, a doubled consonant at the start, or capitals inside. One or two letters have to be a frequent word."""
     w = word.lower()
     if len(w) < 3:
         return w != "x"  # the sign of a count
-    if not any(c in _VOWELS for c in w):
+    if not _VOWEL.search(w):
         return True
     if word[1:] != w[1:] and not word.isupper() and sum(c.isupper() for c in word[1:]) >= 2:
         return True
@@ -94,9 +122,11 @@ class _Words(dict):
 
 def _cells(lines: list[str]) -> float:
     """Share of the lines that have as many cells as most, three at least, with few words each."""
-    best = 0
-    for p in _BORDERS:
-        counts = Counter([n for x in lines if (n := len(p.findall(x))) >= 2 and x.count(" ") - x.count("  ") * 2 <= 3 * (n + 1) + 1])
+    best, all_lines = 0, "\n".join(lines)
+    for borders in _BORDERS:
+        if borders(all_lines) < 2:
+            continue
+        counts = Counter([n for x in lines if (n := borders(x)) >= 2 and x.count(" ") - x.count("  ") * 2 <= 3 * (n + 1) + 1])
         if counts:
             best = max(best, max(counts.values()))
     return best / max(1, len(lines))
@@ -108,9 +138,9 @@ def statistics(text: str, known: _Words, form: str | None = None) -> tuple[str,
     t = readable_form(text) if form is None else form
     # readable_form maps tabs to spaces; columns are told from the text as it is
     lines = [x for x in [y.strip(" \f\r") for y in text.split("\n")] if x and not x.isspace()]
-    words = (_WORD_ASCII if t.isascii() else _WORD).findall(t)
+    words = words_of(t)
     n = len(words)
-    votes = Counter([known[w] for w in words])
+    votes = Counter(map(known.__getitem__, words))
     plain, odd = votes.pop(0, 0), votes.pop(-1, 0)
     common = n - plain - odd
     if odd * 8 > n:
@@ -128,19 +158,22 @@ def statistics(text: str, known: _Words, form: str | None = None) -> tuple[str,
     signs = size - len(raw.translate(None, _ODD_ASCII)) + (0 if size == len(t) else len(_ODD_WIDE.findall(t)))
     if "...." in t:
         solid -= sum(map(len, _LEADER.findall(t)))  # dots that lead to a price or page
-    letters = sum(map(len, words))
+    letters = len("".join(words))
     ends = sum([x.endswith(_END) for x in lines])
     cells, marked = 0.0, 0
-    rows = _MAY_BORDER.search(text)
+    rows = any([c in text for c in "\t|;"]) or text.count(",") > text.count(", ") or ("  " in text and _GAP.search(text))
     if signs or rows:
-        body = [x for x in lines if not _RULER.match(x)]
-        if len(body) < len(lines):
-            signs -= sum([len(x) - x.count(" ") for x in lines if _RULER.match(x)])
+        drawn = [not x[0].isalnum() and _RULER.match(x) is not None for x in lines]
+        body = lines
+        if any(drawn):
+            body = [x for x, d in zip(lines, drawn) if not d]
+            signs -= sum([len(x) - x.count(" ") for x, d in zip(lines, drawn) if d])
         cells = _cells(body) if rows else 0.0
-        signs -= sum([len(m.group()) - 1 for x in body if (m := _TICK.match(x))])
+        signs -= sum([len(m.group()) - 1 for x in body if x[0] in "[*" and (m := _TICK.match(x))])
     m = max(1, len(lines))
-    marked = sum([_MARK.match(x) is not None for x in lines])
-    title = sum([x[0].isupper() for x in lines])
+    lower = [x for x in lines if not x[0].isupper()]
+    title = len(lines) - len(lower)
+    marked = sum([_MARK.match(x) is not None for x in lower])  # no mark begins with a capital
     return lang, [
         float(n), letters / max(1, n), max(0, signs) / max(1, solid), digits / max(1, solid), ends / m,
         common / max(1, n), n / m, cells, odd / max(1, n), marked / m, title / m, letters / max(1, solid),
