@@ -90,7 +90,7 @@ def may_be_misread(word: str) -> bool:
     """False for codes, house numbers, ordinals and the like, by the form of the word alone."""
     if len(word) < 2 or word.isdigit():
         return False
-    digits = sum([c.isdigit() for c in word])
+    digits = 0 if word.isalpha() else sum([c.isdigit() for c in word])
     if not digits:
         return len(word) > 2 and not (word.isupper() and len(word) < 5)
     small = sum([c.islower() for c in word])
@@ -210,12 +210,6 @@ class Reader:
                     starts.setdefault(a, []).append(i)
                     ends.setdefault(b, []).append(i)
             folded: dict[int, str] = {}
-
-            def fold(i: int) -> str:
-                if i not in folded:
-                    folded[i] = _shapes([some[i]])[0]
-                return folded[i]
-
             for i in edge:
                 if i in headers or i not in own:
                     continue
@@ -224,10 +218,13 @@ class Reader:
                 if max(at[begun[-1]], at[ended[-1]]) - at[i] < 3 and at[i] - min(at[begun[0]], at[ended[0]]) < 3:
                     continue
                 near = {*begun, *ended}
-                f = fold(i)
+                new = [j for j in near if j not in folded]
+                if new:
+                    folded.update(zip(new, _shapes([some[j] for j in new])))
+                f = folded[i]
                 if len(f) < 4 or not any(map(str.isalpha, f)):
                     continue
-                same = [j for j in near if _near(f, fold(j))]
+                same = [j for j in near if _near(f, folded[j])]
                 # not two lines of one stretch of prose
                 if len(same) > 1 and max(abs(at[j] - at[i]) for j in same) > 2 and sum(bare[j][-1] in ".,;" for j in same) * 2 < len(same):
                     headers.update(same)
