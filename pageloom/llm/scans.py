@@ -123,13 +123,13 @@ def counted_words(form: str) -> tuple[set[str], set[str]]:
 
 
 def _shapes(lines: list[str]) -> list[str]:
-    """Each line in letters of one shape each, white space inside as one blank. No shape takes in the end of a line, so that
-    all are read at once."""
+    """Each line in letters of one shape each, white space inside as one blank and none at the ends. No shape takes in the end
+    of a line, so that all are read at once."""
     s = "\n".join(lines).lower().replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ii", "u").replace("li", "h")
     s = s.encode("utf-8", "surrogatepass").translate(_FOLD).decode("utf-8", "surrogatepass")
     out = s.split("\n")
     # of white space, only the blank can be printed
-    return out if "  " not in s and "".join(out).isprintable() else [" ".join(x.split()) for x in out]
+    return [x.strip() for x in out] if "  " not in s and "".join(out).isprintable() else [" ".join(x.split()) for x in out]
 
 
 def _near(a: str, b: str) -> bool:

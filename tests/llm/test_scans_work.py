@@ -4,7 +4,7 @@ import random
 import sys
 import unicodedata
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from pageloom.llm import normalize, quality, scans
@@ -37,6 +37,7 @@ def test_a_page_is_read_at_once():
 
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
+@example("\r\n ")
 def test_short_cuts_find_what_patterns_find(t):
     assert scans.runs(t) == scans._RUN.findall(t)
     assert sorted(quality.words_of(t)) == sorted(quality._WORD.findall(t))
